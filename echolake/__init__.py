@@ -1 +1,8 @@
 """Bioacoustic signal analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel by value, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

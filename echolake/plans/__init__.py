@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("stats", "detect")
+_MODULES = ("stats", "detect", "spectral")
 
 
 def load_all():
