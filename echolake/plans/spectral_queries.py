@@ -48,7 +48,7 @@ def stft_complex(spark, d):
 
 
 @query("welch_psd", ctes(SIG_ALL, NN, FR, DFT, "a AS (SELECT recording_id, bin, count(*) fr, sum(re * re + im * im) s FROM dft GROUP BY 1, 2)") +
- f"""SELECT recording_id, bin, fr AS frames, round(bin * 6.25, 6) AS freq_hz,
+ f"""SELECT recording_id, bin, fr AS frames, round(bin * 6.25::DOUBLE, 6) AS freq_hz,
  round(10 * log10(s / (fr * {W2} * 100.0) * CASE WHEN bin IN (0, 8) THEN 1 ELSE 2 END), 6) AS power_db FROM a""")
 def welch_psd(spark, d):
     psd = S.welch_psd(_chunks(v.sig_all(spark, d), v.SIG_ALL_CHUNK), v.SIG_ALL_CHUNK, FFT, RATE)
@@ -174,7 +174,7 @@ def noise_bands(spark, d):
  "fin AS (SELECT *, row_number() OVER (PARTITION BY recording_id, col, g ORDER BY i DESC) AS z FROM fold)") +
  "SELECT recording_id, col, round(c, 6) AS center_hz, round(w, 6) AS bandwidth_hz, round(q, 6) AS q, round(s, 6) AS strength_db FROM fin WHERE z = 1")
 def noise_band_merge(spark, d):
-    return _band_rows(P.merge_bands(P.noise_bands(_profiles(spark, d), 10.0, threshold=1.7, keys=("recording_id", "col"))))
+    return _band_rows(P.merge_bands(P.noise_bands(_profiles(spark, d), 10.0, threshold=1.7, keys=("recording_id", "col")), keys=("recording_id", "col")))
 
 
 FX = """dl AS (SELECT recording_id, col, bin, mag, mag - lag(mag) OVER (PARTITION BY recording_id, bin ORDER BY col) AS dm FROM spec),
@@ -291,11 +291,11 @@ def lod_rollup(spark, d):
     return r.select("recording_id", "col", F.posexplode("mags").alias("bin", "m")).select("recording_id", "col", F.col("bin").cast("long").alias("bin"), r6("m").alias("mag"))
 
 
-@query("lod_plan", """WITH nn AS (SELECT o_custkey AS recording_id, sum(CAST(o_totalprice AS BIGINT)) AS n FROM orders GROUP BY 1),
+@query("lod_plan", """WITH nn AS (SELECT o_custkey AS recording_id, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS n FROM orders GROUP BY 1),
  lv(lod, fft, base, hop) AS (VALUES (0,1024,256,8192),(1,1024,256,2048),(2,1024,256,512),(3,512,256,128),(4,512,256,32),(5,256,256,8),(6,128,256,2),(7,64,128,1))
  SELECT recording_id, lod, fft, hop, CAST(CASE WHEN n < base THEN 0 ELSE ceil(((n - base) // hop + 1) / 256.0) END AS BIGINT) AS tiles FROM nn, lv""")
 def lod_plan(spark, d):
-    n = v.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("recording_id")).agg(F.sum(F.round("o_totalprice").cast("long")).alias("n"))
+    n = v.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("recording_id")).agg(F.sum(F.floor("o_totalprice")).alias("n"))
     return C.lod_plan(n, "M")
 
 
@@ -361,7 +361,7 @@ k1 AS (SELECT * FROM rk WHERE r = 1),
 nb AS (SELECT k.recording_id, k.col, k.k, k.best, max(mag) FILTER (bin = k - 1) AS m0, max(mag) FILTER (bin = k + 1) AS m2,
   min(bin) FILTER (bin > k AND mag * mag <= best * best * 0.5) AS ro, max(bin) FILTER (bin < k AND mag * mag <= best * best * 0.5) AS lo,
   sum(mag * mag) AS sw, sum(mag * mag * bin) AS sf FROM k1 k JOIN spec s USING (recording_id, col) GROUP BY 1, 2, 3, 4),
-n2 AS (SELECT n.recording_id, n.col, k, best, m0, m2, ro, lo, sf / sw AS mu, sqrt(sum(mag * mag * (bin - sf / sw) ** 2) / sw) AS sp FROM nb n JOIN spec USING (recording_id, col) GROUP BY ALL),
+n2 AS (SELECT n.recording_id, n.col, k, best, m0, m2, ro, lo, sqrt(sum(mag * mag * (bin - sf / sw) ** 2) / max(sw)) AS sp FROM nb n JOIN spec USING (recording_id, col) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
 n3 AS (SELECT n.*, CASE WHEN ro IS NULL THEN 63 - k ELSE ro - 1 - k + (a.mag * a.mag - best * best * 0.5) / (a.mag * a.mag - b.mag * b.mag) END AS rw,
   CASE WHEN lo IS NULL THEN k ELSE k - lo - 1 + (c.mag * c.mag - best * best * 0.5) / (c.mag * c.mag - e.mag * e.mag) END AS lw
   FROM n2 n LEFT JOIN spec a ON a.recording_id = n.recording_id AND a.col = n.col AND a.bin = ro - 1 LEFT JOIN spec b ON b.recording_id = n.recording_id AND b.col = n.col AND b.bin = ro
