@@ -83,8 +83,8 @@ def butterworth_cutoff(pole: Column, sample_rate: Column) -> Column:
     return sample_rate / math.pi * F.atan((1 - pole) / (1 + pole))
 
 
-def parametric_eq_db(freq: Column, center: float, gain_db: float, q: float) -> Column:
-    """Bell-shaped gain in dB around a centre frequency."""
+def parametric_eq(freq: Column, center: float, gain_db: float, q: float) -> Column:
+    """Linear gain of a bell around a centre frequency."""
     ratio = freq / center
-    bell = F.when(ratio <= 0, F.lit(0.0)).otherwise(F.exp(-F.pow(F.ln(ratio) * q, F.lit(2.0)) * 0.5))
-    return gain_db * bell
+    x = (ratio - 1 / ratio) * q
+    return F.when(freq <= 0, F.lit(1.0)).otherwise(1 + (10 ** (gain_db / 20) - 1) / (1 + x * x))

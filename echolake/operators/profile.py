@@ -81,17 +81,19 @@ def merge_bands(profiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Fold overlapping bands, in centre order, into their union around the stronger centre."""
 
     def merge(bands):
+        # Structs arrive as dicts from Arrow, and as tuples where Spark chains this function to the one above.
+        rows = sorted(tuple(b.values()) if isinstance(b, dict) else tuple(b) for b in bands)
         done = []
-        for b in sorted(bands, key=lambda x: x["center_hz"]):
-            lo, hi = b["center_hz"] - b["bandwidth_hz"] / 2, b["center_hz"] + b["bandwidth_hz"] / 2
+        for center, width, sharp, strength in rows:
+            lo, hi = center - width / 2, center + width / 2
             if not done or lo > done[-1][0] + done[-1][1] / 2:
-                done.append((b["center_hz"], b["bandwidth_hz"], b["q"], b["strength_db"]))
+                done.append((center, width, sharp, strength))
                 continue
             c, w, q, s = done[-1]
             union = max(c + w / 2, hi) - min(c - w / 2, lo)
-            if b["strength_db"] > s:
-                c, s = b["center_hz"], b["strength_db"]
-            done[-1] = (c, union, max(c / union, min(q, b["q"])), s)
+            if strength > s:
+                c, s = center, strength
+            done[-1] = (c, union, max(c / union, min(q, sharp)), s)
         return done
 
     return profiles.select(*keys, _per_row(merge, BAND_TYPE)("bands").alias("bands"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("stats", "detect", "spectral", "forensic")
+_MODULES = ("stats", "detect", "spectral", "forensic", "filter")
 
 
 def load_all():
