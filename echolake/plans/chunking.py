@@ -161,3 +161,33 @@ def to_samples(chunks: DataFrame, keys: Sequence[str] = ("recording_id",), value
 
 def lengths(samples: DataFrame, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
     return samples.groupBy(*keys).agg((F.max("idx") + 1).alias("n"))
+
+
+def running_max(df: DataFrame, keys: Sequence[str], value: Column, out: str, idx: str, exclusive: bool = True) -> DataFrame:
+    """Largest ``value`` over earlier rows (and the row itself unless ``exclusive``)."""
+    keys = list(keys)
+    df = df.withColumn("_v", value)
+    w = Window.partitionBy(*keys, "chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    tops = df.groupBy(*keys, "chunk").agg(F.max("_v").alias("_s"))
+    carried = carry_in(tops, keys, {"_c": ("max", "_s")}).drop("_s")
+    local = df.select("*", F.max("_v").over(w).alias("_l"))
+    return local.join(carried, [*keys, "chunk"]).withColumn(out, F.greatest("_l", "_c")).drop("_v", "_l", "_c")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "pos") -> DataFrame:
+    """0-based position within ``keys`` for any total order, without one window per key.
+
+    Rows are range-partitioned by key and order, numbered inside each range, and offset by the counts of earlier ranges.
+    """
+    from echolake.session import materialize
+
+    keys = list(keys)
+    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("chunk", F.spark_partition_id().cast("long"))
+    placed = materialize(spread)
+    counts = placed.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("_n"))
+    carried = carry_in(counts, keys, {"_c": ("sum", "_n")}).drop("_n")
+    w = Window.partitionBy(*keys, "chunk").orderBy(*order)
+    return (
+        placed.withColumn("_r", F.row_number().over(w)).join(carried, [*keys, "chunk"])
+        .withColumn(out, (F.col("_r") - 1 + F.col("_c")).cast("long")).drop("_r", "_c", "chunk")
+    )
