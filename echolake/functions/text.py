@@ -158,6 +158,17 @@ def embedded_json(text: Column | str) -> Column:
     return _or_null(F.regexp_extract(_c(text), rf"(?s)({obj}|{arr})", 1))
 
 
+def _tenths(x: Column) -> Column:
+    """``x`` to one decimal, ties decided by the exact value of ten times x (kept as a sum and its rounding error)."""
+    a, b = x * 8, x * 2
+    s = a + b
+    rest = s - a
+    error = (a - (s - rest)) + (b - rest)
+    base = F.floor(s)
+    tie = (s - base) == 0.5
+    return F.when(tie & (error > 0), base + 1.0).when(tie & (error < 0), base).otherwise(F.rint(s)) / 10
+
+
 def compact_duration(seconds: Column | str) -> Column:
     """45.1s, 5m30s or 9h44m22s."""
     s = F.abs(_c(seconds))
@@ -166,7 +177,7 @@ def compact_duration(seconds: Column | str) -> Column:
     long_ = F.format_string("%dh%02dm%02ds", F.floor(whole / 3600).cast("int"), F.floor(rest / 60).cast("int"), (whole % 60).cast("int"))
     carried = F.format_string("%dh%02dm%02ds", hours.cast("int"), F.lit(60), F.lit(0))
     mid = F.format_string("%dm%02ds", F.floor(whole / 60).cast("int"), (whole % 60).cast("int"))
-    return F.when(s < 90, F.format_string("%.1fs", F.rint(s * 10) / 10)).when(s < 3600, mid).otherwise(
+    return F.when(s < 90, F.format_string("%.1fs", _tenths(s))).when(s < 3600, mid).otherwise(
         F.when(F.floor(whole / 3600) > hours, carried).otherwise(long_)
     )
 
@@ -174,7 +185,7 @@ def compact_duration(seconds: Column | str) -> Column:
 def khz(hz: Column) -> Column:
     k = hz / 1000
     near = F.abs(k - F.round(k)) < 0.05
-    return F.when(near, F.round(k).cast("long").cast("string")).otherwise(F.format_string("%.1f", F.rint(k * 10) / 10))
+    return F.when(near, F.round(k).cast("long").cast("string")).otherwise(F.format_string("%.1f", _tenths(k)))
 
 
 def frequency_range(lo: Column, hi: Column) -> Column:

@@ -197,23 +197,23 @@ def linear_filter(chunks: DataFrame, system: Linear, keys: Sequence[str] = KEYS)
         *keys, "chunk", F.size("samples").alias("n"), F.pandas_udf(leave, "array<double>")("samples").alias("left"),
         F.when(F.col("start_sample") == 0, F.get("samples", F.lit(0)).cast("double")).alias("x0"),
     )
-    states = _carry_states(ends, system, keys)
+    states = carry_states(ends, lambda s, n: np.linalg.matrix_power(system.a, n) @ s, system.init, keys)
     joined = chunks.join(states, [*keys, "chunk"])
     return joined.withColumn("samples", F.pandas_udf(through, "array<double>")("samples", "state")).drop("state")
 
 
-def _carry_states(ends: DataFrame, system: Linear, keys: list[str]) -> DataFrame:
+def carry_states(ends: DataFrame, advance: Callable, init: np.ndarray, keys: list[str]) -> DataFrame:
     """Starting state per chunk: affine maps composed within blocks of chunks, then over blocks."""
     types = {f.name: f.dataType.simpleString() for f in ends.schema}
     head = ", ".join(f"{k} {types[k]}" for k in keys)
     blocked = ends.withColumn("blk", div("chunk", CARRY_FAN))
 
     def step(state, n, left):
-        return np.linalg.matrix_power(system.a, int(n)) @ state + np.asarray(left, dtype=float)
+        return advance(state, int(n)) + np.asarray(left, dtype=float)
 
     def block_total(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        state = np.zeros(len(system.b))
+        state = np.zeros(len(init))
         for n, left in zip(pdf["n"], pdf["left"]):
             state = step(state, n, left)
         x0 = pdf["x0"].dropna()
@@ -224,7 +224,7 @@ def _carry_states(ends: DataFrame, system: Linear, keys: list[str]) -> DataFrame
     def over_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("blk")
         x0 = pdf["x0"].dropna()
-        state = system.init * (float(x0.iloc[0]) if len(x0) else 0.0)
+        state = init * (float(x0.iloc[0]) if len(x0) else 0.0)
         starts = []
         for n, left in zip(pdf["n"], pdf["left"]):
             starts.append(state)

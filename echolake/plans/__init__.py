@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("stats", "detect", "spectral", "forensic", "filter", "catalog", "timeline")
+_MODULES = ("stats", "detect", "spectral", "forensic", "filter", "catalog", "timeline", "live")
 
 
 def load_all():

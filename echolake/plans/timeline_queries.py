@@ -27,24 +27,24 @@ def recording_sessions(spark, d):
     return T.sessions(v.segs(spark, d), 2.0)
 
 
-@query("segment_at_time", ctes(SEGS, "p AS (SELECT user_id % 50 AS timeline_id, event_id AS point_id, 8000 + value * 5 AS t FROM events)",
+@query("segment_at_time", ctes(SEGS, "p AS (SELECT user_id % 50 AS timeline_id, event_id AS point_id, 9100 + value * 5 AS t FROM events)",
  "h AS (SELECT p.*, seg_id, start, row_number() OVER (PARTITION BY p.timeline_id, point_id ORDER BY start, seg_id) AS r FROM p JOIN segs s ON s.timeline_id = p.timeline_id AND t >= start AND t < start + dur)") +
  "SELECT timeline_id, point_id, seg_id, round(t - start, 6) AS inside FROM h WHERE r = 1")
 def segment_at_time(spark, d):
-    points = v.table(spark, d, "events").select((F.col("user_id") % 50).alias("timeline_id"), F.col("event_id").alias("point_id"), (8000 + F.col("value") * 5).alias("t"))
+    points = v.table(spark, d, "events").select((F.col("user_id") % 50).alias("timeline_id"), F.col("event_id").alias("point_id"), (9100 + F.col("value") * 5).alias("t"))
     return T.segment_at(points, v.segs(spark, d)).withColumn("inside", r6("inside"))
 
 
-@query("segments_in_range", ctes(SEGS) + "SELECT timeline_id, seg_id FROM segs WHERE start < 9100 AND start + dur > 9000")
+@query("segments_in_range", ctes(SEGS) + "SELECT timeline_id, seg_id FROM segs WHERE start < 10100 AND start + dur > 10000")
 def segments_in_range(spark, d):
-    return T.in_range(v.segs(spark, d), 9000.0, 9100.0).select("timeline_id", "seg_id")
+    return T.in_range(v.segs(spark, d), 10000.0, 10100.0).select("timeline_id", "seg_id")
 
 
-@query("region_segment_overlaps", ctes(SEGS, "r AS (SELECT c_custkey % 50 AS timeline_id, c_custkey AS region_id, 8100 + c_acctbal / 5 AS a, 8103 + c_acctbal / 5 AS b FROM customer)") +
+@query("region_segment_overlaps", ctes(SEGS, "r AS (SELECT c_custkey % 50 AS timeline_id, c_custkey AS region_id, 9100 + c_acctbal / 5 AS a, 9103 + c_acctbal / 5 AS b FROM customer)") +
  "SELECT r.timeline_id, region_id, seg_id, round(least(b, start + dur) - greatest(a, start), 6) AS shared FROM r JOIN segs s ON s.timeline_id = r.timeline_id AND a < start + dur AND start < b")
 def region_segment_overlaps(spark, d):
-    a = 8100 + F.col("c_acctbal") / 5
-    regions = v.table(spark, d, "customer").select((F.col("c_custkey") % 50).alias("timeline_id"), F.col("c_custkey").alias("region_id"), a.alias("r_start"), (8103 + F.col("c_acctbal") / 5).alias("r_end"))
+    a = 9100 + F.col("c_acctbal") / 5
+    regions = v.table(spark, d, "customer").select((F.col("c_custkey") % 50).alias("timeline_id"), F.col("c_custkey").alias("region_id"), a.alias("r_start"), (9103 + F.col("c_acctbal") / 5).alias("r_end"))
     return T.overlaps_by_region(regions, v.segs(spark, d)).select("timeline_id", "region_id", "seg_id", r6("shared").alias("shared"))
 
 
