@@ -28,47 +28,47 @@ def _set(bits: int, b: int) -> Column:
     return F.col("v").bitwiseAND(F.lit(1 << (bits - 1 - b))) != 0
 
 
-def bit_table(samples: DataFrame, bits: int, is_float: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per bit: use count, first and last index, split by sign; plus recording totals on each row.
+def value_histogram(samples: DataFrame, keys: Sequence[str] = KEYS, is_float: bool = False) -> DataFrame:
+    """Count, first and last index per distinct sample value.
 
-    All bits are counted in one hash aggregation, so nothing is exploded before the partial sums.
+    A recording of any length has at most 2^bits of these, combined before the shuffle; bit statistics read this table.
     """
-    v = samples.withColumn("v", F.col("v").cast("long"))
-    negative = _set(bits, 0)
-    zero = F.col("y") == 0 if is_float else F.col("v") == 0
-    measures = []
-    for b in range(bits):
-        on = _set(bits, b)
-        measures += [
-            F.count_if(on).alias(f"n{b}"), F.count_if(on & negative).alias(f"g{b}"),
-            F.min(F.when(on, F.col("idx"))).alias(f"a{b}"), F.max(F.when(on, F.col("idx"))).alias(f"z{b}"),
-        ]
-    wide = v.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(zero).alias("zeros"),
-        F.count_if(negative & ~zero).alias("negatives"), F.count_if(~negative & ~zero).alias("positives"), *measures,
+    zero = (F.col("y") == 0) if is_float else (F.col("v") == 0)
+    return samples.groupBy(*keys, F.col("v").cast("long").alias("v")).agg(
+        F.count(F.lit(1)).alias("k"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.first(zero).alias("zero")
     )
-    rows = F.array(*[
-        F.struct(
-            F.lit(b).alias("bit"), F.col(f"n{b}").alias("count"), (F.col(f"n{b}") - F.col(f"g{b}")).alias("pos_count"),
-            F.col(f"g{b}").alias("neg_count"), F.col(f"a{b}").alias("first_index"), F.col(f"z{b}").alias("last_index"),
-        )
-        for b in range(bits)
-    ])
-    return wide.select(*keys, "total", "zeros", "negatives", "positives", F.inline(rows))
 
 
-def bit_pairs(samples: DataFrame, bits: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Histogram of adjacent bit pairs 00/01/10/11 from the top bit down."""
-    v = samples.withColumn("v", F.col("v").cast("long"))
-    names = [(p, combo) for p in range(bits // 2) for combo in range(4)]
+def bit_table(samples: DataFrame, bits: int, is_float: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per bit: use count, first and last index, split by sign; plus recording totals on each row."""
+    values = value_histogram(samples, keys, is_float)
+    keys = list(keys)
+    negative = _set(bits, 0)
+    total = values.groupBy(*keys).agg(
+        F.sum("k").alias("total"), F.sum(F.when(F.col("zero"), F.col("k")).otherwise(0)).alias("zeros"),
+        F.sum(F.when(negative & ~F.col("zero"), F.col("k")).otherwise(0)).alias("negatives"),
+        F.sum(F.when(~negative & ~F.col("zero"), F.col("k")).otherwise(0)).alias("positives"),
+    )
+    per_bit = values.select(*keys, "k", "first_idx", "last_idx", negative.alias("neg"), F.posexplode(F.array(*[_set(bits, b) for b in range(bits)])).alias("bit", "on"))
+    hit = per_bit.groupBy(*keys, "bit").agg(
+        F.sum(F.when(F.col("on"), F.col("k")).otherwise(0)).alias("count"),
+        F.sum(F.when(F.col("on") & ~F.col("neg"), F.col("k")).otherwise(0)).alias("pos_count"),
+        F.sum(F.when(F.col("on") & F.col("neg"), F.col("k")).otherwise(0)).alias("neg_count"),
+        F.min(F.when(F.col("on"), F.col("first_idx"))).alias("first_index"), F.max(F.when(F.col("on"), F.col("last_idx"))).alias("last_index"),
+    )
+    return hit.join(total, keys).select(*keys, "total", "zeros", "negatives", "positives", "bit", "count", "pos_count", "neg_count", "first_index", "last_index")
 
-    def hit(p, combo):
-        hi, lo = _set(bits, 2 * p), _set(bits, 2 * p + 1)
-        return (hi if combo & 2 else ~hi) & (lo if combo & 1 else ~lo)
 
-    wide = v.groupBy(*keys).agg(*[F.count_if(hit(p, c)).alias(f"c{p}_{c}") for p, c in names])
-    rows = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(c).alias("combo"), F.col(f"c{p}_{c}").alias("count")) for p, c in names])
-    return wide.select(*keys, F.inline(rows))
+def bit_pairs(samples: DataFrame, bits: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Histogram of adjacent bit pairs 00/01/10/11 from the top bit down, all four listed for every pair."""
+    pairs = bits // 2
+    values = value_histogram(samples, keys)
+    combo = F.array(*[F.shiftright("v", bits - 2 - 2 * p).bitwiseAND(F.lit(3)).cast("int") for p in range(pairs)])
+    seen = values.select(*keys, "k", F.posexplode(combo).alias("pair", "c")).groupBy(*keys, "pair").agg(
+        *[F.sum(F.when(F.col("c") == c, F.col("k")).otherwise(0)).alias(f"c{c}") for c in range(4)]
+    )
+    rows = F.array(*[F.struct(F.lit(c).alias("combo"), F.col(f"c{c}").alias("count")) for c in range(4)])
+    return seen.select(*keys, "pair", F.inline(rows))
 
 
 def bit_summary(table: DataFrame, bits: int, is_float: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -151,7 +151,7 @@ def value_coverage(samples: DataFrame, bits: int, approximate: bool = False, key
 def stride_gcd(samples: DataFrame, bits: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Greatest common divisor of the magnitudes of non-zero samples; a power of two means zero padding.
 
-    Arrow batches are reduced in place, and the few distinct partial divisors are folded per recording.
+    Only distinct values are read; Arrow batches are reduced in place, and the few distinct partial divisors are folded per recording.
     """
     keys = list(keys)
     schema = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys) + ", g bigint"
@@ -165,7 +165,7 @@ def stride_gcd(samples: DataFrame, bits: int, keys: Sequence[str] = KEYS) -> Dat
     def fold(series: pd.Series) -> pd.Series:
         return pd.Series([int(np.gcd.reduce(np.asarray(x, dtype=np.int64))) for x in series])
 
-    parts = samples.select(*keys, F.col("v").cast("long").alias("v")).mapInPandas(partial, schema).distinct()
+    parts = samples.select(*keys, F.col("v").cast("long").alias("v")).distinct().mapInPandas(partial, schema).distinct()
     agg = parts.groupBy(*keys).agg(F.collect_set("g").alias("gs")).select(*keys, F.pandas_udf(fold, "bigint")("gs").alias("gcd"))
     power = (F.col("gcd") >= 2) & (F.bit_count("gcd") == 1)
     pad = F.when(power, F.least(F.log2("gcd").cast("int"), F.lit(bits - 1)))

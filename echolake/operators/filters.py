@@ -21,7 +21,7 @@ from echolake.plans.chunking import chunk_window, div, lengths, to_chunks, to_sa
 
 KEYS = ("recording_id",)
 BLOCK = 128
-CARRY_FAN = 256
+CARRY_FAN = 1024
 
 
 @dataclass(frozen=True)
@@ -197,56 +197,54 @@ def linear_filter(chunks: DataFrame, system: Linear, keys: Sequence[str] = KEYS)
         *keys, "chunk", F.size("samples").alias("n"), F.pandas_udf(leave, "array<double>")("samples").alias("left"),
         F.when(F.col("start_sample") == 0, F.get("samples", F.lit(0)).cast("double")).alias("x0"),
     )
-    states = carry_states(ends, lambda s, n: np.linalg.matrix_power(system.a, n) @ s, system.init, keys)
+    states = carry_states(ends, _power_step(system.a), system.init, keys)
     joined = chunks.join(states, [*keys, "chunk"])
     return joined.withColumn("samples", F.pandas_udf(through, "array<double>")("samples", "state")).drop("state")
 
 
 def carry_states(ends: DataFrame, advance: Callable, init: np.ndarray, keys: list[str]) -> DataFrame:
-    """Starting state per chunk: affine maps composed within blocks of chunks, then over blocks."""
-    types = {f.name: f.dataType.simpleString() for f in ends.schema}
-    head = ", ".join(f"{k} {types[k]}" for k in keys)
-    blocked = ends.withColumn("blk", div("chunk", CARRY_FAN))
-
-    def step(state, n, left):
-        return advance(state, int(n)) + np.asarray(left, dtype=float)
-
-    def block_total(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        state = np.zeros(len(init))
-        for n, left in zip(pdf["n"], pdf["left"]):
-            state = step(state, n, left)
-        x0 = pdf["x0"].dropna()
-        row = pdf.iloc[:1][[*keys, "blk"]].assign(n=int(pdf["n"].sum()), x0=float(x0.iloc[0]) if len(x0) else None)
-        row["left"] = [state]
-        return row
-
-    def over_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("blk")
-        x0 = pdf["x0"].dropna()
-        state = init * (float(x0.iloc[0]) if len(x0) else 0.0)
-        starts = []
-        for n, left in zip(pdf["n"], pdf["left"]):
-            starts.append(state)
-            state = step(state, n, left)
-        out = pdf[[*keys, "blk"]].copy()
-        out["begin"] = starts
-        return out
-
-    def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        state = np.asarray(pdf["begin"].iloc[0], dtype=float)
-        states = []
-        for n, left in zip(pdf["n"], pdf["left"]):
-            states.append(state)
-            state = step(state, n, left)
-        out = pdf[[*keys, "chunk"]].copy()
-        out["state"] = states
-        return out
-
-    totals = blocked.groupBy(*keys, "blk").applyInPandas(block_total, f"{head}, blk bigint, n bigint, x0 double, left array<double>")
-    begins = totals.groupBy(*keys).applyInPandas(over_blocks, f"{head}, blk bigint, begin array<double>")
-    return blocked.join(begins, [*keys, "blk"]).groupBy(*keys, "blk").applyInPandas(expand, f"{head}, chunk bigint, state array<double>")
+    """Starting state per chunk from ends(keys, chunk, n, left, x0): affine maps composed in blocks, then over blocks.
+
+    A block lists at most ``CARRY_FAN`` chunks; the upper list is that many times shorter than the chunk list.
+    """
+
+    def scan(ns, lefts, state):
+        """States before each entry, and the state after the last one."""
+        memo, before = {}, []
+        for n, left in zip(ns, lefts):
+            before.append(state)
+            state = advance(state, int(n), memo) + np.asarray(left, dtype=float)
+        return before, state
+
+    def compose(ns: pd.Series, lefts: pd.Series) -> pd.Series:
+        return pd.Series([scan(n, x, np.zeros(len(init)))[1] for n, x in zip(ns, lefts)])
+
+    def upper(ns: pd.Series, lefts: pd.Series, firsts: pd.Series) -> pd.Series:
+        return pd.Series([scan(n, x, init * (0.0 if pd.isna(f) else f))[0] for n, x, f in zip(ns, lefts, firsts)])
+
+    def lower(ns: pd.Series, lefts: pd.Series, begins: pd.Series) -> pd.Series:
+        return pd.Series([scan(n, x, np.asarray(b, dtype=float))[0] for n, x, b in zip(ns, lefts, begins)])
+
+    nested = "array<array<double>>"
+    blocks = ends.groupBy(*keys, div("chunk", CARRY_FAN).alias("blk")).agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "n", "left"))).alias("i"), F.sum("n").alias("n"), F.max("x0").alias("x0")
+    )
+    totals = blocks.select(*keys, "blk", "n", "x0", F.pandas_udf(compose, "array<double>")("i.n", "i.left").alias("left"))
+    tops = totals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("blk", "n", "left"))).alias("t"), F.max("x0").alias("x0"))
+    tops = tops.select(*keys, F.col("t.blk").alias("blk"), F.pandas_udf(upper, nested)("t.n", "t.left", "x0").alias("begin"))
+    begins = tops.select(*keys, F.inline(F.arrays_zip("blk", "begin")))
+    opened = blocks.select(*keys, "blk", "i").join(begins, [*keys, "blk"])
+    states = opened.select(*keys, F.col("i.chunk").alias("chunk"), F.pandas_udf(lower, nested)("i.n", "i.left", "begin").alias("state"))
+    return states.select(*keys, F.inline(F.arrays_zip("chunk", "state")))
+
+
+def _power_step(a: np.ndarray) -> Callable:
+    def advance(state, n, memo):
+        if n not in memo:
+            memo[n] = np.linalg.matrix_power(a, n)
+        return memo[n] @ state
+
+    return advance
 
 
 def attack_release(samples: DataFrame, window: int, chunk: int, keys: Sequence[str] = KEYS) -> DataFrame:

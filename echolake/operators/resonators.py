@@ -108,7 +108,7 @@ def resonator_columns(chunks: DataFrame, bank: Bank, chunk_size: int, hop: int,
 
     decay = np.tile(1.0 - bank.alphas, 2)
     ends = chunks.select(*keys, "chunk", F.size("samples").alias("n"), F.pandas_udf(leave, "array<double>")("samples", "start_sample").alias("left"), F.lit(0.0).alias("x0"))
-    states = carry_states(ends, lambda s, n: decay**n * s, np.zeros(2 * k), keys)
+    states = carry_states(ends, lambda s, n, memo: decay**n * s, np.zeros(2 * k), keys)
     done = chunks.join(states, [*keys, "chunk"]).select(
         *keys, "start_sample", F.pandas_udf(columns, "array<array<double>>")("samples", "start_sample", "state").alias("c")
     )
