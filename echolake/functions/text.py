@@ -15,8 +15,7 @@ def _or_null(c: Column) -> Column:
 
 
 def stem(name: Column | str) -> Column:
-    name = _c(name)
-    return F.when(name.contains("."), F.regexp_extract(name, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(name)
+    return F.regexp_replace(_c(name), r"(?s)\.[^.]*$", "")
 
 
 def extension(name: Column | str) -> Column:
@@ -32,13 +31,13 @@ def storage_key(filename: Column, size: Column, spot_hash: Column) -> Column:
     return F.when(spot_hash.isNotNull(), F.concat(F.lit("spot_"), spot_hash)).otherwise(F.concat(safe, F.lit("_"), size.cast("string")))
 
 
+TRACK = r"(?s)^(.+)_(\d+-\d+|\d+|[cC][hH]\d+|[mM][iI][xX])(?: [^_]*)?$"
+
+
 def track_group(name: Column | str) -> Column:
     """struct(key, label) where the last underscore part names a track (digits, a-b, ChN, MIX); null otherwise."""
     s = stem(name)
-    key = F.regexp_extract(s, r"(?s)^(.+)_[^_]*$", 1)
-    part = F.element_at(F.split(F.regexp_extract(s, r"(?s)_([^_]*)$", 1), " "), 1)
-    ok = (key != "") & part.rlike(r"^(\d+|\d+-\d+|[cC][hH]\d+|[mM][iI][xX])$")
-    return F.when(ok, F.struct(key.alias("key"), part.alias("label")))
+    return F.when(s.rlike(TRACK), F.struct(F.regexp_extract(s, TRACK, 1).alias("key"), F.regexp_extract(s, TRACK, 2).alias("label")))
 
 
 def sequence_number(text: Column) -> Column:

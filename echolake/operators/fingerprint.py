@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolake.functions.levels import butterworth_gain, butterworth_pole
+from echolake.operators.intervals import points_in_intervals
 
 KEYS = ("recording_id",)
 WARMUP, WINDOW, MAX_WINDOWS, QUIET_SD = 1024, 8192, 6, 20.0
@@ -38,9 +39,9 @@ def pick_windows(lengths: DataFrame, warmup: int = WARMUP, window: int = WINDOW,
 
 
 def window_samples(samples: DataFrame, windows: DataFrame, window: int = WINDOW, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Samples of the picked windows (windows per recording are few, so the join fans out at most that much)."""
-    span = samples.join(windows, list(keys))
-    return span.where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("start") + window))
+    """Samples of the picked windows, joined by index bucket, so samples outside every window drop out unmultiplied."""
+    spans = windows.withColumn("_end", F.col("start") + window)
+    return points_in_intervals(samples, spans, list(keys), "idx", "start", "_end", float(window), closed=False).drop("_end")
 
 
 def window_arrays(samples: DataFrame, windows: DataFrame, window: int = WINDOW, quiet_sd: float = QUIET_SD, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from echolake.functions.levels import amplitude_db
 from echolake.operators import filters, spectral, stats
 from echolake.plans.chunking import lengths, to_chunks, to_samples
+from echolake.session import materialize
 
 KEYS = ("recording_id",)
 
@@ -27,13 +28,13 @@ def _rms_db(total: Column, count: Column) -> Column:
     return F.when(count > 0, amplitude_db(F.sqrt(total / count))).otherwise(-120.0)
 
 
-def fades(samples: DataFrame, sample_rate: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def fades(samples: DataFrame, sample_rate: int, keys: Sequence[str] = KEYS, sample_counts: DataFrame | None = None) -> DataFrame:
     """Lengths of quiet starts and ends: short slices at fixed distances against the level of the middle.
 
     All slices are conditional sums of one aggregation, so samples are read and shuffled once.
     """
     keys, sr = list(keys), sample_rate
-    counted = samples.join(lengths(samples, keys), keys)
+    counted = samples.join(lengths(samples, keys) if sample_counts is None else sample_counts, keys)
     n, i, sq = F.col("n"), F.col("idx"), F.col("y") * F.col("y")
     secs = n / float(sr)
     margin = F.lit(0.3)
@@ -96,17 +97,18 @@ def snr_grade(snr: Column) -> Column:
 def weighted_snr(samples: DataFrame, sample_rate: int, chunk: int, fft: int = 4096, min_rate: int = 30_000, keys: Sequence[str] = KEYS) -> DataFrame:
     """Grade, signal and noise levels and warnings per recording; guards come first, as in a ladder."""
     keys, sr = list(keys), sample_rate
-    n_rows = lengths(samples, keys)
+    n_rows = materialize(lengths(samples, keys))
     chunks = to_chunks(samples, chunk, keys)
     clip = stats.clipping(samples, keys=keys)
     ultra = spectral.ultrasonic_share(samples, n_rows, sr, keys=keys) if sr > 48_000 else None
     high = to_samples(filters.linear_filter(chunks, filters.high_pass(100.0, sr), keys), keys).select(*keys, "idx", "y")
-    edges = stats.edge_transients(high, n_rows, sr, keys).join(fades(high, sr, keys), keys)
+    edges = stats.edge_transients(high, n_rows, sr, keys).join(fades(high, sr, keys, n_rows), keys)
     cut_in = F.when(F.col("start_transient"), F.greatest("fade_in_secs", F.lit(0.2))).otherwise(F.col("fade_in_secs"))
     cut_out = F.when(F.col("end_transient"), F.greatest("fade_out_secs", F.lit(0.7))).otherwise(F.col("fade_out_secs"))
-    spans = edges.join(n_rows, keys).select(
+    # One row per recording each: kept, so that later branches do not repeat the filters behind them.
+    spans = materialize(edges.join(n_rows, keys).select(
         "*", F.floor(cut_in * sr).alias("a"), (F.col("n") - F.floor(cut_out * sr)).alias("b"), cut_in.alias("cut_in"), cut_out.alias("cut_out")
-    )
+    ))
     usable = spans.where(F.col("b") > F.col("a") + sr // 10)
     region = samples.join(usable.select(*keys, "a", "b"), keys).where((F.col("idx") >= F.col("a")) & (F.col("idx") < F.col("b")))
     region_chunks = to_chunks(region.select(*keys, (F.col("idx") - F.col("a")).alias("idx"), "y"), chunk, keys)
@@ -115,7 +117,7 @@ def weighted_snr(samples: DataFrame, sample_rate: int, chunk: int, fft: int = 40
         return to_samples(filters.spectral_gain(region_chunks, chunk, fft, curve(fft, sr), keys), keys).select(*keys, "idx", "y")
 
     noise = weighted(noise_weighting)
-    floors = stats.gap_aware_floor(noise, stats.noise_window(sr), keys)
+    floors = materialize(stats.gap_aware_floor(noise, stats.noise_window(sr), keys))
     dense = stats.dense_soundscape(noise, floors, keys=keys).select(*keys, F.col("pct").alias("dense_pct"), F.col("is_dense").alias("dense"))
     loud = weighted(loudness_weighting).groupBy(*keys).agg((amplitude_db(F.max(F.abs("y"))) - 3.0).alias("signal_db"))
     rows = spans.join(clip, keys).join(floors, keys, "left").join(dense, keys, "left").join(loud, keys, "left")

@@ -85,6 +85,10 @@ def overlaps_by_region(regions: DataFrame, segs: DataFrame, width: float = BUCKE
     return hits.withColumn("shared", F.least("r_end", "s_end") - F.greatest("r_start", "s_start"))
 
 
+def _or_null(c: Column) -> Column:
+    return F.when(c != "", c)
+
+
 def tracks(files: DataFrame) -> DataFrame:
     """Multitrack key and label of files(file_id, name); groups of one are dropped."""
     parsed = files.withColumn("_t", text.track_group("name"))
@@ -97,8 +101,8 @@ def tracks(files: DataFrame) -> DataFrame:
 def sequences(files: DataFrame) -> DataFrame:
     """Sequence prefix, number and gap to the previous file of files(file_id, name, start_secs, dur)."""
     tracked = tracks(files)
-    base = F.coalesce(text.track_group("name")["key"], F.element_at(F.split(text.stem("name"), " "), 1))
-    parsed = tracked.withColumn("_s", text.sequence_number(base)).where("_s IS NOT NULL").select(
+    base = F.coalesce(_or_null(F.regexp_extract(text.stem("name"), text.TRACK, 1)), F.substring_index(text.stem("name"), " ", 1))
+    parsed = tracked.withColumn("_b", base).withColumn("_s", text.sequence_number(F.col("_b"))).drop("_b").where("_s IS NOT NULL").select(
         "*", F.col("_s.prefix").alias("sequence_key"), F.col("_s.number").alias("sequence_number"), F.coalesce("track_label", F.lit("")).alias("track")
     ).drop("_s")
     keys = ["sequence_key", "track"]

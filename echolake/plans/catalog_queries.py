@@ -128,7 +128,9 @@ def content_hashes(spark, d):
     return docs.select("file_id", h["full"].alias("full"), h["content"].alias("content"))
 
 
-@query("spot_hashes")
+@query("spot_hashes", """WITH b AS (SELECT doc_id AS file_id, encode(text) AS c, octet_length(encode(text)) AS z FROM documents), k AS (SELECT *, least(4, greatest(CAST(ceil(z / 64.0::DOUBLE) AS BIGINT), 1)) AS n FROM b),
+ p AS (SELECT file_id, i, sha256(c[CAST(floor(i * CASE WHEN n > 1 THEN (z - 64) / (n - 1)::DOUBLE ELSE 0 END) AS BIGINT) + 1 : CAST(floor(i * CASE WHEN n > 1 THEN (z - 64) / (n - 1)::DOUBLE ELSE 0 END) AS BIGINT) + 64]) AS h FROM k, generate_series(0, 3) g(i) WHERE i < n)
+ SELECT file_id, sha256(string_agg(h, '' ORDER BY i)) AS spot FROM p GROUP BY 1""")
 def spot_hashes(spark, d):
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("c"))
     return docs.select("file_id", text.content_hashes(F.col("c"), F.lit(0), F.octet_length("c"), pieces=4, piece=64)["spot"].alias("spot"))
