@@ -88,3 +88,10 @@ def parametric_eq(freq: Column, center: float, gain_db: float, q: float) -> Colu
     ratio = freq / center
     x = (ratio - 1 / ratio) * q
     return F.when(freq <= 0, F.lit(1.0)).otherwise(1 + (10 ** (gain_db / 20) - 1) / (1 + x * x))
+
+
+def harmonics_band(low_hz: Column, high_hz: Column, bands: int = 4) -> Column:
+    """struct(lo, hi) of the harmonics band above a range; null unless the equaliser has four bands and the range is proper."""
+    lo, hi = F.greatest(2 * low_hz, high_hz), 2 * high_hz
+    usable = F.lit(bands == 4) & (high_hz > 0) & (low_hz < high_hz) & (lo < hi)
+    return F.when(usable, F.struct(lo.alias("lo"), hi.alias("hi")))

@@ -111,12 +111,14 @@ def level_scalars(spark, d):
 
 @query("filter_design_scalars", """SELECT p_partkey AS id, round((1 - tan(pi() * p_size / 1000.0)) / (1 + tan(pi() * p_size / 1000.0)), 6) AS pole,
  round((1 + (1 - tan(pi() * p_size / 1000.0)) / (1 + tan(pi() * p_size / 1000.0))) / 2, 6) AS gain, round(p_size::DOUBLE, 6) AS cutoff,
- round(1 + (10 ** (6.0 / 20) - 1) / (1 + ((p_retailprice / 900 - 900 / p_retailprice) * 2) ** 2), 6) AS bell FROM part""")
+ round(1 + (10 ** (6.0 / 20) - 1) / (1 + ((p_retailprice / 900 - 900 / p_retailprice) * 2) ** 2), 6) AS bell,
+ CASE WHEN p_size * 60 < p_retailprice AND greatest(p_size * 120, p_retailprice) < 2 * p_retailprice THEN greatest(p_size * 120, p_retailprice) END AS harm_lo FROM part""")
 def filter_design_scalars(spark, d):
     pole = levels.butterworth_pole(F.col("p_size").cast("double"), F.lit(1000.0))
     return v.table(spark, d, "part").select(
         F.col("p_partkey").alias("id"), r6(pole).alias("pole"), r6(levels.butterworth_gain(pole)).alias("gain"),
         r6(levels.butterworth_cutoff(pole, F.lit(1000.0))).alias("cutoff"), r6(levels.parametric_eq(F.col("p_retailprice"), 900.0, 6.0, 2.0)).alias("bell"),
+        levels.harmonics_band(F.col("p_size") * 60.0, F.col("p_retailprice"))["lo"].alias("harm_lo"),
     )
 
 

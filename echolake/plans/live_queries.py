@@ -130,7 +130,11 @@ def _files(spark, d):
     """One WAV file per user, encoded by Spark from the events."""
     chunks = v.sig(spark, d).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("idx", "y")))["y"].alias("samples"))
     named = chunks.withColumn("guano", F.concat(F.lit("Make: Test\nModel: M"), (F.col("recording_id") % 3).cast("string")))
-    return wav.encode_wav(named, 1000, guano="guano").select(F.concat(F.lit("rec_"), F.lpad(F.col("recording_id").cast("string"), 6, "0")).alias("path"), F.col("recording_id").alias("user_id"), "content")
+    n = F.size("samples")
+    named = named.withColumn("marks", F.array(
+        F.struct(F.lit(1).cast("long").alias("id"), F.expr("size(samples) div 2").cast("long").alias("position"), F.concat(F.lit("call "), F.col("recording_id").cast("string")).alias("label")),
+        F.struct(F.lit(2).cast("long").alias("id"), (n - 1).cast("long").alias("position"), F.lit("end").alias("label"))))
+    return wav.encode_wav(named, 1000, guano="guano", marks="marks").select(F.concat(F.lit("rec_"), F.lpad(F.col("recording_id").cast("string"), 6, "0")).alias("path"), F.col("recording_id").alias("user_id"), "content")
 
 
 @query("wav_headers", ctes(SIG) + "SELECT recording_id AS user_id, 1000 AS sample_rate, 1 AS channels, 16 AS bits_per_sample, count(*) AS total_frames, count(*) * 2 AS data_size, CAST(44 AS BIGINT) AS data_offset, 'M' || (recording_id % 3) AS model FROM sig GROUP BY 1")
@@ -146,6 +150,13 @@ def wav_samples(spark, d):
     return c.select("user_id", "channel", "start_sample", F.posexplode("samples").alias("p", "y")).select("user_id", "channel", (F.col("start_sample") + F.col("p")).alias("idx"), r6(F.col("y").cast("double")).alias("y"))
 
 
+@query("wav_markers", ctes(SIG, "n AS (SELECT recording_id, count(*) AS n FROM sig GROUP BY 1)") + "SELECT recording_id AS user_id, CAST(1 AS BIGINT) AS cue_id, n // 2 AS position, 'call ' || recording_id AS label, CAST(NULL AS VARCHAR) AS note FROM n UNION ALL SELECT recording_id, 2, n - 1, 'end', NULL FROM n")
+def wav_markers(spark, d):
+    h = wav.headers_of_content(_files(spark, d))
+    m = wav.markers(h).join(h.select("recording_id", "user_id"), "recording_id")
+    return m.select("user_id", "cue_id", "position", "label", "note")
+
+
 @query("interval_files", "SELECT user_id AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS idx, CAST(round(value * 10) AS BIGINT) AS ticks, 21370 AS clock, 8 AS ratio FROM events")
 def interval_files(spark, d):
     def encode(ticks: pd.Series) -> pd.Series:

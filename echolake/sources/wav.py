@@ -218,20 +218,32 @@ def chunks_of_content(recordings: DataFrame, chunk: int = DEFAULT_CHUNK) -> Data
     return _as_chunks(plan.withColumn("_c", F.pandas_udf(load, CHUNK_TYPE)("_b", "bits_per_sample", "is_float", "channels")))
 
 
-def wav_bytes(samples: np.ndarray, rate: int, guano: str | None = None) -> bytes:
-    """A mono 16-bit file of samples in [-1, 1)."""
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return kind + struct.pack("<I", len(body)) + body + (b"\0" if len(body) & 1 else b"")
+
+
+def wav_bytes(samples: np.ndarray, rate: int, guano: str | None = None, marks: list[tuple[int, int, str]] | None = None) -> bytes:
+    """A mono 16-bit file of samples in [-1, 1), with optional metadata text and (id, position, label) markers."""
     pcm = np.clip(np.round(np.asarray(samples, dtype=float) * 32768), -32768, 32767).astype("<i2").tobytes()
-    text = (guano or "").encode()
-    extra = b"guan" + struct.pack("<I", len(text)) + text + (b"\0" if len(text) & 1 else b"") if text else b""
-    body = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm + extra
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    body = b"WAVE" + _chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, rate, rate * 2, 2, 16)) + _chunk(b"data", pcm)
+    if guano:
+        body += _chunk(b"guan", guano.encode())
+    if marks:
+        points = b"".join(struct.pack("<II4sIII", i, 0, b"data", 0, 0, at) for i, at, _ in marks)
+        body += _chunk(b"cue ", struct.pack("<I", len(marks)) + points)
+        body += _chunk(b"LIST", b"adtl" + b"".join(_chunk(b"labl", struct.pack("<I", i) + t.encode() + b"\0") for i, _, t in marks))
+    return _chunk(b"RIFF", body)
+
 
+def encode_wav(rows: DataFrame, rate: int, samples: str = "samples", guano: str | None = None, marks: str | None = None) -> DataFrame:
+    """Add a ``content`` column holding each row's samples as a file; ``marks`` names an array of (id, position, label)."""
 
-def encode_wav(rows: DataFrame, rate: int, samples: str = "samples", guano: str | None = None) -> DataFrame:
-    """Add a ``content`` column holding each row's samples as a file."""
+    def run(x: pd.Series, text: pd.Series, points: pd.Series) -> pd.Series:
+        def listed(p):
+            return None if p is None else [tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in p]
 
-    def run(x: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([wav_bytes(np.asarray(a), rate, t) for a, t in zip(x, text)])
+        return pd.Series([wav_bytes(np.asarray(a), rate, t, listed(p)) for a, t, p in zip(x, text, points)])
 
     text = F.col(guano) if guano else F.lit(None).cast("string")
-    return rows.withColumn("content", F.pandas_udf(run, "binary")(F.col(samples), text))
+    points = F.col(marks) if marks else F.lit(None).cast("array<struct<id:bigint,position:bigint,label:string>>")
+    return rows.withColumn("content", F.pandas_udf(run, "binary")(F.col(samples), text, points))
