@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_RUNS (default 3, after one warm-up run).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_RUNS (default 2, after one warm-up run).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def main() -> None:
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cpus, os.environ.get("BENCH_MEMORY", "12g"))
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load_all()

@@ -1,12 +1,11 @@
 """Queries that replay tables as live feeds, read files derived from tables, and run resonator banks."""
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from echolake.functions.levels import r6
-from echolake.operators import bits, catalog, detect, filters, fingerprint, profile, resonators, spectral, stats
-from echolake.plans.chunking import lengths, to_chunks
+from echolake.operators import bits, fingerprint, profile, resonators, spectral, stats
+from echolake.plans.chunking import dense_index, lengths, to_chunks
 from echolake.plans.registry import INTS, SIG, ctes, query
 from echolake.plans.spectral_queries import DFT, FR, NN
 from echolake.sources import vehicles as v
@@ -127,46 +126,52 @@ def live_noise_bands(spark, d):
 
 
 def _files(spark, d):
-    """One WAV file per user, encoded by Spark from the events."""
-    chunks = v.sig(spark, d).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("idx", "y")))["y"].alias("samples"))
-    named = chunks.withColumn("guano", F.concat(F.lit("Make: Test\nModel: M"), (F.col("recording_id") % 3).cast("string")))
+    """WAV files of up to 64 samples, encoded by Spark from the events: a user's recording is cut into parts of bounded size."""
+    parts = v.sig(spark, d).groupBy(F.col("recording_id").alias("user_id"), F.expr("idx div 64").alias("part"))
+    chunks = parts.agg(F.array_sort(F.collect_list(F.struct("idx", "y")))["y"].alias("samples"))
+    named = chunks.withColumn("guano", F.concat(F.lit("Make: Test\nModel: M"), (F.col("user_id") % 3).cast("string")))
     n = F.size("samples")
     named = named.withColumn("marks", F.array(
-        F.struct(F.lit(1).cast("long").alias("id"), F.expr("size(samples) div 2").cast("long").alias("position"), F.concat(F.lit("call "), F.col("recording_id").cast("string")).alias("label")),
+        F.struct(F.lit(1).cast("long").alias("id"), F.expr("size(samples) div 2").cast("long").alias("position"), F.concat(F.lit("call "), F.col("user_id").cast("string")).alias("label")),
         F.struct(F.lit(2).cast("long").alias("id"), (n - 1).cast("long").alias("position"), F.lit("end").alias("label"))))
-    return wav.encode_wav(named, 1000, guano="guano", marks="marks").select(F.concat(F.lit("rec_"), F.lpad(F.col("recording_id").cast("string"), 6, "0")).alias("path"), F.col("recording_id").alias("user_id"), "content")
+    path = F.concat_ws("_", F.lit("rec"), F.col("user_id").cast("string"), F.col("part").cast("string"))
+    return wav.encode_wav(named, 1000, guano="guano", marks="marks").select(path.alias("path"), "user_id", "part", "content")
 
 
-@query("wav_headers", ctes(SIG) + "SELECT recording_id AS user_id, 1000 AS sample_rate, 1 AS channels, 16 AS bits_per_sample, count(*) AS total_frames, count(*) * 2 AS data_size, CAST(44 AS BIGINT) AS data_offset, 'M' || (recording_id % 3) AS model FROM sig GROUP BY 1")
+@query("wav_headers", ctes(SIG) + "SELECT recording_id AS user_id, idx // 64 AS part, 1000 AS sample_rate, 1 AS channels, 16 AS bits_per_sample, count(*) AS total_frames, count(*) * 2 AS data_size, CAST(44 AS BIGINT) AS data_offset, 'M' || (recording_id % 3) AS model FROM sig GROUP BY 1, 2")
 def wav_headers(spark, d):
     h = wav.headers_of_content(_files(spark, d))
-    return h.select("user_id", "sample_rate", "channels", "bits_per_sample", "total_frames", "data_size", "data_offset", F.regexp_extract("guano", r"Model: (\w+)", 1).alias("model"))
+    return h.select("user_id", "part", "sample_rate", "channels", "bits_per_sample", "total_frames", "data_size", "data_offset", F.regexp_extract("guano", r"Model: (\w+)", 1).alias("model"))
 
 
 @query("wav_samples", ctes(SIG) + "SELECT recording_id AS user_id, CAST(0 AS INTEGER) AS channel, idx, round(round(y * 32768) / 32768, 6) + 0.0 AS y FROM sig")
 def wav_samples(spark, d):
     h = wav.headers_of_content(_files(spark, d))
-    c = wav.chunks_of_content(h, 32).join(h.select("recording_id", "user_id"), "recording_id")
-    return c.select("user_id", "channel", "start_sample", F.posexplode("samples").alias("p", "y")).select("user_id", "channel", (F.col("start_sample") + F.col("p")).alias("idx"), r6(F.col("y").cast("double")).alias("y"))
+    c = wav.chunks_of_content(h, 24).join(h.select("recording_id", "user_id", "part"), "recording_id")
+    flat = c.select("user_id", "channel", "part", "start_sample", F.posexplode("samples").alias("p", "y"))
+    return flat.select("user_id", "channel", (F.col("part") * 64 + F.col("start_sample") + F.col("p")).alias("idx"), r6(F.col("y").cast("double")).alias("y"))
 
 
-@query("wav_markers", ctes(SIG, "n AS (SELECT recording_id, count(*) AS n FROM sig GROUP BY 1)") + "SELECT recording_id AS user_id, CAST(1 AS BIGINT) AS cue_id, n // 2 AS position, 'call ' || recording_id AS label, CAST(NULL AS VARCHAR) AS note FROM n UNION ALL SELECT recording_id, 2, n - 1, 'end', NULL FROM n")
+@query("wav_markers", ctes(SIG, "n AS (SELECT recording_id, idx // 64 AS part, count(*) AS n FROM sig GROUP BY 1, 2)") + "SELECT recording_id AS user_id, part, CAST(1 AS BIGINT) AS cue_id, n // 2 AS position, 'call ' || recording_id AS label, CAST(NULL AS VARCHAR) AS note FROM n UNION ALL SELECT recording_id, part, 2, n - 1, 'end', NULL FROM n")
 def wav_markers(spark, d):
     h = wav.headers_of_content(_files(spark, d))
-    m = wav.markers(h).join(h.select("recording_id", "user_id"), "recording_id")
-    return m.select("user_id", "cue_id", "position", "label", "note")
+    m = wav.markers(h).join(h.select("recording_id", "user_id", "part"), "recording_id")
+    return m.select("user_id", "part", "cue_id", "position", "label", "note")
 
 
-@query("interval_files", "SELECT user_id AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS idx, CAST(round(value * 10) AS BIGINT) AS ticks, 21370 AS clock, 8 AS ratio FROM events")
+@query("interval_files", "WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, CAST(round(value * 10) AS BIGINT) AS ticks FROM events) SELECT user_id || '_' || (i // 64) AS path, i % 64 AS idx, ticks, 21370 AS clock, 8 AS ratio FROM t")
 def interval_files(spark, d):
     def encode(ticks: pd.Series) -> pd.Series:
         head = bytearray(300)
         head[0:2], head[3], head[281:288] = (281).to_bytes(2, "little"), 129, (300).to_bytes(2, "little") + (21370).to_bytes(2, "little") + bytes([8, 0, 0])
         return pd.Series([bytes(head) + b"".join((0x8000 | int(x)).to_bytes(2, "big") for x in t) for t in ticks])
 
-    ev = v.table(spark, d, "events").select("user_id", "ts", F.round(F.col("value") * 10).cast("long").alias("k"))
-    files = ev.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "k")))["k"].alias("ks")).select(F.col("user_id").cast("string").alias("path"), F.pandas_udf(encode, "binary")("ks").alias("content"))
-    return zerocross.interval_rows(files).select(F.col("path").cast("long").alias("path"), "idx", "ticks", "clock", "ratio")
+    ev = v.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 10).cast("long").alias("k"))
+    placed = dense_index(ev, ["user_id"], F.floor(F.unix_micros("ts") / v.EVENT_BUCKET_MICROS), ["ts"])
+    parts = placed.groupBy("user_id", F.expr("idx div 64").alias("part")).agg(F.array_sort(F.collect_list(F.struct("idx", "k")))["k"].alias("ks"))
+    path = F.concat_ws("_", F.col("user_id").cast("string"), F.col("part").cast("string"))
+    files = parts.select(path.alias("path"), F.pandas_udf(encode, "binary")("ks").alias("content"))
+    return zerocross.interval_rows(files).select("path", "idx", "ticks", "clock", "ratio")
 
 
 @query("corpus_report")
