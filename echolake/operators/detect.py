@@ -101,7 +101,8 @@ def detect_pulses(envelope: DataFrame, lengths: DataFrame, sample_rate: int, set
     keys = list(keys)
     if settings.threshold_db < 0:
         raise ValueError("threshold_db must not be negative")
-    floors = noise_floor(envelope, lengths, keys)
+    # One row per recording, read twice below; kept so that the envelope behind it is not computed again.
+    floors = materialize(noise_floor(envelope, lengths, keys))
     high = F.col("floor") * 10 ** (settings.threshold_db / 20)
     low = F.col("floor") * 10 ** (max(settings.threshold_db - 3.0, 0.0) / 20)
     rows = envelope.join(floors, keys).select(*keys, "chunk", "idx", "env", "n", high.alias("high"), low.alias("low"))

@@ -34,9 +34,9 @@ PULSES_OUT = """SELECT recording_id, pulse_no, round(start_time, 6) AS start_tim
 PULSE_COLS = ("start_time", "end_time", "peak_time", "peak_amp", "snr_db")
 
 
-def _pulses(samples, chunk):
+def _pulses(samples, counts, chunk):
     env = detect.mean_envelope(samples, 4, chunk)
-    return detect.detect_pulses(env, lengths(samples), RATE, SETTINGS, chunk)
+    return detect.detect_pulses(env, counts, RATE, SETTINGS, chunk)
 
 
 def _rounded(p):
@@ -45,12 +45,12 @@ def _rounded(p):
 
 @query("pulse_detection", ctes(SIG, ENV, PULSES) + PULSES_OUT)
 def pulse_detection(spark, d):
-    return _rounded(_pulses(v.sig(spark, d), v.SIG_CHUNK))
+    return _rounded(_pulses(v.sig(spark, d), v.sig_lengths(spark, d), v.SIG_CHUNK))
 
 
 @query("pulse_detection_long_recording", ctes(SIG_ALL, ENV, PULSES) + PULSES_OUT)
 def pulse_detection_long(spark, d):
-    return _rounded(_pulses(v.sig_all(spark, d), v.SIG_ALL_CHUNK))
+    return _rounded(_pulses(v.sig_all(spark, d), v.sig_lengths(spark, d, single=True), v.SIG_ALL_CHUNK))
 
 
 SPEC_BY_USER = """sc AS (SELECT vec_id // 3 AS recording_id, (vec_id % 3) * 0.25 AS t, CAST(bin AS BIGINT) - 1 AS bin, abs(CAST(embedding[bin] AS DOUBLE)) AS mag
@@ -66,7 +66,7 @@ def pulse_peak_frequency(spark, d):
         F.expr("vec_id div 3").alias("recording_id"), ((F.col("vec_id") % 3) * 0.25).alias("t"),
         F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("mags"),
     )
-    out = detect.pulse_peak_bins(_pulses(v.sig(spark, d), v.SIG_CHUNK), columns)
+    out = detect.pulse_peak_bins(_pulses(v.sig(spark, d), v.sig_lengths(spark, d), v.SIG_CHUNK), columns)
     return out.select("recording_id", "pulse_no", F.col("peak_bin").cast("long").alias("peak_bin"))
 
 

@@ -45,6 +45,12 @@ def sig_all(spark: SparkSession, folder: str) -> DataFrame:
     return _signal(_events(spark, folder), F.lit(0))
 
 
+def sig_lengths(spark: SparkSession, folder: str, single: bool = False) -> DataFrame:
+    """Sample counts of ``sig`` (or ``sig_all``) from a plain count, without placing the samples."""
+    recording = F.lit(0).cast("long") if single else F.col("user_id").cast("long")
+    return table(spark, folder, "events").groupBy(recording.alias("recording_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def ints(spark: SparkSession, folder: str) -> DataFrame:
     """16-bit integer samples from order lines."""
     lines = table(spark, folder, "lineitem").withColumn("recording_id", F.col("l_suppkey") % 10)
