@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, personal, pieces, simhash, toxicity, warc
+from . import decontaminate, pages, personal, pieces, simhash, toxicity, warc
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read(index).select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "fits")
+
+
+@query
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
