@@ -90,3 +90,44 @@ def lists_of(flat, lengths) -> pa.Array:
 def bucket_of(column: Column, parts: int) -> Column:
     """crc32 of the decimal id modulo `parts`: the fold of a row."""
     return F.crc32(column.cast("string").cast("binary")) % parts
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the words seen last."""
+
+    most = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, 0)
+        return value
+
+
+def word_hashes(words: list[bytes]):
+    """An unsigned 64-bit hash for each word."""
+    import numpy as np
+
+    table_ = worker_cache("hashes").setdefault("table", WordHashes())
+    return np.fromiter(map(table_.__getitem__, words), np.uint64, len(words))
+
+
+def run_hashes(words, length: int, seed: int = 0):
+    """A 64-bit hash of every run of `length` word hashes."""
+    import numpy as np
+
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    factor = np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
+    out = np.full(n, np.uint64(seed + 1))
+    for i in range(length):
+        out = out * factor + words[i : i + n]
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xC4CEB9FE1A85EC53)
+    out ^= out >> np.uint64(33)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pages, personal, pieces, simhash, toxicity, warc
+from . import decontaminate, pages, personal, pieces, simhash, sketch, toxicity, warc
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
