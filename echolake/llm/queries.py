@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pages, personal, pieces, simhash, sketch, toxicity, warc
+from . import decontaminate, pages, personal, pieces, simhash, sketch, substrings, toxicity, warc
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
