@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pages, personal, pieces, simhash, sketch, substrings, toxicity, warc
+from . import decontaminate, language, pages, personal, pieces, simhash, sketch, substrings, toxicity, warc
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = language.scores(docs, bucket_of(F.col("doc_id"), 5) != 1, piece_model())
+    return got.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
