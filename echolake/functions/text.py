@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ def sequence_number(text: Column) -> Column:
     """struct(prefix, number) of names that end in an underscore and digits; null otherwise."""
     prefix, digits = F.regexp_extract(text, r"(?s)^(.+)_(\d+)$", 1), F.regexp_extract(text, r"(?s)^(.+)_(\d+)$", 2)
     number = digits.try_cast("long")
-    return F.when((prefix != "") & number.isNotNull() & (number < 2**32), F.struct(prefix.alias("prefix"), number.alias("number")))
+    return F.when((prefix != "") & number.isNotNull(), F.struct(prefix.alias("prefix"), number.alias("number")))
 
 
 def utc_offset_minutes(stamp: Column | str) -> Column:
@@ -148,13 +151,38 @@ def key_category(key: Column | str) -> Column:
     return F.struct(F.when(known.isNull() & cut, section).otherwise(std).alias("section"), F.coalesce(known, F.when(cut, name).otherwise(k)).alias("name"))
 
 
+_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|["{}\[\]]', re.S)
+_OPENER = re.compile(r"[{\[]")
+
+
+def first_json(text: str) -> str | None:
+    """The first balanced object or array, nested to any depth; brackets in strings do not count."""
+    best, open_, at = None, [], 0
+    while m := (_BRACKET if open_ else _OPENER).search(text, at):
+        at, c = m.end(), m.group()
+        if c in "{[":
+            open_.append((c, m.start()))
+        elif c in "}]" and open_[-1][0] == "{["["}]".index(c)]:
+            start = open_.pop()[1]
+            if not open_:
+                return text[start:at]
+            if best is None or start < best[0]:
+                best = (start, at)
+        elif len(c) == 1:  # no match can reach over a wrong bracket or an open quote
+            if best:
+                break
+            open_ = []
+    return text[best[0]:best[1]] if best else None
+
+
 def embedded_json(text: Column | str) -> Column:
-    """The first JSON object or array inside a text (flat or nested two deep), or null."""
-    quoted = r'"(?:[^"\\]|\\.)*"'
-    flat = rf"[^{{}}\[\]\"]|{quoted}"
-    obj = rf"\{{(?:{flat}|\{{(?:{flat})*\}}|\[(?:{flat})*\])*\}}"
-    arr = rf"\[(?:{flat}|\{{(?:{flat})*\}}|\[(?:{flat})*\])*\]"
-    return _or_null(F.regexp_extract(_c(text), rf"(?s)({obj}|{arr})", 1))
+    """The first JSON object or array inside a text, or null."""
+
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(first_json, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(_c(text))
 
 
 def _tenths(x: Column) -> Column:

@@ -47,11 +47,24 @@ def newest_copy(primary: DataFrame, secondary: DataFrame, key: str, value: str)
     )
 
 
-def tree_paths(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
+def check_acyclic(nodes: DataFrame) -> int:
+    """The rounds of pointer doubling that reach every root; a ValueError if parents form a cycle. Only ids are moved."""
+    known = nodes.select(F.col("id").alias("up"))
+    rows = materialize(nodes.select("id", F.col("parent_id").alias("up")).join(known, "up").select("id", "up"))
+    most = max(nodes.count(), 1).bit_length() + 1
+    for done in range(most + 1):
+        if rows.limit(1).count() == 0:
+            return done
+        rows = materialize(rows.join(rows.select(F.col("id").alias("up"), F.col("up").alias("_up2")), "up").select("id", F.col("_up2").alias("up")))
+    raise ValueError("annotation parents form a cycle")
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """Sortable root path and depth of nodes(id, parent_id, sort_order, created_at); unknown parents make roots.
 
-    Paths double in length each round, so a tree of depth d needs log2(d) joins.
+    Paths double in length each round, so a tree of depth d needs log2(d) joins. Cycles are found on ids alone, before paths grow.
     """
+    rounds = check_acyclic(nodes)
     known = nodes.select(F.col("id").alias("_p"), F.lit(True).alias("_k"))
     step = F.struct(
         F.col("sort_order").isNull().alias("unsorted"), F.coalesce("sort_order", F.lit(0.0)).alias("sort_order"), "created_at", "id"
@@ -60,17 +73,13 @@ def tree_paths(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
         nodes.join(known, F.col("parent_id") == F.col("_p"), "left")
         .select("id", F.when(F.col("_k"), F.col("parent_id")).alias("up"), F.array(step).alias("path"))
     )
-    for _ in range(max_rounds):
-        if rows.where("up IS NOT NULL").limit(1).count() == 0:
-            break
+    for _ in range(rounds):
         above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up2"), F.col("path").alias("_above"))
         rows = materialize(
             rows.join(above, "up", "left").select(
                 "id", F.col("_up2").alias("up"), F.concat(F.coalesce("_above", F.array().cast(rows.schema["path"].dataType)), "path").alias("path")
             )
         )
-    else:
-        raise ValueError("annotation parents form a cycle")
     return rows.select("id", (F.size("path") - 1).alias("depth"), F.transform("path", lambda s: s["id"]).alias("ids"), "path")
 
 

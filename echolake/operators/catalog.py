@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,14 +10,6 @@ from pyspark.sql import functions as F
 
 from echolake.functions import text
 
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension only after counting that it is small; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def metadata_pairs(texts: DataFrame, key: str = "id", column: str = "text") -> DataFrame:
     """Key/value rows of "Key: value" lines: trimmed, split at the first colon, blank and colon-free lines skipped."""
     lines = texts.select(key, F.posexplode(F.split(column, r"\r?\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
@@ -58,12 +51,11 @@ def sidecar_hashes(sidecars: DataFrame, key: str, column: str = "body") -> DataF
 def migrate_sidecars(sidecars: DataFrame, key: str, column: str = "body") -> DataFrame:
     """Move hash fields and ``retrieved`` under ``_app``; outcome is migrated, skipped (already so, or none) or error."""
     moved = [*HASH_KEYS, "retrieved"]
-    flat = F.from_json(column, "map<string,string>")
-    whole = sidecars.withColumn("_m", flat)
-    keep = F.map_filter("_m", lambda k, v: ~k.isin(moved))
+    whole = sidecars.withColumn("_m", F.from_json(column, "map<string,variant>"))
+    keep = F.map_filter("_m", lambda k, v: ~k.isin(*moved, "_app"))
     app = F.map_filter("_m", lambda k, v: k.isin(moved))
-    done = F.get_json_object(column, "$._app").isNotNull()
-    valid = F.coalesce(F.schema_of_json(F.lit("{}")).isNotNull() & F.col("_m").isNotNull() & (F.cardinality("_m") > 0), F.lit(False))
+    done = F.coalesce(F.get_json_object(column, "$._app").startswith("{"), F.lit(False))
+    valid = F.col("_m").isNotNull() & F.try_parse_json(column).isNotNull()
     outcome = F.when(~valid, "error").when(done | (F.cardinality(app) == 0), "skipped").otherwise("migrated")
     inner = F.to_json(app)
     outer = F.to_json(keep)
@@ -84,7 +76,16 @@ def upsert(index: DataFrame, changes: DataFrame, key: str, deleted: DataFrame |
 
 
 def write_index(index: DataFrame, path: str, partition: str) -> None:
-    index.write.mode("overwrite").partitionBy(partition).parquet(path)
+    """Replace the index in a folder: it is written beside it first, so it may be computed from the one it replaces."""
+    spark = index.sparkSession
+    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    index.write.partitionBy(partition).parquet(fresh)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(fresh), at(path))
+    fs.delete(at(old), True)
 
 
 def refresh(local: DataFrame, catalogue: DataFrame, key: str, columns: Sequence[str], local_only: Sequence[str]) -> DataFrame:
@@ -144,22 +145,22 @@ BAT_FRAGMENTS = (
 
 def country_region(rows: DataFrame, countries: DataFrame, column: str = "cnt") -> DataFrame:
     """Region of a country name from countries(country, region, approximate); unknown names stay null."""
-    dim = small(countries.select(F.lower(F.trim("country")).alias("_c"), "region", "approximate"))
+    dim = countries.select(F.lower(F.trim("country")).alias("_c"), "region", "approximate")
     return rows.join(dim, F.lower(F.trim(column)) == F.col("_c"), "left").drop("_c")
 
 
 def materialize_book(entries: DataFrame, species: DataFrame) -> DataFrame:
     """Book entries with species defaults; the position puts non-echolocating species last, otherwise in book order."""
-    joined = entries.join(small(species), "species_id")
+    joined = entries.join(species, "species_id")
     return joined.select(
         "region", "species_id", F.coalesce("name_override", "name").alias("name"), F.coalesce("description_override", "description").alias("description"),
-        "commonness", "echolocates", "ordinal", F.struct(~F.col("echolocates"), F.col("ordinal")).alias("_o"),
-    ).drop("_o")
+        "commonness", "echolocates", "ordinal",
+    )
 
 
 def selected_range(selection: DataFrame, book: DataFrame, recordings: DataFrame) -> DataFrame:
     """Combined frequency range of the species selected per recording, clamped to its Nyquist; none if above it."""
-    spans = selection.join(small(book), "species_id").groupBy("recording_id").agg(F.min("freq_lo_hz").alias("lo"), F.max("freq_hi_hz").alias("hi")).where("lo < hi")
+    spans = selection.join(book, "species_id").groupBy("recording_id").agg(F.min("freq_lo_hz").alias("lo"), F.max("freq_hi_hz").alias("hi")).where("lo < hi")
     nyquist = F.col("sample_rate") / 2
     rows = spans.join(recordings, "recording_id").where(F.col("lo") < nyquist)
     return rows.select("recording_id", F.col("lo").alias("lo_hz"), F.least("hi", nyquist).alias("hi_hz"), (F.col("hi") > nyquist).alias("clamped"))
@@ -170,9 +171,9 @@ def resolve_species(rows: DataFrame, entries: DataFrame, regions: DataFrame) ->
     where possible, else in the first region of the fixed order; entries(region, ordinal, species_id, scientific_name).
     """
     order = regions.select("region", "region_order")
-    book = small(entries.join(order, "region").where(F.col("region") != "Global").groupBy(F.lower("scientific_name").alias("name"), "region").agg(
+    book = entries.join(order, "region").where(F.col("region") != "Global").groupBy(F.lower("scientific_name").alias("name"), "region").agg(
         F.min(F.struct("region_order", "ordinal", "species_id")).alias("e")
-    ))
+    )
     query = rows.withColumn("q", F.lower(F.trim("species")))
     words = F.split("q", r"\s+")
     names = F.when(F.size(words) > 2, F.array_distinct(F.array(F.col("q"), F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))))).otherwise(F.array("q"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolake.operators.intervals import points_in_intervals
+from echolake.operators.ranks import nth_smallest
 from echolake.plans.chunking import chunk_window, dense_index, div, running_last, running_sum, with_chunk, with_halo
 from echolake.session import materialize
 
@@ -22,16 +23,10 @@ def mean_envelope(samples: DataFrame, window: int, chunk: int, keys: Sequence[st
     return rows.withColumn("env", F.avg(F.abs("y")).over(w)).where("core").drop("core")
 
 
-def noise_floor(envelope: DataFrame, lengths: DataFrame, keys: Sequence[str] = KEYS, points: int = 10_000) -> DataFrame:
-    """Tenth percentile of evenly strided envelope values; at most 2 x ``points`` values per recording."""
-    step = F.greatest(F.floor(F.col("n") / points), F.lit(1))
-    picked = envelope.join(lengths, list(keys)).where(F.col("idx") % step == 0)
-    ordered = F.sort_array(F.collect_list("env"))
-    return (
-        picked.groupBy(*keys)
-        .agg(ordered.alias("_e"), F.first("n").alias("n"))
-        .select(*keys, "n", F.greatest(F.get("_e", F.floor(F.size("_e") / 10).cast("int")), F.lit(1e-10)).alias("floor"))
-    )
+def noise_floor(envelope: DataFrame, lengths: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Tenth percentile of all envelope values, exact at every length."""
+    tenth = nth_smallest(envelope, keys, "env", F.expr("n div 10"), "_tenth")
+    return tenth.join(lengths, list(keys)).select(*keys, "n", F.greatest("_tenth", F.lit(1e-10)).alias("floor"))
 
 
 def latch(rows: DataFrame, rise: Column, fall: Column, out: str = "armed", keys: Sequence[str] = KEYS) -> DataFrame:

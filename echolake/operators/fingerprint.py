@@ -141,3 +141,20 @@ def inverse_filter_verdict(scores: DataFrame, keys: Sequence[str] = KEYS) -> Dat
         F.when((F.col("b.residual") < 0.02) & (F.abs(F.col("b.in_range_frac") - 1.0) < 1e-9) & default, "match")
         .when((F.col("b.residual") < 0.06) & (F.col("b.in_range_frac") > 0.99) & default, "possible").otherwise("no_match").alias("verdict"),
     )
+
+
+# The rates at which each test means something.
+MULTIPLE_RATES = (8_000, 384_000)
+INVERSE_RATES = (384_000 * 0.99, 384_000 * 1.01)
+
+
+def gated(verdicts: DataFrame, recordings: DataFrame, rates: tuple[float, float], padded: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Verdicts with ``not_applicable`` where recordings(keys, sample_rate, bits_per_sample, is_float, zero_padded) rule the test out:
+    anything but 16-bit integers, a rate outside the range, or (unless ``padded``) low bits that are all zero.
+    """
+    fits = ~F.col("is_float") & (F.col("bits_per_sample") == 16) & F.col("sample_rate").between(*rates)
+    if not padded:
+        fits = fits & ~F.coalesce(F.col("zero_padded"), F.lit(False))
+    facts = recordings.select(*keys, F.coalesce(fits, F.lit(False)).alias("_fits"))
+    joined = verdicts.join(facts, list(keys), "left")
+    return joined.withColumn("verdict", F.when(F.coalesce("_fits", F.lit(True)), F.col("verdict")).otherwise("not_applicable")).drop("_fits")

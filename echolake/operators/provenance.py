@@ -63,7 +63,7 @@ def bit_depth_certainty(rows: DataFrame) -> DataFrame:
 
 # Recorders that share each signature.
 FAMILY_FIRMWARE = (
-    "Pipistrelle", "AudioMoth (with custom HPF cutoff)", "Pettersson D1000 / D1000X / D500x", "Wildlife Acoustics Song Meter Mini Bat (firmware 2+)",
+    "Pipistrelle (Omenie)", "Pippyg", "Pipmini", "Pipistrelle USB Microphone", "Batsynth", "AudioMoth (with custom HPF cutoff)", "Pettersson D1000 / D1000X / D500x", "Wildlife Acoustics Song Meter Mini Bat (firmware 2+)",
     "Elekon Batlogger M / M2", "Echo Meter Touch (some firmware versions)", "Other 12-bit-ADC + DSP ultrasonic recorders",
 )
 HIGH_PASS_FIRMWARE = (

@@ -130,9 +130,12 @@ def content_hashes(spark, d):
     return docs.select("file_id", h["full"].alias("full"), h["content"].alias("content"))
 
 
-@query("spot_hashes", """WITH b AS (SELECT doc_id AS file_id, encode(text) AS c, octet_length(encode(text)) AS z FROM documents), k AS (SELECT *, least(4, greatest(CAST(ceil(z / 64.0::DOUBLE) AS BIGINT), 1)) AS n FROM b),
- p AS (SELECT file_id, i, sha256(c[CAST(floor(i * CASE WHEN n > 1 THEN (z - 64) / (n - 1)::DOUBLE ELSE 0 END) AS BIGINT) + 1 : CAST(floor(i * CASE WHEN n > 1 THEN (z - 64) / (n - 1)::DOUBLE ELSE 0 END) AS BIGINT) + 64]) AS h FROM k, generate_series(0, 3) g(i) WHERE i < n)
- SELECT file_id, sha256(string_agg(h, '' ORDER BY i)) AS spot FROM p GROUP BY 1""")
+SPOT = """b AS (SELECT doc_id AS file_id, encode(text) AS c, octet_length(encode(text)) AS z FROM documents), k AS (SELECT *, least(4, greatest(CAST(ceil(z / 64.0::DOUBLE) AS BIGINT), 1)) AS n FROM b),
+ p AS (SELECT file_id, i, sha256(c[CAST(floor(i * CASE WHEN n > 1 THEN (z - 64) / (n - 1)::DOUBLE ELSE 0 END) AS BIGINT) + 1 : CAST(floor(i * CASE WHEN n > 1 THEN (z - 64) / (n - 1)::DOUBLE ELSE 0 END) AS BIGINT) + 64]) AS h FROM k, generate_series(0, 3) g(i) WHERE i < n),
+spots AS (SELECT file_id AS spot_id, sha256(string_agg(h, '' ORDER BY i)) AS spot FROM p GROUP BY 1)"""
+
+
+@query("spot_hashes", ctes(SPOT) + """SELECT spot_id AS file_id, spot FROM spots""")
 def spot_hashes(spark, d):
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("c"))
     return docs.select("file_id", text.content_hashes(F.col("c"), F.lit(0), F.octet_length("c"), pieces=4, piece=64)["spot"].alias("spot"))
@@ -141,7 +144,7 @@ def spot_hashes(spark, d):
 @query("catalogue_pages", ctes(CAT) + "SELECT gen, sp, count(*) AS n FROM cat WHERE smp % 2000 <> 0 AND cnt <> 'NATION_3' GROUP BY 1, 2")
 def catalogue_pages(spark, d):
     cat = v.catalogue(spark, d)
-    ids = F.when(F.col("smp") % 2000 == 0, F.concat(F.lit("x"), "id")).otherwise(F.regexp_replace(F.substring("id", 1, 15), "-", ""))
+    ids = F.when(F.col("smp") % 2000 == 0, F.concat(F.lit("x"), "id")).otherwise(F.abs(F.xxhash64("id") % 10**15).cast("string"))
     rec = F.struct(ids.alias("id"), "gen", "sp", "en", "q", F.col("smp").cast("string").alias("smp"), F.when(F.col("cnt") == "NATION_3", "").otherwise("f.wav").alias("file"))
     # Pages of bounded size: a few dozen recordings each.
     pages = cat.groupBy(F.pmod(F.xxhash64("id"), F.lit(4096)).alias("page"), F.substring("id", 1, 6).alias("part")).agg(F.to_json(F.struct(F.collect_list(rec).alias("recordings"))).alias("body"))
@@ -154,7 +157,7 @@ SIDECAR = """SELECT doc_id AS id, sha256(text) AS sha256, CAST(n_chars AS VARCHA
 
 def _sidecars(spark, d):
     docs = v.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("file_size"), "lang")
-    flat = F.to_json(F.struct(F.col("doc_id").alias("id"), "sha256", "file_size", F.lit("2024").alias("retrieved")))
+    flat = F.to_json(F.struct(F.col("doc_id").alias("id"), F.array(F.lit("a"), F.lit("b")).alias("also"), F.lit(1.5).alias("num"), "sha256", "file_size", F.lit("2024").alias("retrieved")))
     nested = F.to_json(F.struct(F.col("doc_id").alias("id"), F.struct("sha256", "file_size").alias("_app")))
     bare = F.to_json(F.struct(F.col("doc_id").alias("id"), "lang"))
     kind = F.col("file_size") % 4
@@ -166,10 +169,11 @@ def sidecar_hashes(spark, d):
     return K.sidecar_hashes(_sidecars(spark, d), "id").select("id", "sha256", "file_size")
 
 
-@query("sidecar_migration", "SELECT doc_id AS id, CASE n_chars % 4 WHEN 2 THEN 'error' WHEN 3 THEN 'migrated' ELSE 'skipped' END AS outcome, CASE WHEN n_chars % 4 IN (0, 3) THEN sha256(text) END AS sha256 FROM documents")
+@query("sidecar_migration", """SELECT doc_id AS id, CASE n_chars % 4 WHEN 2 THEN 'error' WHEN 3 THEN 'migrated' ELSE 'skipped' END AS outcome, CASE n_chars % 4
+ WHEN 0 THEN concat('{"id":', doc_id, ',"_app":{"sha256":"', sha256(text), '","file_size":', n_chars, '}}') WHEN 1 THEN concat('{"id":', doc_id, ',"lang":"', lang, '"}') WHEN 2 THEN 'not json'
+ ELSE concat('{"id":', doc_id, ',"also":["a","b"],"num":1.5,"_app":{"sha256":"', sha256(text), '","file_size":', n_chars, ',"retrieved":"2024"}}') END AS body FROM documents""")
 def sidecar_migration(spark, d):
-    m = K.migrate_sidecars(_sidecars(spark, d), "id")
-    return m.select("id", "outcome", F.get_json_object("body", "$._app.sha256").alias("sha256"))
+    return K.migrate_sidecars(_sidecars(spark, d), "id").select("id", "outcome", "body")
 
 
 @query("sidecar_migration_counts", "SELECT CASE n_chars % 4 WHEN 2 THEN 'error' WHEN 3 THEN 'migrated' ELSE 'skipped' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
@@ -298,19 +302,19 @@ def selected_frequency_range(spark, d):
     return K.selected_range(sel, _species(spark, d).select("species_id", "freq_lo_hz", "freq_hi_hz"), recs)
 
 
-ID_L = """il AS (SELECT file_id, filename, file_size, file_size // 10 AS ds, CASE WHEN file_size % 3 <> 0 THEN full_hash END AS f, CASE WHEN file_size % 5 <> 0 THEN content_hash END AS c, CASE WHEN file_size % 7 <> 0 THEN spot END AS s FROM (SELECT ident.*, sha256(substr(text, 1, 12)) AS spot FROM ident JOIN documents ON doc_id = file_id))"""
-ID_R = """ir AS (SELECT file_id, filename, file_size, file_size // 10 AS ds, CASE WHEN file_id % 4 <> 0 THEN full_hash END AS f, CASE WHEN file_id % 3 <> 0 THEN content_hash END AS c, CASE WHEN file_id % 5 <> 0 THEN spot END AS s FROM (SELECT ident.*, sha256(substr(text, 1, 12)) AS spot FROM ident JOIN documents ON doc_id = file_id))"""
+ID_L = """il AS (SELECT file_id, filename, file_size, file_size // 10 AS ds, CASE WHEN file_size % 3 <> 0 THEN full_hash END AS f, CASE WHEN file_size % 5 <> 0 THEN content_hash END AS c, CASE WHEN file_size % 7 <> 0 THEN spot END AS s FROM (SELECT ident.*, spot FROM ident JOIN spots ON spot_id = file_id))"""
+ID_R = """ir AS (SELECT file_id, filename, file_size, file_size // 10 AS ds, CASE WHEN file_id % 4 <> 0 THEN full_hash END AS f, CASE WHEN file_id % 3 <> 0 THEN content_hash END AS c, CASE WHEN file_id % 5 <> 0 THEN spot END AS s FROM (SELECT ident.*, spot FROM ident JOIN spots ON spot_id = file_id))"""
 
 
 def _identity_side(spark, d, by, fmod, cmod, smod):
-    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.sha2(F.substring("text", 1, 12), 256).alias("spot"))
+    docs = spot_hashes(spark, d)
     x = F.col(by)
     return v.identities(spark, d).join(docs, "file_id").select(
         "file_id", "filename", "file_size", F.expr("file_size div 10").alias("data_size"), F.when(x % fmod != 0, F.col("full_hash")).alias("full_hash"),
         F.when(x % cmod != 0, F.col("content_hash")).alias("content_hash"), F.when(x % smod != 0, F.col("spot")).alias("spot_hash"))
 
 
-@query("identity_matches", ctes(IDENT, ID_L, ID_R, """pr AS (SELECT l.file_id, r.file_id AS rid, CASE WHEN l.f IS NOT NULL AND r.f IS NOT NULL THEN CASE WHEN l.f = r.f THEN 4 ELSE 0 END
+@query("identity_matches", ctes(IDENT, SPOT, ID_L, ID_R, """pr AS (SELECT l.file_id, r.file_id AS rid, CASE WHEN l.f IS NOT NULL AND r.f IS NOT NULL THEN CASE WHEN l.f = r.f THEN 4 ELSE 0 END
  WHEN l.c IS NOT NULL AND r.c IS NOT NULL AND l.c = r.c THEN 3 WHEN l.c IS NOT NULL AND r.c IS NOT NULL AND NOT (l.ds = r.ds AND l.ds > 0) THEN 0
  WHEN l.s IS NOT NULL AND r.s IS NOT NULL THEN CASE WHEN l.s = r.s THEN 2 ELSE 0 END WHEN l.filename = r.filename AND l.file_size = r.file_size THEN 1 ELSE 0 END AS lv FROM il l, ir r)""",
  "bp AS (SELECT file_id, rid, lv, row_number() OVER (PARTITION BY file_id ORDER BY lv DESC, rid) AS k FROM pr WHERE lv > 0)") +
@@ -324,7 +328,7 @@ def duplicate_clusters(spark, d):
     return K.duplicate_clusters(v.identities(spark, d))
 
 
-@query("identity_verification", ctes(IDENT, ID_L, ID_R, "rf AS (SELECT coalesce(r.file_id, l.file_id) AS file_id, coalesce(r.f, l.f) AS f, coalesce(r.s, l.s) AS s, coalesce(r.c, l.c) AS c FROM ir r FULL JOIN (SELECT file_id + 1 AS file_id, f, s, c FROM il) l ON l.file_id = r.file_id)") +
+@query("identity_verification", ctes(IDENT, SPOT, ID_L, ID_R, "rf AS (SELECT coalesce(r.file_id, l.file_id) AS file_id, coalesce(r.f, l.f) AS f, coalesce(r.s, l.s) AS s, coalesce(r.c, l.c) AS c FROM ir r FULL JOIN (SELECT file_id + 1 AS file_id, f, s, c FROM il) l ON l.file_id = r.file_id)") +
  """SELECT l.file_id, CASE WHEN CASE WHEN l.file_size < 500 THEN l.f = r.f ELSE l.s = r.s END IS NULL THEN 'pending' WHEN CASE WHEN l.file_size < 500 THEN l.f = r.f ELSE l.s = r.s END THEN 'match'
  WHEN coalesce(l.c = r.c, false) THEN 'content_match' ELSE 'mismatch' END AS outcome FROM il l LEFT JOIN rf r ON r.file_id = l.file_id""")
 def identity_verification(spark, d):

@@ -15,7 +15,7 @@ SETTINGS = detect.PulseSettings(threshold_db=6.0, min_gap_ms=30.0, min_ms=20.0,
 ENV = """nn AS (SELECT recording_id, count(*) AS n FROM sig GROUP BY 1),
 env AS (SELECT recording_id, idx, y, avg(abs(y)) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS env FROM sig),
 pick AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY env) - 1 AS r, count(*) OVER (PARTITION BY recording_id) AS m, env
-  FROM env JOIN nn USING (recording_id) WHERE idx % greatest(n // 10000, 1) = 0),
+  FROM env JOIN nn USING (recording_id)),
 flr AS (SELECT recording_id, greatest(env, 1e-10) AS flr FROM pick WHERE r = m // 10)"""
 PULSES = """ev AS (SELECT recording_id, idx, env, flr, n, CASE WHEN env >= flr * 10 ** (6.0 / 20) THEN 1 WHEN env < flr * 10 ** (3.0 / 20) THEN 0 END AS e
   FROM env JOIN flr USING (recording_id) JOIN nn USING (recording_id)),

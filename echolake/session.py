@@ -27,11 +27,13 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where unset in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or tempfile.mkdtemp(prefix="spark-")
+        path = spark.sparkContext.getCheckpointDir()
+        if not path and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = path or tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +89,8 @@ def read_header(read: Callable[[int, int], bytes], size: int) -> tuple:
     frame = channels * (bits // 8)
     if tag not in (1, 3) or frame == 0:
         return (None,) * 11 + (f"unsupported format tag {tag}" if frame else "zero bytes per frame",)
+    if bits not in ((32,) if tag == 3 else (8, 16, 24, 32)):
+        return (None,) * 11 + (f"unsupported sample width {bits}",)
     offset, length = data
     room = max(size - offset, 0)
     if length == 0xFFFFFFFF or (room > length + 1024 and room > 1_000_000):
@@ -95,7 +99,7 @@ def read_header(read: Callable[[int, int], bytes], size: int) -> tuple:
 
 
 def decode(raw: bytes, bits: int, is_float: bool) -> np.ndarray:
-    """Interleaved samples in [-1, 1); unsupported widths decode to silence."""
+    """Interleaved samples in [-1, 1); other widths are a ValueError."""
     if is_float and bits == 32:
         return np.frombuffer(raw, "<f4").astype(np.float32)
     if not is_float and bits in (16, 32):
@@ -104,12 +108,19 @@ def decode(raw: bytes, bits: int, is_float: bool) -> np.ndarray:
         parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         whole = parts[:, 0] | (parts[:, 1] << 8) | (parts[:, 2] << 16)
         return (((whole ^ 0x800000) - 0x800000) / 2.0**23).astype(np.float32)
-    return np.zeros(len(raw) // max(bits // 8, 1), np.float32)
+    if not is_float and bits == 8:
+        return ((np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128).astype(np.float32)
+    raise ValueError(f"unsupported sample width {bits}")
 
 
 def _open(path: str):
     uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
-    fs, inner = pafs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        return pafs.LocalFileSystem().open_input_file(uri)
+    if scheme == "file":
+        return pafs.LocalFileSystem().open_input_file(unquote("/" + rest.lstrip("/")))
+    fs, inner = pafs.FileSystem.from_uri(f"{scheme}://{quote(unquote(rest), safe='/:@')}")
     return fs.open_input_file(inner)
 
 
@@ -121,7 +132,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.[wW][aA][vV]")
     )
 
 
-def scan_headers(files: DataFrame, tasks: int = 200) -> DataFrame:
+def scan_headers(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """Recording rows from file rows, by range reads of the chunk heads only."""
 
     def scan(paths: pd.Series, sizes: pd.Series) -> pd.DataFrame:
@@ -134,11 +145,11 @@ def scan_headers(files: DataFrame, tasks: int = 200) -> DataFrame:
                         return f.read(n)
 
                     rows.append(read_header(read, int(size)))
-            except OSError as e:
+            except (OSError, ValueError, pa.ArrowException, struct.error) as e:
                 rows.append((None,) * 11 + (str(e),))
         return pd.DataFrame(rows, columns=_FIELDS)
 
-    spread = files.repartition(tasks, "path")
+    spread = files.repartition(tasks, "path") if tasks else files.repartition("path")
     return _recordings(spread.withColumn("h", F.pandas_udf(scan, HEADER_TYPE)("path", "file_size")))
 
 
@@ -193,18 +204,25 @@ def _as_chunks(rows: DataFrame) -> DataFrame:
     return rows.select("recording_id", "chunk", "start_sample", F.posexplode("_c").alias("channel", "samples"))
 
 
-def read_chunks(recordings: DataFrame, chunk: int = DEFAULT_CHUNK, tasks: int = 2000) -> DataFrame:
-    """Chunk arrays per channel, each read by its own byte range; chunks of one file go to many tasks."""
+def read_chunks(recordings: DataFrame, chunk: int = DEFAULT_CHUNK, tasks: int | None = None) -> DataFrame:
+    """Chunk arrays per channel, each read by its own byte range; chunks of one file go to many tasks.
+
+    A chunk that cannot be read gives no rows.
+    """
 
     def load(paths: pd.Series, at: pd.Series, n: pd.Series, bits: pd.Series, flt: pd.Series, channels: pd.Series) -> pd.Series:
         out = []
         for row in zip(paths, at, n, bits, flt, channels):
-            with _open(row[0]) as f:
-                f.seek(int(row[1]))
-                out.append(_split(f.read(int(row[2])), int(row[3]), bool(row[4]), int(row[5])))
+            try:
+                with _open(row[0]) as f:
+                    f.seek(int(row[1]))
+                    out.append(_split(f.read(int(row[2])), int(row[3]), bool(row[4]), int(row[5])))
+            except (OSError, ValueError, pa.ArrowException):
+                out.append([])
         return pd.Series(out)
 
-    plan = chunk_plan(recordings, chunk).repartition(tasks, "recording_id", "chunk")
+    plan = chunk_plan(recordings, chunk)
+    plan = plan.repartition(tasks, "recording_id", "chunk") if tasks else plan.repartition("recording_id", "chunk")
     return _as_chunks(plan.withColumn("_c", F.pandas_udf(load, CHUNK_TYPE)("path", "byte_at", "byte_n", "bits_per_sample", "is_float", "channels")))
 
 

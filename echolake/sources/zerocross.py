@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MAX_DOTS = 1_000_000
+BATCH_DOTS = 100_000
 # Smallest header, file types, plausible clock range, and the status code of switched-off dots.
 HEADER_BYTES, FILE_TYPES, CLOCK_RANGE, STATUS_OFF = 281, range(129, 133), (10_000, 60_000), 1
 
@@ -39,7 +39,7 @@ def intervals(data: bytes) -> tuple[list[int], list[bool]]:
     ticks: list[int] = []
     off: list[tuple[int, int]] = []
     last = i = 0
-    while i < len(data) and len(ticks) < MAX_DOTS:
+    while i < len(data):
         lead = data[i]
         if lead < 0x80:
             last = max(last + (lead - 128 if lead > 63 else lead), 0)
@@ -74,7 +74,10 @@ def interval_rows(files: DataFrame) -> DataFrame:
                 try:
                     data, clock, ratio = read_info(bytes(raw))
                     ticks, flags = intervals(bytes(raw[data:]))
-                    yield pd.DataFrame({"path": path, "idx": range(len(ticks)), "ticks": ticks, "is_off": flags, "clock": clock, "ratio": ratio, "error": None})
+                    for a in range(0, max(len(ticks), 1), BATCH_DOTS):
+                        part = ticks[a:a + BATCH_DOTS]
+                        yield pd.DataFrame({"path": path, "idx": range(a, a + len(part)), "ticks": part, "is_off": flags[a:a + BATCH_DOTS],
+                                            "clock": clock, "ratio": ratio, "error": None})
                 except ValueError as e:
                     yield pd.DataFrame({"path": [path], "idx": [0], "ticks": [None], "is_off": [None], "clock": [None], "ratio": [None], "error": [str(e)]})
 
