@@ -1,6 +1,9 @@
 """No caps, prefixes or size switches, and the inputs that used to give wrong answers."""
 
 import json
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -108,3 +111,10 @@ def test_shared_folder_is_needed_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_dir(Session)
+
+
+def test_entry_without_the_corpus_package():
+    code = ("import sys; sys.modules['corpus_pipeline'] = None; sys.modules['echolake.llm'] = None; import __spark_entry__ as e; "
+            "assert len(e.queries()) > 180 and not e.CORPUS and set(e.oracle_sql()) <= set(e.queries())")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
