@@ -255,6 +255,6 @@ def page(rows: DataFrame, order: Sequence[str], number: int, size: int) -> DataF
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def file_rollup(files: DataFrame) -> DataFrame:
-    """Count, duration and size by format and sample rate, with all subtotals."""
-    return files.cube("format", "sample_rate").agg(F.count(F.lit(1)).alias("files"), F.sum("duration_secs").alias("duration_secs"), F.sum("file_size").alias("file_size"))
+def file_rollup(files: DataFrame, dimensions: Sequence[str] = ("format", "sample_rate")) -> DataFrame:
+    """Count, duration and size by the dimensions, with all subtotals."""
+    return files.cube(*dimensions).agg(F.count(F.lit(1)).alias("files"), F.sum("duration_secs").alias("duration_secs"), F.sum("file_size").alias("file_size"))

@@ -355,6 +355,20 @@ def file_rollup(spark, d):
     return K.file_rollup(p).withColumn("duration_secs", F.round("duration_secs", 2))
 
 
+LICENCE = """CASE event_id % 4 WHEN 0 THEN 'CC BY-NC-SA 4.0' WHEN 1 THEN 'cc0' WHEN 2 THEN 'CC BY 3.0' END"""
+
+
+@query("licence_rollup", f"""SELECT event_type AS format, {LICENCE} AS licence, count(*) AS files, round(sum(value), 2) AS duration_secs, CAST(sum(user_id) AS BIGINT) AS file_size
+ FROM events GROUP BY CUBE (event_type, {LICENCE})""")
+def licence_rollup(spark, d):
+    kind = F.col("event_id") % 4
+    stated = (F.when(kind == 0, "//creativecommons.org/licenses/by-nc-sa/4.0/").when(kind == 1, "cc0").when(kind == 2, "https://creativecommons.org/licenses/by/3.0/")
+              .otherwise("all rights reserved"))
+    files = v.table(spark, d, "events").select(
+        F.col("event_type").alias("format"), text.licence_label(stated).alias("licence"), F.col("value").alias("duration_secs"), F.col("user_id").alias("file_size"))
+    return K.file_rollup(files, ["format", "licence"]).withColumn("duration_secs", F.round("duration_secs", 2))
+
+
 EVID = """ev AS (SELECT o_orderkey AS recording_id, CASE WHEN o_custkey % 10 = 0 THEN 24 ELSE 16 END AS container_bits, o_custkey % 13 = 0 AS is_float, CASE o_orderkey % 6 WHEN 0 THEN 'MP3' WHEN 1 THEN 'FLAC' ELSE 'WAV' END AS format,
  ['zero_padded','quiet_section_zero_padded','dsp_padded','inconclusive','consistent'][o_orderkey % 5 + 1] AS lv, 1 + o_custkey % 5 AS pad, CASE WHEN o_orderkey % 5 = 0 THEN 15 - o_custkey % 5 WHEN o_orderkey % 5 IN (1, 2) THEN 12 END AS lb,
  o_totalprice / 5000 AS cov, 8 + o_totalprice / 40000 AS res, ['match','possible','no_match'][o_custkey % 3 + 1] AS iv, ['match','possible','no_match','no_match'][o_custkey % 4 + 1] AS mv,
