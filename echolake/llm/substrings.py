@@ -51,9 +51,9 @@ class Levels:
 
     def extended(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the half windows that end with and that start with each anchor; 0 where there is none."""
-        double = run_hashes(self.hashes, 2 * self.run, 2)
+        double, left_bit = run_hashes(self.hashes, 2 * self.run, 2), 1 << 32  # a half that exists is not 0
         left, right = self.anchors - self.run, self.anchors
-        pick = lambda at: np.where((at >= 0) & (at < len(double)), double[np.clip(at, 0, len(double) - 1)], 0)
+        pick = lambda at: np.where((at >= 0) & (at < len(double)), double[np.clip(at, 0, len(double) - 1)] | np.uint64(left_bit), np.uint64(0))
         return pick(left), pick(right)
 
     def candidates(self, sides: dict[int, int]) -> np.ndarray:
@@ -115,9 +115,10 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             if h:
                 h, ids, at, left, right = map(np.concatenate, (h, ids, at, left, right))
                 rep, known = _thin(h)
-                yield from _emit({"h": _signed(h), "id": ids, "at": at, "left": _signed(left), "right": _signed(right), "known": known, "rep": rep})
+                half = (left >> np.uint64(32) << np.uint64(32)) | right >> np.uint64(32)
+                yield from _emit({"h": _signed(h), "id": ids, "p": at << 2 | known.astype(np.int64) << 1 | (~rep).astype(np.int64) << 62, "half": _signed(half)})
 
-    return docs.mapInArrow(run, "h long, id long, at long, left long, right long, known boolean, rep boolean")
+    return docs.mapInArrow(run, "h long, id long, p long, half long")
 
 
 def _thin(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,38 +132,40 @@ def _thin(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def survivors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`id`, `anchors` (place * 4 + sides): the anchors that are repeated after doubling, per document."""
     rows = _anchors(docs, window)
-    spread = F.when(F.col("rep"), F.col("h")).otherwise(F.xxhash64("id", "at"))  # rows that need no partner go anywhere
+    lone = F.shiftrightunsigned("p", 62) == 0
+    spread = F.when(lone, F.col("h")).otherwise(F.xxhash64("id", "p"))  # rows that need no partner go anywhere
 
     def first(batches):
-        """Rows sorted by place of meeting and hash: those known to be repeated, and those that meet another."""
+        """Rows sorted by hash, those that may meet another first: the ones known to be repeated and the ones that do."""
         held = None
-        names = None
         for batch in batches:
-            names = batch.schema.names
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in OUT}
             if held is not None:
-                cols = {c: np.concatenate([held[c], cols[c]]) for c in names}
-            n = len(cols["h"])
-            if not n:
+                cols = {c: np.concatenate([held[c], cols[c]]) for c in OUT}
+            if not len(cols["h"]):
                 continue
-            same = (cols["s"][1:] == cols["s"][:-1]) & (cols["h"][1:] == cols["h"][:-1]) & cols["rep"][1:] & cols["rep"][:-1]
-            keep = cols["known"].copy()
+            rep = cols["p"] < 1 << 62
+            same = (cols["h"][1:] == cols["h"][:-1]) & rep[1:] & rep[:-1]
+            keep = (cols["p"] & 2) > 0
             keep[1:] |= same
             keep[:-1] |= same
             if held is not None:
                 keep[0] |= held_keep
-            held, held_keep = {c: cols[c][-1:] for c in names}, keep[-1]
+            held, held_keep = {c: cols[c][-1:] for c in OUT}, keep[-1]
             yield from _emit({c: cols[c][:-1][keep[:-1]] for c in OUT})
         if held is not None and held_keep:
-            yield from _emit({c: held[c] for c in OUT})
-
-    OUT = ("id", "at", "left", "right")
-    met = rows.withColumn("s", spread).repartition("s").sortWithinPartitions("s", "h").mapInArrow(first, "id long, at long, left long, right long")
-    both = met.select("id", "at", F.explode(F.array(
-        F.struct(F.col("left").alias("h"), F.lit(1).alias("side")), F.struct(F.col("right").alias("h"), F.lit(2).alias("side")))).alias("x")).select("id", "at", "x.*").where("h <> 0")
+            yield from _emit(held)
+
+    OUT = ("h", "id", "p", "half")
+    met = rows.repartition(spread).sortWithinPartitions("h", "p").mapInArrow(first, "h long, id long, p long, half long")
+    left, right = F.shiftrightunsigned("half", 32), F.col("half").bitwiseAND(F.lit(0xFFFFFFFF))
+    at = F.shiftright(F.col("p").bitwiseAND(F.lit((1 << 62) - 1)), 2)
+    both = met.select("h", "id", at.alias("at"), F.explode(F.array(
+        F.struct(left.alias("x"), F.lit(1).alias("side")), F.struct(right.alias("x"), F.lit(2).alias("side")))).alias("e")) \
+        .where("e.x <> 0").select(F.xxhash64("h", "e.x", "e.side").alias("h"), "id", (F.col("at") * 4 + F.col("e.side")).alias("a"))
     both = stored(both, "halves")
     counts = both.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    kept = both.join(counts, "h", "left_semi").select("id", (F.col("at") * 4 + F.col("side")).alias("a"))
+    kept = both.join(counts, "h", "left_semi").select("id", "a")
     return kept.groupBy("id").agg(F.collect_list("a").alias("anchors"))  # at most two for each word of the document
 
 
@@ -223,7 +226,7 @@ def deduplicate(df: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", tex
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.col(doc_id).isNull().alias("lost"), F.coalesce(text, F.lit("")).alias("t"))
     marks = stored(survivors(docs.select("id", "t"), window), "anchors")
     joined = docs.join(marks.hint("merge"), "id", "left")
-    firsts = _firsts(joined.select("id", "t", "anchors"), window).groupBy("id").agg(F.collect_list("at").alias("firsts"))  # at most one for each word
+    firsts = _firsts(joined.select("id", "lost", "t", "anchors"), window).groupBy("id").agg(F.collect_list("at").alias("firsts"))  # at most one for each word
     both = joined.join(firsts.hint("merge"), "id", "left")
     schema = T.StructType([T.StructField(doc_id, T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
