@@ -3,7 +3,9 @@
 A page is cut into blocks of text and elements. Containers are scored by the text of their blocks less what stands in links; the
 best ones vote, with their share of the page's score, for their generalised path (tags and classes from the root, digits made
 equal). Votes are summed per host in Spark, and each page is extracted again from the elements on its host's winning path, or from
-its own best container where it has none. Menus, footers, forms, scripts, adverts, notices, comments and the like never count.
+its own best container where it has none. Menus, footers, forms, scripts, adverts, notices, comments and the like never count; a class or
+id counts as such a name if it is one or joins one with words of place or shape (`AFFIXES`), and not on an element that holds the
+main element, the article with the page's title or most of the page's text outside links and comments.
 A page header goes; inside the winning container its headings stay.
 
 Null and empty pages give an empty text; markup that does not close, or text without markup, is read as far as it goes.
@@ -42,14 +44,34 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments "
     "reply replies disqus share sharing social related recommended recommendations widget pagination pager copyright skip".split())
+COMMENTS = frozenset("comment comments reply replies disqus".split())
+#: What may stand beside a name in a class or id: "ad-slot" is an advert, "no-sidebar" or "comments-open" says something of the page.
+AFFIXES = frozenset(
+    "slot box block container wrapper wrap area list section unit bar item items link links button buttons icons panel inner outer content "
+    "text body title head top bottom left right main primary secondary site page post posts global header form group row col column id js "
+    "module media google mobile desktop".split())
 DEPTH = 400
 
 
+_MARKS = NAMES | {"header"}
+
+
+def named(value: str, names: frozenset) -> set[str]:
+    """The names that stand in a class or id beside nothing but names and affixes."""
+    out = set()
+    for token in value.lower().split():
+        parts = set(_WORD.findall(token))
+        if parts & names and parts <= names | NAMES | AFFIXES:
+            out |= parts & names
+    return out
+
+
 class Page:
     """Elements (parent, path, tag, dropped) and blocks (text, characters in links, element, heading, in header) in page order."""
 
     def __init__(self, source: str):
         self.parent, self.path, self.tags, self.dropped, self.header = [-1], [""], [""], [False], [False]
+        self._names: dict[int, set[str]] = {}
         self.blocks: list[tuple[str, int, int]] = []
         self._stack, self._open = [0], {}
         self._text: list[str] = []
@@ -75,6 +97,35 @@ class Page:
             else:
                 self._start(name, rest)
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Drop elements by name, but those that hold the page's article, and hand down what is dropped and what is header."""
+        n = len(self.path)
+        if self._names:
+            hard, comment, key, size = self.dropped[:], [False] * n, [False] * n, [0] * n
+            inside = [False] * n
+            for e in range(1, n):
+                hard[e] |= hard[self.parent[e]]
+                inside[e] = self.tags[e] == "article" or inside[self.parent[e]]
+                key[e] = not hard[e] and (self.tags[e] == "main" or self.tags[e] == "h1" and inside[e])
+            for e in range(n - 1, 0, -1):
+                key[self.parent[e]] |= key[e]
+            for e in range(1, n):
+                comment[e] = comment[self.parent[e]] or not key[e] and bool(self._names.get(e, set()) & COMMENTS)
+            for text, links, e in self.blocks:
+                if not hard[e] and not comment[e]:
+                    size[e] += max(0, len(text) - links)
+            for e in range(n - 1, 0, -1):
+                size[self.parent[e]] += size[e]
+            for e, names in self._names.items():
+                if key[e] or size[e] * 2 > size[0]:
+                    continue
+                self.dropped[e] |= bool(names & NAMES)
+                self.header[e] |= "header" in names
+        for e in range(1, n):
+            self.dropped[e] |= self.dropped[self.parent[e]]
+            self.header[e] |= self.header[self.parent[e]]
 
     def _add(self, text: str) -> None:
         if text:
@@ -106,11 +157,14 @@ class Page:
         here = self._stack[-1]
         values = {a.lower(): (x or y or z) for a, x, y, z in _ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
         label = values.get("class", "")
-        words = set(_WORD.findall(f"{label} {values.get('id', '')}".lower()))
-        dropped = self.dropped[here] or name in DROPPED or values.get("role", "").lower() in ROLES or bool(words & NAMES) \
+        words = named(label, _MARKS) | named(values.get("id") or "", _MARKS)
+        dropped = name in DROPPED or values.get("role", "").lower() in ROLES \
             or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
         if name in ("html", "body", "main", "article"):
-            dropped = self.dropped[here] or name == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert", "promo", "related"})
+            dropped = name == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert", "promo", "related"})
+            words = set()
+        if words:
+            self._names[len(self.path)] = words
         up = self.path[here]
         if len(up) > DEPTH:
             up = hashlib.md5(up.encode()).hexdigest()
@@ -119,7 +173,7 @@ class Page:
         self.path.append(path)
         self.tags.append(name)
         self.dropped.append(dropped)
-        self.header.append(self.header[here] or name == "header" or "header" in words and name not in ("html", "body", "main", "article"))
+        self.header.append(name == "header")
         self._stack.append(len(self.path) - 1)
         self._open[name] = self._open.get(name, 0) + 1
 

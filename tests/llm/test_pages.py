@@ -57,3 +57,13 @@ def test_long_pages_stay_fast():
     for source in ("<p>word " * 60_000, "<a href='" * 3_000, "<" * 200_000, "<div class=x>" * 20_000 + "</div>" * 20_000):
         pages.main_text(source, None)
     assert time.time() - start < 60
+
+
+def test_names_on_what_holds_the_page():
+    text = "A sentence of the article that goes on for a while. " * 5
+    for name in ("no-sidebar", "has-sidebar", "content-with-sidebar", "comments-open", "sticky-menu", "post-related-off", "has-header", "widget", "sidebar-right", "share"):
+        for tag in ("article", "div"):
+            page = f"<body><div class='{name}'><{tag}><h1>Title</h1><p>{text}</p></{tag}></div><div class='comments'><p>{text * 3}</p></div><div id=ad-slot>Buy</div></body>"
+            assert pages.main_text(page, None) == f"Title\n\n{text.strip()}", (name, tag)
+    small = f"<body><div class=post><p>{text}</p><div class='related-posts'><p>Other posts</p></div><div class='notice'><p>Note</p></div></div></body>"
+    assert pages.main_text(small, None) == text.strip()
