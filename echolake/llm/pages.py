@@ -1,9 +1,9 @@
 """Main text of pages by consensus host paths.
 
-A page is cut into blocks of text and elements. Containers are scored by the text of their blocks less what stands in links; the
-best ones vote, with their share of the page's score, for their generalised path (tags and classes from the root, digits made
-equal). Votes are summed per host in Spark, and each page is extracted again from the elements on its host's winning path, or from
-its own best container where it has none. Menus, footers, forms, scripts, adverts, notices, comments and the like never count; a class or
+A page is cut into blocks of text and elements. Elements are scored by all text below them less what stands in links. A page votes
+for the lowest element that holds nearly all of its score, or the article or parent around it where only headings and paragraphs
+are added, by its generalised path (tags and classes from the root, digits made equal). Votes are summed per host in Spark, and each
+page is extracted again from the elements on its host's winning path, or from its own such element where it has none. Menus, footers, forms, scripts, adverts, notices, comments and the like never count; a class or
 id counts as such a name if it is one or joins one with words of place or shape (`AFFIXES`), and not on an element that holds the
 main element, the article with the page's title or most of the page's text outside links and comments.
 A page header goes; inside the winning container its headings stay.
@@ -51,6 +51,9 @@ AFFIXES = frozenset(
     "text body title head top bottom left right main primary secondary site page post posts global header form group row col column id js "
     "module media google mobile desktop".split())
 DEPTH = 400
+#: Share of a page's score below the element that counts as its article.
+NEARLY = 0.95
+PARTS = frozenset("p li pre blockquote td dd dt figcaption".split()) | HEADINGS
 
 
 _MARKS = NAMES | {"header"}
@@ -199,20 +202,42 @@ class Page:
             if tag == name:
                 break
 
-    def containers(self) -> list[tuple[int, float]]:
-        """(element, score), best first."""
-        score: dict[int, float] = {}
+    def article(self) -> int | None:
+        """The element that holds the page's article; None without text."""
+        n = len(self.path)
+        score, plain, links_, other = [0.0] * n, [0] * n, [0] * n, [0] * n
         for text, links, e in self.blocks:
             if self.dropped[e] or self.header[e] and self.tags[e] not in HEADINGS:
                 continue
-            value = max(0.0, len(text) - 2.0 * links)
-            up = self.parent[e] if self.tags[e] in ("p", "li", "pre", "blockquote", "td", "dd", "dt", "figcaption", "ul", "ol") or self.tags[e] in HEADINGS else e
-            up = max(up, 0)
-            score[up] = score.get(up, 0.0) + value
-            above = self.parent[up]
-            if above >= 0:
-                score[above] = score.get(above, 0.0) + value / 2
-        return sorted(score.items(), key=lambda x: (-x[1], x[0]))
+            score[e] += max(0.0, len(text) - 2.0 * links)
+            plain[e] += len(text)
+            links_[e] += links
+            other[e] += self.tags[e] not in PARTS
+        for e in range(n - 1, 0, -1):
+            for kind in (score, plain, links_, other):
+                kind[self.parent[e]] += kind[e]
+        if not plain[0]:
+            return None
+        amount = score if score[0] else plain
+        best = 0
+        for e in range(1, n):  # children come after their parents, and two siblings cannot both hold so much
+            if self.parent[e] == best and amount[e] >= NEARLY * amount[0]:
+                best = e
+        if self.tags[best] in PARTS or self.tags[best] in ("ul", "ol"):
+            best = self.parent[best]
+        up, whole = best, best
+        while up > 0 and self.tags[up] not in ("html", "body", "main"):
+            if self.tags[up] == "article" and not self.dropped[up]:
+                whole = up
+                break
+            up = self.parent[up]
+        best = whole
+        while (up := self.parent[best]) > 0 and self.tags[best] not in ("main", "body") and self.tags[up] not in ("html", "body"):
+            more, linked = plain[up] - plain[best], links_[up] - links_[best]
+            if other[up] > other[best] or linked * 3 > more:
+                break
+            best = up
+        return best
 
     def text_of(self, roots: list[int]) -> str:
         """The text below some elements, in page order."""
@@ -224,16 +249,11 @@ class Page:
         return "\n\n".join(text for text, _, e in self.blocks if inside[e] and not self.dropped[e] and (not self.header[e] or self.tags[e] in HEADINGS))
 
 
-def votes(source: str, most: int = 3) -> list[tuple[str, float]]:
-    """(path, share of the page's score) of the best containers."""
+def votes(source: str) -> list[tuple[str, float]]:
+    """The path of the page's article with its vote."""
     page = Page(source)
-    found = page.containers()
-    total = sum(s for _, s in found)
-    out: dict[str, float] = {}
-    for e, s in found[:most]:
-        if s > 0:
-            out[page.path[e]] = out.get(page.path[e], 0.0) + s / total
-    return list(out.items())
+    e = page.article()
+    return [] if e is None else [(page.path[e], 1.0)]
 
 
 def main_text(source: str, path: str | None) -> str:
@@ -241,8 +261,8 @@ def main_text(source: str, path: str | None) -> str:
     text = ""
     if path is not None:
         text = page.text_of([i for i in range(len(page.path)) if page.path[i] == path and not page.dropped[i]])
-    if not text and (found := page.containers()):
-        text = page.text_of([found[0][0]])
+    if not text and (found := page.article()) is not None:
+        text = page.text_of([found])
     return text
 
 

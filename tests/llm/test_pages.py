@@ -67,3 +67,23 @@ def test_names_on_what_holds_the_page():
             assert pages.main_text(page, None) == f"Title\n\n{text.strip()}", (name, tag)
     small = f"<body><div class=post><p>{text}</p><div class='related-posts'><p>Other posts</p></div><div class='notice'><p>Note</p></div></div></body>"
     assert pages.main_text(small, None) == text.strip()
+
+
+def test_whole_articles_in_parts(spark):
+    long = "A sentence of one part of the article, number {}, going on. " * 6
+    part = ["<p>" + long.replace("{}", str(k)) + "</p>" for k in range(4)]
+    bodies = {
+        "two": f"<article><h1>Title</h1><section>{part[0]}</section><section>{part[1]}</section></article>",
+        "four": "<article><h1>Title</h1><p>Short lead.</p>" + "".join(f"<section>{p}</section>" for p in part) + "</article>",
+        "intro": f"<div class=post><h1>Title</h1><div class=intro><p>Short lead.</p></div><div class=body>{''.join(part)}</div></div>",
+        "halves": f"<div class=post><div class=a><h2>Title</h2>{part[0]}</div><div class=b>{part[1]}</div></div>",
+        "one": f"<article><h1>Title</h1><p>Short lead.</p><section>{''.join(part)}</section></article>",
+    }
+    source = "<html><body><nav><a href=/>Home</a></nav>{}<div class=links><a href=/x>Some more of this site</a></div></body></html>"
+    rows = [(n, f"http://{kind}.example/{n}", source.format(body)) for kind, body in bodies.items() for n in range(3)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        body = bodies[r.url.split("/")[2].split(".")[0]]
+        want = [t.strip() for t in re.split(r"<[^>]*>", body) if t.strip()]
+        assert r.text.split("\n\n") == want, r.url
