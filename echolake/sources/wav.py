@@ -12,7 +12,6 @@ from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,20 +132,23 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.[wW][aA][vV]")
 
 
 def scan_headers(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Recording rows from file rows, by range reads of the chunk heads only."""
+    """Recording rows from file rows, by range reads of the chunk heads only.
+
+    A bad file is a row with an `error`; errors of the storage fail the task, so that Spark tries it again.
+    """
 
     def scan(paths: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         rows = []
         for path, size in zip(paths, sizes):
-            try:
-                with _open(path) as f:
-                    def read(at, n, f=f):
-                        f.seek(at)
-                        return f.read(n)
+            with _open(path) as f:
+                def read(at, n, f=f):
+                    f.seek(at)
+                    return f.read(n)
 
+                try:
                     rows.append(read_header(read, int(size)))
-            except (OSError, ValueError, pa.ArrowException, struct.error) as e:
-                rows.append((None,) * 11 + (str(e),))
+                except (ValueError, struct.error) as e:
+                    rows.append((None,) * 11 + (str(e),))
         return pd.DataFrame(rows, columns=_FIELDS)
 
     spread = files.repartition(tasks, "path") if tasks else files.repartition("path")
@@ -207,23 +209,32 @@ def _as_chunks(rows: DataFrame) -> DataFrame:
 def read_chunks(recordings: DataFrame, chunk: int = DEFAULT_CHUNK, tasks: int | None = None) -> DataFrame:
     """Chunk arrays per channel, each read by its own byte range; chunks of one file go to many tasks.
 
-    A chunk that cannot be read gives no rows.
+    A chunk that ends before the planned bytes has the whole frames there are and an `error`; one without bytes, or whose samples
+    cannot be decoded, is one row without channel and samples and with an `error`. Errors of the storage fail the task, so that
+    Spark tries it again.
     """
 
-    def load(paths: pd.Series, at: pd.Series, n: pd.Series, bits: pd.Series, flt: pd.Series, channels: pd.Series) -> pd.Series:
+    def load(paths: pd.Series, at: pd.Series, n: pd.Series, bits: pd.Series, flt: pd.Series, channels: pd.Series) -> pd.DataFrame:
         out = []
         for row in zip(paths, at, n, bits, flt, channels):
-            try:
-                with _open(row[0]) as f:
+            with _open(row[0]) as f:
+                raw = b""
+                if int(row[1]) < f.size():
                     f.seek(int(row[1]))
-                    out.append(_split(f.read(int(row[2])), int(row[3]), bool(row[4]), int(row[5])))
-            except (OSError, ValueError, pa.ArrowException):
-                out.append([])
-        return pd.Series(out)
+                    raw = f.read(int(row[2]))
+            short = f"{len(raw)} of {int(row[2])} bytes" if len(raw) < int(row[2]) else None
+            try:
+                out.append((_split(raw, int(row[3]), bool(row[4]), int(row[5])) if raw else None, short))
+            except ValueError as e:
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["c", "error"])
 
     plan = chunk_plan(recordings, chunk)
     plan = plan.repartition(tasks, "recording_id", "chunk") if tasks else plan.repartition("recording_id", "chunk")
-    return _as_chunks(plan.withColumn("_c", F.pandas_udf(load, CHUNK_TYPE)("path", "byte_at", "byte_n", "bits_per_sample", "is_float", "channels")))
+    kind = f"struct<c:{CHUNK_TYPE},error:string>"
+    rows = plan.withColumn("_r", F.pandas_udf(load, kind)("path", "byte_at", "byte_n", "bits_per_sample", "is_float", "channels"))
+    return rows.select("recording_id", "chunk", "start_sample", F.col("_r.error").alias("error"), F.posexplode_outer("_r.c").alias("channel", "samples")).select(
+        "recording_id", "chunk", "start_sample", "channel", "samples", "error")
 
 
 def chunks_of_content(recordings: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:

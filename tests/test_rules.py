@@ -118,3 +118,22 @@ def test_entry_without_the_corpus_package():
             "assert len(e.queries()) > 180 and not e.CORPUS and set(e.oracle_sql()) <= set(e.queries())")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_storage_errors_fail_and_bad_chunks_are_rows(spark, tmp_path):
+    for name in ("gone", "cut"):
+        (tmp_path / f"{name}.wav").write_bytes(wav.wav_bytes(np.zeros(100), 1000))
+    files = wav.list_files(spark, str(tmp_path)).localCheckpoint()
+    recordings = wav.scan_headers(files).localCheckpoint()
+    cut, gone = tmp_path / "cut.wav", tmp_path / "gone.wav"
+    cut.write_bytes(cut.read_bytes()[:-60])
+    rows = wav.read_chunks(recordings, 50).collect()
+    assert sorted((r.chunk, r.channel, len(r.samples or []), r.error) for r in rows if r.error is None) == [(0, 0, 50, None)] * 2 + [(1, 0, 50, None)]
+    assert [(r.chunk, r.channel, len(r.samples), r.error) for r in rows if r.error] == [(1, 0, 20, "40 of 100 bytes")]
+    cut.write_bytes(cut.read_bytes()[:-50])
+    rows = wav.read_chunks(recordings, 50).where("error is not null").orderBy("chunk").collect()
+    assert [(r.chunk, len(r.samples or []), r.channel) for r in rows] == [(0, 45, 0), (1, 0, None)]
+    gone.unlink()
+    for lost in (lambda: wav.read_chunks(recordings, 50).collect(), lambda: wav.scan_headers(files).collect()):
+        with pytest.raises(Exception, match="No such file|Errno 2|Failed to open"):
+            lost()
