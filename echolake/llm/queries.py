@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pages, personal, pieces, simhash, sketch, substrings, toxicity, warc
+from . import decontaminate, language, pages, personal, pieces, resample, simhash, sketch, substrings, toxicity, warc, wavelet
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = language.scores(docs, bucket_of(F.col("doc_id"), 5) != 1, piece_model())
     return got.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(_public("byte_bpe_50k.json"), encoding="utf-8") as f:
+        index = wavelet.write(table(spark, sf_dir, "documents").select("doc_id", "text"), f.read(), end=2)
+    return wavelet.read(index)
+
+
+@query
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = resample.draw(docs, table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
