@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -43,45 +45,79 @@ SHARD_TOKENS = 4 << 20
 BLOCK_BITS = 1 << 17
 #: Text that one range holds about.
 RANGE_BYTES = 16 << 20
-#: Spaced words whose ids a worker keeps.
-CACHED = 300_000
+#: Spaced words whose ids a worker keeps (about 200 bytes each); tasks that read shards at most.
+CACHED = 1_000_000
+MOST_TASKS = 10_000
+
+
+#: Fixed value: how byte-level models spell a space.
+_SPACE = "\u0120"
 
 
 class Encoder:
     """Ids by the public library, which encodes each distinct spaced word once.
 
-    Its splitting rules never join a character that is not white space with a space after it, so a text may be cut before such spaces.
+    Its splitting rules never join a character that is not white space with a space after it, so a text may be cut before such spaces. A full memory keeps the words that came first, which the frequent ones are among, and starts anew when it has missed too often.
     """
 
     _odd = re.compile(r"\s ")
     _edge = re.compile(r"(?<=\S)(?= )")
+    _word = re.compile(" [A-Za-z]+")
 
     def __init__(self, model: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by spaced word, without its space
+        self.heads: dict[str, bytes] = {}  # by text that has no space before it
+        self.missed = 0
 
     def bits(self, end: int) -> int:
         return max(self.library.get_vocab_size() - 1, end, 1).bit_length()
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> tuple[str, list[str]]:
+        """What comes before the first cut, and the pieces after it without the space they begin with."""
         if self._odd.search(text):
-            return self._edge.split(text)
+            head, *rest = self._edge.split(text)
+            return head, [p[1:] for p in rest]
         head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + w for w in rest]
+        return head, rest
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        """Ids of texts. A spaced word of ASCII letters is one unit of the splitting rules, so it goes to the merges alone."""
+        merge, out, rest = self.library.model.tokenize, [], []
+        for p in pieces:
+            if self._word.fullmatch(p):
+                out.append(array("I", [t.id for t in merge(_SPACE + p[1:])]).tobytes())
+            else:
+                rest.append(len(out))
+                out.append(b"")
+        got = self.library.encode_batch([pieces[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, got):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+        if self.missed > 20 * CACHED or len(self.heads) > CACHED:
+            self.known, self.heads, self.missed = {}, {}, 0
         cut = [self.pieces(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = list(set().union(*cut))
-        for piece, got in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[piece] = np.asarray(got.ids, "<u4").tobytes()
-        last = np.asarray([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)) + last, "<u4") for p in cut]
+        heads = list({h for h, _ in cut} - self.heads.keys())
+        self.heads.update(zip(heads, self._library(heads)))
+        found = [[*map(self.known.get, rest)] for _, rest in cut]
+        gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
+        new = list({rest[i] for (_, rest), gap in zip(cut, gaps) for i in gap})
+        made = dict(zip(new, self._library([" " + w for w in new])))
+        for (_, rest), got, gap in zip(cut, found, gaps):
+            for i in gap:
+                got[i] = made[rest[i]]
+        if len(self.known) < CACHED:
+            self.known.update(made)
+        else:
+            self.missed += len(made)
+        last = array("I", [end]).tobytes()
+        return [np.frombuffer(self.heads[h] + b"".join(got) + last, np.uint32) for (h, _), got in zip(cut, found)]
 
 
 def encoder(model: str) -> Encoder:
@@ -109,9 +145,9 @@ def pack(ids: np.ndarray, bits: int, docs: pa.Table, block_bits: int = BLOCK_BIT
     for shift in range(bits - 1, -1, -1):
         bit = (now >> shift) & 1 == 1
         data = np.packbits(bit, bitorder="little")
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), block_bits), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(ones)])
         step = block_bits // 8
+        ones = np.add.reduceat(np.bitwise_count(data), np.arange(0, len(data), step), dtype=np.int64) if len(data) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(ones)])
         planes.append({"ones": before.tolist(), "blocks": [put(data[i : i + step].tobytes()) for i in range(0, len(data), step)]})
         now = np.concatenate([now[~bit], now[bit]])
     sink = pa.BufferOutputStream()
@@ -324,7 +360,8 @@ def _opened(batches, *columns):
 
 
 def _spread(index: DataFrame, *columns: str) -> DataFrame:
-    return index.select("file", *columns).repartition("file")
+    """Index rows are small but stand for much work, so their number of tasks is set here."""
+    return index.select("file", *columns).repartition(max(1, min(index.count(), MOST_TASKS)), "file")
 
 
 def read(index: DataFrame, id_type: T.DataType = T.LongType(), ids: bool = False) -> DataFrame:
