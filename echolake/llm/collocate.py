@@ -427,7 +427,7 @@ def _shards(batches, unknown: str, most: int):
     shard = Shard()
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text")):
-            shard.add(lang.as_py() or unknown if lang.is_valid else unknown, text.as_py() or "")
+            shard.add(lang.as_py() if lang.is_valid else unknown, text.as_py() or "")
             if shard.n >= most:
                 yield shard
                 shard = Shard()
@@ -444,7 +444,7 @@ def _cut(rows: np.ndarray, counts: np.ndarray, ranges: Ranges):
     number = ranges.of(rows[:, 0], rows[:, 1:])
     order = np.argsort(number, kind="stable")
     number, rows, counts = number[order], rows[order], counts[order]
-    begin = np.flatnonzero(np.diff(number, prefix=-1))
+    begin = np.flatnonzero(np.diff(number, prepend=-1))
     for a, b in zip(begin, np.append(begin[1:], len(number))):
         yield int(number[a]), transducer(rows[a:b], counts[a:b]).to_bytes()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pages, personal, pieces, resample, simhash, sketch, substrings, toxicity, warc, wavelet
+from . import collocate, decontaminate, language, pages, personal, pieces, resample, simhash, sketch, substrings, toxicity, warc, wavelet
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,11 @@ def op11_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(index)
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocate.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 @query
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

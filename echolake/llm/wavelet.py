@@ -62,7 +62,7 @@ class Encoder:
 
     _odd = re.compile(r"\s ")
     _edge = re.compile(r"(?<=\S)(?= )")
-    _word = re.compile(" [A-Za-z]+")
+    _word = re.compile(r" [A-Za-z]+(?=[.,;:!?\n]|\Z)")
 
     def __init__(self, model: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -86,17 +86,22 @@ class Encoder:
         return head, rest
 
     def _library(self, pieces: list[str]) -> list[bytes]:
-        """Ids of texts. A spaced word of ASCII letters is one unit of the splitting rules, so it goes to the merges alone."""
+        """Ids of texts. A spaced word of ASCII letters is one unit of the splitting rules, so it goes to the merges alone; what follows it is another text."""
         merge, out, rest = self.library.model.tokenize, [], []
         for p in pieces:
-            if self._word.fullmatch(p):
-                out.append(array("I", [t.id for t in merge(_SPACE + p[1:])]).tobytes())
-            else:
-                rest.append(len(out))
+            word = self._word.match(p)
+            if word is None:
+                rest.append((len(out), p))
                 out.append(b"")
-        got = self.library.encode_batch([pieces[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, got):
-            out[i] = array("I", e.ids).tobytes()
+                continue
+            end = word.end()
+            out.append(array("I", [t.id for t in merge(_SPACE + p[1:end])]).tobytes())
+            if end < len(p):
+                rest.append((len(out) - 1, p[end:]))
+        texts = list({p for _, p in rest})
+        got = dict(zip(texts, (array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False))))
+        for i, p in rest:
+            out[i] += got[p]
         return out
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
