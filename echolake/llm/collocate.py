@@ -33,8 +33,8 @@ LEAST = 30
 LONGEST = 4
 MOST = 2_000
 #: Words of a shard, words whose phrases one range holds about, ranges at most, bits of a filter at most.
-SHARD_WORDS = 3_000_000
-RANGE_WORDS = 2_000_000
+SHARD_WORDS = 1_500_000
+RANGE_WORDS = 1_000_000
 RANGES = 1 << 14
 FILTER_BITS = 1 << 28
 
@@ -267,7 +267,7 @@ class Union:
             self.rows.append(np.pad(rows, ((0, 0), (0, self.width - rows.shape[1]))))
             self.counts.append(counts)
             self.held += len(rows)
-            if self.held > 2 * self.base + 500_000:
+            if self.held > 2 * self.base + 200_000:
                 self.sums()
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
@@ -553,6 +553,12 @@ def _matrix(lang: pa.Array, lists: pa.Array, longest: int) -> np.ndarray:
 # The operator --------------------------------------------------------------------------------------------------------------
 
 
+def _counts_of(lang: str, own: int, labels: np.ndarray, words: list, counts: np.ndarray) -> pa.RecordBatch:
+    n = len(labels)
+    columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, own)), pa.array(labels), pa.array(words, pa.string()), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "code", "label", "word", "f"])
+
+
 def word_counts(texts: DataFrame, unknown: str, shard_words: int) -> DataFrame:
     """`lang`, `code` (of the language), `label`, `word`, `f`; `word` is null in the row of a language's sum. Shards count before the shuffle."""
     def run(batches):
@@ -561,10 +567,10 @@ def word_counts(texts: DataFrame, unknown: str, shard_words: int) -> DataFrame:
                 met = np.flatnonzero(counts)
                 labels = np.fromiter((label(words[i]) for i in met), np.uint64, len(met)).view(np.int64)
                 own = np.uint64(label(lang.encode())).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * (len(met) + 1), pa.string()), pa.array(np.full(len(met) + 1, own)), pa.array(np.append(labels, 0)),
-                    pa.array([words[i].decode() for i in met] + [None], pa.string()), pa.array(np.append(counts[met], counts.sum()))],
-                    names=["lang", "code", "label", "word", "f"])
+                for i in range(0, len(met) + 1, 50_000):
+                    some = met[i : i + 50_000]
+                    yield _counts_of(lang, own, labels[i : i + 50_000], [words[k].decode() for k in some], counts[some])
+                yield _counts_of(lang, own, np.zeros(1, np.int64), [None], counts.sum(keepdims=True))
 
     made = texts.mapInArrow(run, "lang string, code long, label long, word string, f long")
     return made.groupBy("code", "label").agg(F.min("lang").alias("lang"), F.max("lang").alias("lang2"), F.min("word").alias("word"), F.max("word").alias("word2"), F.sum("f").alias("f"))

@@ -1,7 +1,7 @@
 """Token ids in succinct files: one wavelet matrix per shard.
 
-Rows are dealt out by range of id, so that shards follow each other in id order; the task of a range encodes its texts, and writes a
-shard file whenever it holds `SHARD_TOKENS` ids. A file has one bit-plane per bit of an id, from the high end. A plane holds that bit of all ids, in
+Rows are dealt out by range of id, so that shards follow each other in id order; the task of a range encodes its texts and
+writes a shard file for every `SHARD_BYTES` of text at most (a longer text has one of its own). A file has one bit-plane per bit of an id, from the high end. A plane holds that bit of all ids, in
 an order in which each plane is stably sorted by the bits before it (zeros first). Planes are cut in blocks, packed one by one, with the number
 of ones before each block; rank and select unpack only the blocks they touch. From one file this gives the id at a position, the number of
 occurrences of an id before a position, and the position of the k-th occurrence, in one step per plane. The ids of the documents and their lengths
@@ -29,6 +29,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ from echolake.session import scratch_path
 from .common import slices, stored, worker_cache
 
 MAGIC = b"WAVELET1"
-SHARD_TOKENS = 4 << 20
+SHARD_BYTES = 12 << 20
 BLOCK_BITS = 1 << 17
 #: Text that one range holds about.
 RANGE_BYTES = 16 << 20
@@ -50,19 +51,23 @@ CACHED = 1_000_000
 MOST_TASKS = 10_000
 
 
-#: Fixed value: how byte-level models spell a space.
-_SPACE = "\u0120"
+#: Fixed rule: byte-level models spell a byte as its own character where that can be seen, else by the next character from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+_SPACE = _BYTES[32]
+_SPELT = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class Encoder:
-    """Ids by the public library, which encodes each distinct spaced word once.
+    """Ids by the public library, which encodes each distinct spaced word of a shard once, if the worker does not know it.
 
-    Its splitting rules never join a character that is not white space with a space after it, so a text may be cut before such spaces. A full memory keeps the words that came first, which the frequent ones are among, and starts anew when it has missed too often.
+    Its splitting rules never join a character that is not white space with a space after it, so a text may be cut before such spaces. A full
+    memory keeps the words that came first, which the frequent ones are among, and starts anew when it has missed too often.
     """
 
-    _odd = re.compile(r"\s ")
+    _odd = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
     _edge = re.compile(r"(?<=\S)(?= )")
-    _word = re.compile(r" [A-Za-z]+(?=[.,;:!?\n]|\Z)")
+    _word = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)")
 
     def __init__(self, model: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -71,58 +76,71 @@ class Encoder:
         self.library = Tokenizer.from_str(model)
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes] = {}  # by spaced word, without its space
-        self.heads: dict[str, bytes] = {}  # by text that has no space before it
         self.missed = 0
 
     def bits(self, end: int) -> int:
         return max(self.library.get_vocab_size() - 1, end, 1).bit_length()
 
-    def pieces(self, text: str) -> tuple[str, list[str]]:
-        """What comes before the first cut, and the pieces after it without the space they begin with."""
-        if self._odd.search(text):
-            head, *rest = self._edge.split(text)
-            return head, [p[1:] for p in rest]
-        head, *rest = text.split(" ")
-        return head, rest
-
     def _library(self, pieces: list[str]) -> list[bytes]:
-        """Ids of texts. A spaced word of ASCII letters is one unit of the splitting rules, so it goes to the merges alone; what follows it is another text."""
-        merge, out, rest = self.library.model.tokenize, [], []
+        """Ids of texts. A spaced word of Latin letters, up to the end or a character that is no letter, is one unit of the splitting rules and goes to
+        the merges alone; what follows it is another text."""
+        merge = self.library.model.tokenize
+        words, tails = [], []
         for p in pieces:
             word = self._word.match(p)
-            if word is None:
-                rest.append((len(out), p))
-                out.append(b"")
-                continue
-            end = word.end()
-            out.append(array("I", [t.id for t in merge(_SPACE + p[1:end])]).tobytes())
-            if end < len(p):
-                rest.append((len(out) - 1, p[end:]))
-        texts = list({p for _, p in rest})
+            end = word.end() if word else 0
+            words.append(p[1:end])
+            tails.append(p[end:])
+        known = {w: array("I", [t.id for t in merge((_SPACE + w).translate(_SPELT))]).tobytes() for w in set(words) - {""}}
+        texts = list(set(tails) - {""})
         got = dict(zip(texts, (array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False))))
-        for i, p in rest:
-            out[i] += got[p]
-        return out
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        if self.missed > 20 * CACHED or len(self.heads) > CACHED:
-            self.known, self.heads, self.missed = {}, {}, 0
-        cut = [self.pieces(t) for t in texts]
-        heads = list({h for h, _ in cut} - self.heads.keys())
-        self.heads.update(zip(heads, self._library(heads)))
-        found = [[*map(self.known.get, rest)] for _, rest in cut]
-        gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
-        new = list({rest[i] for (_, rest), gap in zip(cut, gaps) for i in gap})
-        made = dict(zip(new, self._library([" " + w for w in new])))
-        for (_, rest), got, gap in zip(cut, found, gaps):
-            for i in gap:
-                got[i] = made[rest[i]]
+        known[""] = got[""] = b""
+        return [known[w] + got[t] for w, t in zip(words, tails)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        if self.missed > 20 * CACHED:
+            self.known, self.missed = {}, 0
+        found = [*map(self.known.get, words)]
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        made = self._library([" " + words[i] for i in gaps])
+        for i, ids in zip(gaps, made):
+            found[i] = ids
         if len(self.known) < CACHED:
-            self.known.update(made)
+            self.known.update(zip([words[i] for i in gaps], made))
         else:
             self.missed += len(made)
-        last = array("I", [end]).tobytes()
-        return [np.frombuffer(self.heads[h] + b"".join(got) + last, np.uint32) for (h, _), got in zip(cut, found)]
+        return found
+
+    def cut(self, texts: pa.Array) -> pa.Array:
+        """Each text up to its first cut, then its pieces without the space they begin with."""
+        lists = pc.split_pattern(texts, " ")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self._odd).to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return lists
+        other = pa.array([[h, *(p[1:] for p in rest)] for h, *rest in (self._edge.split(texts[i].as_py()) for i in odd)], lists.type)
+        place = np.arange(len(texts))
+        place[odd] = len(texts) + np.arange(len(odd))
+        return pa.concat_arrays([lists, other]).take(pa.array(place))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with `end` behind it, and how many each has."""
+        lists = self.cut(texts)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        heads = np.cumsum(sizes) - sizes
+        spaced, first = flat.dictionary_encode(), flat.take(pa.array(heads)).dictionary_encode()
+        units = self._spaced(spaced.dictionary.to_pylist())
+        code = spaced.indices.to_numpy().copy()
+        code[heads] = first.indices.to_numpy() + len(units)
+        units += self._library(first.dictionary.to_pylist())
+        code = np.insert(code, heads + sizes, len(units))
+        units.append(array("I", [end]).tobytes())
+        length = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        begin = np.cumsum(length) - length
+        pool, taken = np.frombuffer(b"".join(units), np.uint32), length[code]
+        at = np.arange(taken.sum()) + np.repeat(begin[code] - (np.cumsum(taken) - taken), taken)
+        starts = heads + np.arange(len(heads))
+        return pool[at], np.add.reduceat(taken, starts) if len(starts) else np.zeros(0, np.int64)
 
 
 def encoder(model: str) -> Encoder:
@@ -301,7 +319,7 @@ INDEX = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq",
                       T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("file_bytes", T.LongType())])
 
 
-def write(df: DataFrame, model: str, end: int, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write(df: DataFrame, model: str, end: int, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards and return their index: `part`, `seq`, `file`, `n_docs`, `n_tokens`, `file_bytes`, `start` (ids in all shards before)."""
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "wavelet")
@@ -315,32 +333,30 @@ def write(df: DataFrame, model: str, end: int, doc_id: str = "doc_id", text: str
 
     def save(batches):
         enc, part, seq = encoder(model), TaskContext.get().partitionId(), 0
-        bits, ids, tokens, held = enc.bits(end), [], [], 0
+        bits, held, size_ = enc.bits(end), [], 0
 
         def flush():
-            nonlocal seq, held
-            docs = pa.table({"doc_id": pa.array(ids, kind), "n_tokens": pa.array([len(t) for t in tokens], pa.int64())})
-            data = pack(np.concatenate(tokens), bits, docs)
+            nonlocal seq, size_
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids, lengths = enc.encode(rows["text"].combine_chunks(), end)
+            data = pack(ids, bits, pa.table({"doc_id": rows["doc_id"].cast(kind), "n_tokens": pa.array(lengths)}))
             fs, inner = _folder(folder)
             fs.create_dir(inner, recursive=True)
             name = f"{part:06d}-{seq:04d}-{uuid.uuid4().hex}.wm"
             with fs.open_output_stream(f"{inner}/{name}", compression=None) as f:
                 f.write(data)
-            row = (part, seq, f"{folder}/{name}", len(ids), held, len(data))
-            seq, held = seq + 1, 0
-            ids.clear()
-            tokens.clear()
+            row = (part, seq, f"{folder}/{name}", len(lengths), len(ids), len(data))
+            seq, size_ = seq + 1, 0
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _INDEX_TYPES)], names=INDEX.names)
 
         for batch in batches:
-            for some in slices(batch, "text"):
-                for i, got in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist(), end)):
-                    ids.append(i)
-                    tokens.append(got)
-                    held += len(got)
-                    if held >= shard_tokens:
-                        yield flush()
-        if ids:
+            for some in slices(batch, "text", shard_bytes):
+                held.append(some)
+                size_ += pc.sum(pc.binary_length(some.column("text"))).as_py() or 0
+                if size_ >= shard_bytes // 2:
+                    yield flush()
+        if held:
             yield flush()
 
     index = stored(dealt.select("doc_id", "text").mapInArrow(save, INDEX), "wavelet-index")
