@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echolake.operators import pulses
 from echolake.operators.intervals import points_in_intervals
 from echolake.operators.ranks import nth_smallest
 from echolake.plans.chunking import chunk_window, dense_index, div, running_last, running_sum, with_chunk, with_halo
-from echolake.session import materialize
 
 KEYS = ("recording_id",)
 
@@ -23,10 +23,12 @@ def mean_envelope(samples: DataFrame, window: int, chunk: int, keys: Sequence[st
     return rows.withColumn("env", F.avg(F.abs("y")).over(w)).where("core").drop("core")
 
 
-def noise_floor(envelope: DataFrame, lengths: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Tenth percentile of all envelope values, exact at every length."""
-    tenth = nth_smallest(envelope, keys, "env", F.expr("n div 10"), "_tenth")
-    return tenth.join(lengths, list(keys)).select(*keys, "n", F.greatest("_tenth", F.lit(1e-10)).alias("floor"))
+def noise_floor(envelope: DataFrame, lengths: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Tenth percentile of all envelope values, exact at every length; ``n`` is their number (or that of ``lengths``)."""
+    tenth = nth_smallest(envelope, keys, "env", F.expr("n div 10"), "_tenth", count="n")
+    if lengths is not None:
+        tenth = tenth.drop("n").join(lengths, list(keys))
+    return tenth.select(*keys, "n", F.greatest("_tenth", F.lit(1e-10)).alias("floor"))
 
 
 def latch(rows: DataFrame, rise: Column, fall: Column, out: str = "armed", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -35,50 +37,6 @@ def latch(rows: DataFrame, rise: Column, fall: Column, out: str = "armed", keys:
     return running_last(rows, keys, {out: event}).withColumn(out, F.coalesce(F.col(out), F.lit(0)) == 1)
 
 
-def _runs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Chunk-local runs of one latch state; the run before a chunk's first event has no state yet."""
-    w = chunk_window(keys)
-    event = F.when(F.col("env") >= F.col("high"), 1).when(F.col("env") < F.col("low"), 0)
-    local = rows.withColumn("_event", event).withColumn("_state", F.last("_event", ignorenulls=True).over(w))
-    before = F.lag("_state").over(w)
-    flips = F.when(F.col("_state").isNotNull() & (before.isNull() | (before != F.col("_state"))), 1).otherwise(0)
-    local = local.withColumn("_flip", flips).withColumn("_run", F.sum("_flip").over(w))
-    return local.groupBy(*keys, "chunk", "_run").agg(
-        F.first("_state").alias("state"),
-        F.min("idx").alias("start"),
-        (F.max("idx") + 1).alias("end"),
-        F.max(F.struct("env", (-F.col("idx")).alias("neg"))).alias("peak"),
-        F.first("n").alias("n"),
-    )
-
-
-def raw_pulses(rows: DataFrame, min_gap: int, chunk: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pulses of rows(keys, chunk, idx, env, high, low, n).
-
-    Samples are reduced to runs inside each chunk; only runs, then pulses, take part in carries.
-    """
-    keys = list(keys)
-    runs = materialize(_runs(rows, keys))
-    # State at the end of the previous chunk decides the leading run and whether a run continues a pulse.
-    stated = running_last(runs, keys, {"before": F.col("state")}, idx="start", exclusive=True)
-    stated = stated.withColumn("state", F.coalesce("state", "before", F.lit(0)))
-    opens = (F.col("state") == 1) & (F.coalesce("before", F.lit(0)) != 1)
-    active = running_last(stated, keys, {"pulse": F.when(opens, F.col("start"))}, idx="start").where("state = 1")
-    pulses = materialize(
-        active.groupBy(*keys, "pulse").agg(F.max("end").alias("end"), F.max("peak").alias("peak"), F.max("n").alias("n"))
-    )
-    placed = with_chunk(pulses, chunk * 16, idx="pulse")
-    linked = running_last(placed, keys, {"prev_end": F.col("end")}, idx="pulse", exclusive=True)
-    # A pulse still open at the end of the recording never joins its predecessor.
-    joins = F.col("prev_end").isNotNull() & (F.col("pulse") - F.col("prev_end") < min_gap) & (F.col("end") < F.col("n"))
-    heads = running_last(linked, keys, {"head": F.when(~joins, F.col("pulse"))}, idx="pulse")
-    return (
-        heads.groupBy(*keys, "head")
-        .agg(F.max("end").alias("end_idx"), F.max("peak").alias("peak"))
-        .select(*keys, F.col("head").alias("start_idx"), "end_idx", (-F.col("peak.neg")).alias("peak_idx"), F.col("peak.env").alias("peak_amp"))
-    )
-
-
 @dataclass(frozen=True)
 class PulseSettings:
     threshold_db: float = 6.0
@@ -96,17 +54,14 @@ def detect_pulses(envelope: DataFrame, lengths: DataFrame, sample_rate: int, set
     keys = list(keys)
     if settings.threshold_db < 0:
         raise ValueError("threshold_db must not be negative")
-    # One row per recording, read twice below; kept so that the envelope behind it is not computed again.
-    floors = materialize(noise_floor(envelope, lengths, keys))
+    chunks = pulses.packed(envelope, keys, "env")
+    floors = noise_floor(chunks, lengths, keys)
     high = F.col("floor") * 10 ** (settings.threshold_db / 20)
     low = F.col("floor") * 10 ** (max(settings.threshold_db - 3.0, 0.0) / 20)
-    rows = envelope.join(floors, keys).select(*keys, "chunk", "idx", "env", "n", high.alias("high"), low.alias("low"))
+    rows = chunks.join(floors, keys).withColumn("high", high).withColumn("low", low)
     gap, shortest, longest = (settings.samples(x, sample_rate) for x in (settings.min_gap_ms, settings.min_ms, settings.max_ms))
-    raw = raw_pulses(rows, gap, chunk, keys)
-    kept = raw.where((F.col("end_idx") - F.col("start_idx")).between(shortest, longest)).join(floors.drop("n"), keys)
-    numbered = dense_index(kept, keys, div("start_idx", chunk * 16), ["start_idx"], out="no")
     rate = float(sample_rate)
-    return numbered.select(
+    return pulses.find_pulses(rows, gap, shortest, longest, keys).select(
         *keys,
         (F.col("no") + 1).alias("pulse_no"),
         (F.col("start_idx") / rate).alias("start_time"),
@@ -117,15 +72,15 @@ def detect_pulses(envelope: DataFrame, lengths: DataFrame, sample_rate: int, set
     )
 
 
-def pulse_peak_bins(pulses: DataFrame, columns: DataFrame, keys: Sequence[str] = KEYS, width: float = 0.1) -> DataFrame:
+def pulse_peak_bins(found: DataFrame, columns: DataFrame, keys: Sequence[str] = KEYS, width: float = 0.1) -> DataFrame:
     """Strongest bin of spectrum columns(keys, t, mags) inside each pulse; earliest column, then lowest bin, on ties.
 
     Each column is reduced to its own maximum before the range join.
     """
     top = columns.select(*keys, "t", F.array_max("mags").alias("mag"), (F.array_position("mags", F.array_max("mags")) - 1).alias("bin"))
-    hits = points_in_intervals(top.where("mag > 0"), pulses.select(*keys, "pulse_no", "start_time", "end_time"), keys, "t", "start_time", "end_time", width)
+    hits = points_in_intervals(top.where("mag > 0"), found.select(*keys, "pulse_no", "start_time", "end_time"), keys, "t", "start_time", "end_time", width)
     best = hits.groupBy(*keys, "pulse_no").agg(F.max_by("bin", F.struct("mag", -F.col("t"))).alias("peak_bin"))
-    return pulses.join(best, [*keys, "pulse_no"], "left").withColumn("peak_bin", F.coalesce("peak_bin", F.lit(0)))
+    return found.join(best, [*keys, "pulse_no"], "left").withColumn("peak_bin", F.coalesce("peak_bin", F.lit(0)))
 
 
 def _armed_crossings(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -149,13 +104,10 @@ def adaptive_thresholds(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataF
 
 def crossing_rate_bins(envelope: DataFrame, thresholds: DataFrame, sample_rate: int, bin_samples: int, chunk: int,
                        keys: Sequence[str] = KEYS) -> DataFrame:
-    """Crossings per second in bins (k*b, (k+1)*b], counted while armed; envelope(keys, idx, y, env)."""
+    """Crossings per second in bins (k*b, (k+1)*b], counted while armed; envelope(keys, chunk, idx, y, env)."""
     keys = list(keys)
-    rows = with_halo(envelope.drop("chunk"), chunk, before=1).join(thresholds, keys)
-    flagged = _armed_crossings(rows, keys).where("idx > 0")
-    bins = flagged.groupBy(*keys, F.expr(f"(idx - 1) div {bin_samples}").alias("bin")).agg(
-        F.count_if("cross").alias("crossings"), F.first("n").alias("n"), F.max("idx").alias("last")
-    )
+    rows = pulses.packed(envelope if "chunk" in envelope.columns else with_chunk(envelope, chunk), keys, "y", "env").join(thresholds, keys)
+    bins = pulses.crossing_bins(rows, bin_samples, keys)
     secs = F.when(F.col("last") == F.col("n") - 1, (F.col("last") % bin_samples + 1) / F.lit(float(sample_rate))).otherwise(
         bin_samples / float(sample_rate)
     )
