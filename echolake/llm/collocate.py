@@ -33,7 +33,7 @@ LEAST = 30
 LONGEST = 4
 MOST = 2_000
 #: Words of a shard, words whose phrases one range holds about, ranges at most, bits of a filter at most.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 RANGE_WORDS = 1_000_000
 RANGES = 1 << 14
 FILTER_BITS = 1 << 28
@@ -560,7 +560,10 @@ def _counts_of(lang: str, own: int, labels: np.ndarray, words: list, counts: np.
 
 
 def word_counts(texts: DataFrame, unknown: str, shard_words: int) -> DataFrame:
-    """`lang`, `code` (of the language), `label`, `word`, `f`; `word` is null in the row of a language's sum. Shards count before the shuffle."""
+    """`lang`, `code` (of the language), `label`, `word`, `f`, and how many words have the label (`words`) with how many occurrences (`of_label`).
+
+    `word` is null and `label` 0 in the row of a language's sum. Shards count before the shuffle.
+    """
     def run(batches):
         for shard in _shards(batches, unknown, shard_words):
             for lang, words, counts in shard.words():
@@ -573,7 +576,10 @@ def word_counts(texts: DataFrame, unknown: str, shard_words: int) -> DataFrame:
                 yield _counts_of(lang, own, np.zeros(1, np.int64), [None], counts.sum(keepdims=True))
 
     made = texts.mapInArrow(run, "lang string, code long, label long, word string, f long")
-    return made.groupBy("code", "label").agg(F.min("lang").alias("lang"), F.max("lang").alias("lang2"), F.min("word").alias("word"), F.max("word").alias("word2"), F.sum("f").alias("f"))
+    # Numbers alone are summed up, so no string is sorted; words of one label lie in one task and tell of each other.
+    sums = made.repartition("code", "label").groupBy("code", "label", "lang", "word").agg(F.sum("f").alias("f"))
+    same = Window.partitionBy("code", "label")
+    return sums.select("*", F.count(F.lit(1)).over(same).alias("words"), F.sum("f").over(same).alias("of_label"))
 
 
 def phrases(df: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang", unknown: str = "und",
@@ -583,9 +589,9 @@ def phrases(df: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str
     `lang` (code), `w` (labels), `a`, `l`, `r`, `score` per candidate that stays; `label`, `word` of frequent words; `code`, `lang`, `n` of languages.
     """
     texts = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    counted = stored(word_counts(texts, unknown, shard_words).where((F.col("f") >= least) | (F.col("label") == 0)), "words")
+    counted = stored(word_counts(texts, unknown, shard_words).where((F.col("of_label") >= least) | (F.col("label") == 0)), "words")
     langs, words = counted.where("label = 0"), counted.where("label <> 0")
-    if counted.where("lang <> lang2 OR word <> word2").limit(1).count():
+    if counted.where("words > 1").limit(1).count():
         raise ValueError("two words or languages have the same 64-bit label; change the hash")
     n_words, total = words.count(), langs.agg(F.sum("f")).first()[0] or 0
 
