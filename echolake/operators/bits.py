@@ -167,9 +167,12 @@ def stride_gcd(samples: DataFrame, bits: int, keys: Sequence[str] = KEYS) -> Dat
 
     parts = samples.select(*keys, F.col("v").cast("long").alias("v")).distinct().mapInPandas(partial, schema).distinct()
     agg = parts.groupBy(*keys).agg(F.collect_set("g").alias("gs")).select(*keys, F.pandas_udf(fold, "bigint")("gs").alias("gcd"))
-    power = (F.col("gcd") >= 2) & (F.bit_count("gcd") == 1)
-    pad = F.when(power, F.least(F.log2("gcd").cast("int"), F.lit(bits - 1)))
-    return agg.select(*keys, "gcd", pad.alias("padding_bits"))
+    return agg.select(*keys, "gcd", padding_bits(F.col("gcd"), F.lit(bits)).alias("padding_bits"))
+
+
+def padding_bits(gcd: Column, bits: Column) -> Column:
+    """Low bits that are always zero, where the divisor is a power of two."""
+    return F.when((gcd >= 2) & (F.bit_count(gcd) == 1), F.least(F.log2(gcd).cast("int"), bits - 1))
 
 
 def quietest_window(samples: DataFrame, lengths: DataFrame, window: int = 4096, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -194,7 +197,11 @@ def low_bit_structure(samples: DataFrame, quiet: DataFrame, low_bits: int = 4, w
     inside = samples.join(quiet.select(*keys, "start_idx"), keys).where(
         (F.col("idx") >= F.col("start_idx")) & (F.col("idx") < F.col("start_idx") + window)
     )
-    arrays = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "v")))["v"].alias("w"))
+    return low_bits_of(inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "v")))["v"].alias("w")), low_bits, max_period, min_match, keys)
+
+
+def low_bits_of(arrays: DataFrame, low_bits: int = 4, max_period: int = 512, min_match: float = 0.99, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The same from arrays(keys, w) of a window's samples."""
 
     def acf(x, lag):
         if len(x) <= lag or x.var() == 0:
@@ -224,10 +231,14 @@ def low_bit_structure(samples: DataFrame, quiet: DataFrame, low_bits: int = 4, w
 def lsb_verdict(gcds: DataFrame, quiet: DataFrame, low: DataFrame, bits: int, low_bits: int = 4, keys: Sequence[str] = KEYS) -> DataFrame:
     """Ordered verdict on the low bits: first matching rule wins."""
     keys = list(keys)
-    rows = gcds.join(quiet, keys, "left").join(low, keys, "left")
+    return with_lsb_verdict(gcds.join(quiet, keys, "left").join(low, keys, "left"), F.lit(bits), low_bits)
+
+
+def with_lsb_verdict(rows: DataFrame, bits: Column, low_bits: int = 4) -> DataFrame:
+    """Add `verdict` and `effective_bits` to rows(padding_bits, sd, chi2, nonzero_frac, acf1, acf256, period, period_match)."""
     structured = (F.col("chi2") > 200) | (F.abs("acf1") > 0.05) | (F.abs("acf256") > 0.05)
     silent = (F.col("period") == 1) & (F.col("period_match") >= 0.999) & (F.col("sd") < 0.5) & (F.col("nonzero_frac") < 0.01)
-    short = F.lit(bits < low_bits + 4) | F.col("sd").isNull()
+    short = (bits < low_bits + 4) | F.col("sd").isNull()
     verdict = (
         F.when(short, "not_applicable").when(F.col("padding_bits").isNotNull(), "zero_padded").when(F.coalesce(silent, F.lit(False)), "quiet_section_zero_padded")
         .when(structured, "dsp_padded").when(F.col("sd") > 16, "inconclusive").otherwise("consistent")

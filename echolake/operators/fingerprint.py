@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolake.functions.levels import butterworth_gain, butterworth_pole
@@ -54,8 +54,11 @@ def window_arrays(samples: DataFrame, windows: DataFrame, window: int = WINDOW,
 def integer_multiple_scores(samples: DataFrame, windows: DataFrame, sample_rate: int, window: int = WINDOW, quiet_sd: float = QUIET_SD,
                             keys: Sequence[str] = KEYS) -> DataFrame:
     """How closely de-filtered sample differences sit on multiples of each candidate gain."""
-    arrays = window_arrays(samples, windows, window, quiet_sd, keys)
-    rate = F.lit(float(sample_rate))
+    return integer_multiples_of(window_arrays(samples, windows, window, quiet_sd, keys), F.lit(float(sample_rate)), keys)
+
+
+def integer_multiples_of(arrays: DataFrame, rate: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The same from arrays(keys, w) of loud windows; ``rate`` may be a column of them."""
     presets = []
     for cutoff in CUTOFFS_HZ:
         pole = butterworth_pole(F.lit(float(cutoff)), rate)
@@ -80,12 +83,17 @@ def integer_multiple_verdict(scores: DataFrame, keys: Sequence[str] = KEYS) -> D
     return best.select(*keys, "b.*", F.when(frac < 0.04, "match").when(frac < 0.10, "possible").otherwise("no_match").alias("verdict"))
 
 
-SCORE_TYPE = "array<struct<db_cut:int,in_range:bigint,recovered:bigint,resid_sq:double,actual_sq:double>>"
+SCORE_TYPE = "array<struct<db_cut:int,in_range:bigint,near:bigint,frac:double,recovered:bigint,resid_sq:double,actual_sq:double>>"
+NEAR_INTEGER = 0.1
 
 
 def inverse_filter_scores(samples: DataFrame, windows: DataFrame, window: int = WINDOW, quiet_sd: float = QUIET_SD, keys: Sequence[str] = KEYS) -> DataFrame:
     """Undo each preset's filter, round to converter codes, redo it, and compare with the recording."""
-    arrays = window_arrays(samples, windows, window, quiet_sd, keys)
+    return inverse_filters_of(window_arrays(samples, windows, window, quiet_sd, keys), keys).select(*keys, "db_cut", "in_range_frac", "residual")
+
+
+def inverse_filters_of(arrays: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The same from arrays(keys, w) of loud windows, with how near the codes in range lie to whole numbers."""
 
     def recursion(x, num, den):
         """Direct form over all windows at once: y = (num * x - den[1:] * y) / den[0]."""
@@ -113,28 +121,34 @@ def inverse_filter_scores(samples: DataFrame, windows: DataFrame, window: int =
             sums = np.cumsum(flat, axis=1) - flat
             codes = ((flat * 4096.0 + 256.0 * sums) / 65536.0 + 2048.0)[:, settle:]
             actual = y[:, settle:]
-            inside = ((codes >= 0) & (codes <= 4095)).sum(axis=1)
+            within = (codes >= 0) & (codes <= 4095)
+            inside = within.sum(axis=1)
+            off = np.where(within, np.abs(codes - np.round(codes)), 0.0)
+            near = (within & (off < NEAR_INTEGER)).sum(axis=1)
             again = recursion(leak(np.clip(np.sign(codes) * np.floor(np.abs(codes) + 0.5), 0, 4095)), (b0, b1, b2), (1.0, b1, a2))
             skip = min(256, codes.shape[1] // 4)
             resid = ((actual - again)[:, skip:] ** 2).sum(axis=1)
             power = (actual[:, skip:] ** 2).sum(axis=1)
             for j in range(len(y)):
-                rows[j].append((cut, int(inside[j]), codes.shape[1], float(resid[j]), float(power[j])))
+                rows[j].append((cut, int(inside[j]), int(near[j]), float(off[j].sum()), codes.shape[1], float(resid[j]), float(power[j])))
         return rows
 
     def run(series: pd.Series) -> pd.Series:
         return pd.Series(score(np.stack([np.asarray(x, dtype=float) for x in series])) if len(series) else [])
 
     rows = arrays.select(*keys, F.inline(F.pandas_udf(run, SCORE_TYPE)("w")))
-    agg = rows.groupBy(*keys, "db_cut").agg(*[F.sum(c).alias(c) for c in ("in_range", "recovered", "resid_sq", "actual_sq")])
+    agg = rows.groupBy(*keys, "db_cut").agg(*[F.sum(c).alias(c) for c in ("in_range", "near", "frac", "recovered", "resid_sq", "actual_sq")])
     return agg.select(
         *keys, "db_cut", (F.col("in_range") / F.col("recovered")).alias("in_range_frac"),
         F.when(F.col("actual_sq") > 0, F.sqrt(F.col("resid_sq") / F.col("actual_sq"))).alias("residual"),
+        F.when(F.col("in_range") > 0, F.col("near") / F.col("in_range")).otherwise(0.0).alias("near_integer_frac"),
+        F.when(F.col("in_range") > 0, F.col("frac") / F.col("in_range")).alias("mean_abs_frac"),
     )
 
 
 def inverse_filter_verdict(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    best = scores.groupBy(*keys).agg(F.min_by(F.struct("db_cut", "in_range_frac", "residual"), F.struct("residual", "db_cut")).alias("b"))
+    kept = [c for c in ("db_cut", "in_range_frac", "residual", "near_integer_frac", "mean_abs_frac") if c in scores.columns]
+    best = scores.groupBy(*keys).agg(F.min_by(F.struct(*kept), F.struct("residual", "db_cut")).alias("b"))
     default = F.col("b.db_cut") == 12
     return best.select(
         *keys, "b.*",

@@ -150,7 +150,7 @@ def spectral_peaks(profiles: DataFrame, hz_per_bin: float, hz_range: tuple[float
     return profiles.select(*keys, _per_row(find, PEAK_TYPE)("db").alias("peaks"))
 
 
-def effective_nyquist(profiles: DataFrame, sample_rate: float, bands: int = 32, populated_db: float = 50.0,
+def effective_nyquist(profiles: DataFrame, sample_rate: float | Column, bands: int = 32, populated_db: float = 50.0,
                       silent_db: float = -100.0, limited_ratio: float = 0.95, keys: Sequence[str] = KEYS) -> DataFrame:
     """Highest band with content, from profiles(keys, db); band-limited only if nothing but rounding noise lies above."""
     size = F.floor(F.size("db") / bands).cast("int")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,10 +128,14 @@ def frame_sums(chunks: DataFrame, chunk_size: int, fft: int, hop: int, power: bo
     )
 
 
-def welch_psd(chunks: DataFrame, chunk_size: int, fft: int, sample_rate: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One-sided power spectral density in dB per bin, half-overlapping frames."""
-    sums = frame_sums(chunks, chunk_size, fft, fft // 2, power=True, keys=keys)
-    norm = float((hann(fft) ** 2).sum() * sample_rate)
+def welch_psd(chunks: DataFrame, chunk_size: int, fft: int, sample_rate: float | Column, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One-sided power spectral density in dB per bin, half-overlapping frames; the rate may be a column among ``keys``."""
+    return density_db(frame_sums(chunks, chunk_size, fft, fft // 2, power=True, keys=keys), fft, sample_rate, keys)
+
+
+def density_db(sums: DataFrame, fft: int, sample_rate: float | Column, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Densities from sums(keys, bin, frames, total) of squared magnitudes."""
+    norm = float((hann(fft) ** 2).sum()) * sample_rate
     sided = F.when((F.col("bin") > 0) & (F.col("bin") < fft // 2), 2.0).otherwise(1.0)
     psd = F.col("total") / (F.col("frames") * norm) * sided
     return sums.select(

@@ -15,7 +15,7 @@ SHAPED = """shaped AS (SELECT recording_id, idx, CASE WHEN recording_id = 0 THEN
   WHEN recording_id = 2 THEN (v // 16) * 16 + 5 WHEN recording_id = 3 THEN (v // 48) * 48 ELSE v END AS v FROM ints)"""
 
 
-def _shaped(spark, d):
+def shaped(spark, d):
     r, x, i = F.col("recording_id"), F.col("v"), F.col("idx")
     # Whole division truncates towards zero on both engines.
     shaped = (
@@ -33,7 +33,7 @@ BT = """bt AS (SELECT recording_id, b AS bit, count(*) AS total, count(*) FILTER
 
 @query("bit_usage", ctes(INTS, SHAPED, BT) + "SELECT recording_id, bit, total, zeros, negatives, positives, count, pos_count, neg_count, first_index, last_index FROM bt")
 def bit_usage(spark, d):
-    return B.bit_table(_shaped(spark, d), BITS)
+    return B.bit_table(shaped(spark, d), BITS)
 
 
 @query("float_bit_usage", None)
@@ -51,7 +51,7 @@ def float_bit_summary(spark, d):
  "al AS (SELECT DISTINCT recording_id, p AS pair, c AS combo FROM ints, (SELECT CAST(unnest(range(8)) AS INTEGER) AS p) g, (SELECT CAST(unnest(range(4)) AS INTEGER) AS c) h)",
  "ct AS (SELECT recording_id, pair, combo, count(*) AS n FROM bp GROUP BY 1, 2, 3)") + "SELECT recording_id, pair, combo, coalesce(n, 0) AS count FROM al LEFT JOIN ct USING (recording_id, pair, combo)")
 def bit_pairs(spark, d):
-    return B.bit_pairs(_shaped(spark, d), BITS)
+    return B.bit_pairs(shaped(spark, d), BITS)
 
 
 BS = """bs AS (SELECT recording_id, any_value(total) AS total, any_value(positives) AS positives, any_value(negatives) AS negatives, any_value(zeros) AS zeros, max(bit) FILTER (count > 0) + 1 AS effective_bits,
@@ -62,7 +62,7 @@ BS = """bs AS (SELECT recording_id, any_value(total) AS total, any_value(positiv
 @query("bit_summary", ctes(INTS, SHAPED, BT, BS) + """SELECT recording_id, total, positives, negatives, zeros, effective_bits, round(least(fb, 16), 6) AS fractional_bits, headroom_bits,
  CASE WHEN effective_bits < 16 THEN effective_bits || '-bit recording stored as 16-bit' ELSE '16-bit' END AS summary FROM bs""")
 def bit_summary(spark, d):
-    return B.bit_summary(B.bit_table(_shaped(spark, d), BITS), BITS).withColumn("fractional_bits", r6("fractional_bits"))
+    return B.bit_summary(B.bit_table(shaped(spark, d), BITS), BITS).withColumn("fractional_bits", r6("fractional_bits"))
 
 
 @query("bit_cautions", ctes(INTS, SHAPED, BT, BS) + """SELECT b.recording_id, bit, CASE WHEN bit = 0 THEN 'sign' ELSE 'B' || (15 - bit) END AS label, count,
@@ -71,7 +71,7 @@ def bit_summary(spark, d):
  CASE WHEN count <= greatest(b.total // CASE WHEN bit = 0 THEN 1000 ELSE 10000 END, 1) AND b.total > 1000 THEN 'very_low_usage' END) END AS cautions, bit < effective_bits AS expected_used
  FROM bt b JOIN bs USING (recording_id)""")
 def bit_cautions(spark, d):
-    t = B.bit_table(_shaped(spark, d), BITS)
+    t = B.bit_table(shaped(spark, d), BITS)
     return B.bit_cautions(t, B.bit_summary(t, BITS), BITS, RATE).withColumn("cautions", F.array_join("cautions", ","))
 
 
@@ -86,7 +86,7 @@ g2 AS (SELECT recording_id, gcd, CASE WHEN gcd >= 2 AND bit_count(gcd) = 1 THEN
 
 @query("stride_gcd", ctes(INTS, SHAPED, GCD) + "SELECT recording_id, gcd, padding_bits FROM g2")
 def stride_gcd(spark, d):
-    return B.stride_gcd(_shaped(spark, d), BITS)
+    return B.stride_gcd(shaped(spark, d), BITS)
 
 
 QW = """nn AS (SELECT recording_id, count(*) AS n FROM shaped GROUP BY 1),
@@ -104,12 +104,12 @@ ls AS (SELECT recording_id, chi2, nz, acf1, 0.0::DOUBLE AS acf256, period, pmatc
 
 @query("quietest_window", ctes(INTS, SHAPED, QW) + "SELECT recording_id, a AS start_idx, round(sd, 6) AS sd FROM qu")
 def quietest_window(spark, d):
-    s = _shaped(spark, d)
+    s = shaped(spark, d)
     return B.quietest_window(s, lengths(s), WIN).select("recording_id", "start_idx", r6("sd").alias("sd"))
 
 
 def _low(spark, d):
-    s = _shaped(spark, d)
+    s = shaped(spark, d)
     q = B.quietest_window(s, lengths(s), WIN)
     return s, q, B.low_bit_structure(s, q, 4, WIN)
 

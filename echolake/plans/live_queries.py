@@ -4,8 +4,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from echolake.functions.levels import r6
-from echolake.operators import bits, fingerprint, profile, resonators, spectral, stats
+from echolake.operators import profile, report, resonators, stats
 from echolake.plans.chunking import dense_index, lengths, to_chunks
+from echolake.plans.forensic_queries import shaped
 from echolake.plans.registry import INTS, SIG, ctes, query
 from echolake.plans.spectral_queries import DFT, FR, NN
 from echolake.sources import vehicles as v
@@ -174,28 +175,21 @@ def interval_files(spark, d):
     return zerocross.interval_rows(files).select("path", "idx", "ticks", "clock", "ratio")
 
 
+REPORT_SIZES = report.Sizes(level=256, quiet=512, fft=256, test=512, warmup=64)
+
+
 @query("corpus_report")
 def corpus_report(spark, d):
-    """One wide row per recording: levels, bits, low-bit verdict, fingerprints, coverage and bandwidth."""
-    ints = v.ints(spark, d)
-    y = ints.select("recording_id", "idx", (F.col("v") / 32768.0).alias("y"))
-    n = lengths(ints)
-    table = bits.bit_table(ints, 16)
-    quiet = bits.quietest_window(ints, n, 512)
-    low = bits.lsb_verdict(bits.stride_gcd(ints, 16), quiet, bits.low_bit_structure(ints, quiet, 4, 512), 16)
-    windows = fingerprint.pick_windows(n, 64, 512)
-    multiple = fingerprint.integer_multiple_verdict(fingerprint.integer_multiple_scores(ints, windows, 48_000, 512))
-    inverse = fingerprint.inverse_filter_verdict(fingerprint.inverse_filter_scores(ints, windows, 512))
-    psd = spectral.welch_psd(to_chunks(y, v.INTS_CHUNK), v.INTS_CHUNK, 256, 48_000.0)
-    nyquist = profile.effective_nyquist(profile.gather(psd, "power_db", "db"), 48_000.0)
-    parts = [
-        stats.signal_stats(y).select("recording_id", "n", r6("rms_db").alias("rms_db"), r6("dc_bias").alias("dc_bias")), stats.clipping(y).select("recording_id", "is_clipped"),
-        stats.zero_crossings(y, 48_000, v.INTS_CHUNK).select("recording_id", r6("freq_hz").alias("zc_hz")),
-        bits.bit_summary(table, 16).select("recording_id", "effective_bits", "headroom_bits"), bits.value_coverage(ints, 16).select("recording_id", "unique_count"),
-        low.select("recording_id", "gcd", F.col("verdict").alias("lsb_verdict")), multiple.select("recording_id", F.col("verdict").alias("multiple_verdict")),
-        inverse.select("recording_id", F.col("verdict").alias("inverse_verdict")), nyquist.select("recording_id", r6("effective_hz").alias("effective_hz"), F.col("verdict").alias("nyquist_verdict")),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.join(part, "recording_id", "left")
-    return report
+    """One wide row per recording on its bits, bandwidth and probable recorder; rates, devices and containers differ by recording."""
+    ints = shaped(spark, d)
+    i = F.col("recording_id")
+    devices = F.array(*[F.lit(x) for x in ("AudioMoth 1.2", "Echo Meter Touch", None, "Some Maker")])
+    rate = F.when(i == 4, 2_000).when(i % 3 == 0, 48_000).when(i % 3 == 1, 384_000).otherwise(96_000)
+    recordings = lengths(ints).select(
+        "recording_id", F.concat(F.lit("recording_"), i).alias("name"), F.element_at(devices, (i % 4 + 1).cast("int")).alias("dvc"), F.lit("built-in").alias("mic"),
+        rate.cast("string").alias("smp_meta"), F.lit(1).alias("channels"), F.when(i == 5, 24).otherwise(16).alias("bits_per_sample"), (i == 6).alias("is_float"),
+        rate.alias("sample_rate"), "n")
+    scale = F.when(i == 5, 8_388_608.0).otherwise(32_768.0)
+    chunks = to_chunks(ints.select("recording_id", "idx", (F.col("v") / scale).alias("y")), v.INTS_CHUNK)
+    rows = report.device_report(chunks, recordings, v.INTS_CHUNK, REPORT_SIZES)
+    return rows.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
