@@ -72,6 +72,14 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], fn: Calla
     return source.mapInArrow(run, T.StructType(keep + fields))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, free_name
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -47,6 +47,11 @@ class Settings:
     seed: int = 11
 
 
+def is_digits(token: str) -> bool:
+    """Whether all are 0 to 9; other digits (superscript, circled, full-width) are plain characters here."""
+    return token.isascii() and token.isdigit()
+
+
 def luhn(digits: str) -> bool:
     values = [int(c) for c in digits[::-1]]
     return (sum(values[::2]) + sum(2 * v - 9 * (v > 4) for v in values[1::2])) % 10 == 0
@@ -110,13 +115,13 @@ def _code(name: str) -> int:
 
 
 def _edge(token: str) -> str:
-    return "none" if not token else "space" if token.isspace() else "digit" if token.isdigit() else "word" if token.isalpha() else token
+    return "none" if not token else "space" if token.isspace() else "digit" if is_digits(token) else "word" if token.isalpha() else token
 
 
 def candidates(tokens: list[str], longest: int) -> list[tuple[int, int, list[int]]]:
     """(first token, after last token, features of the whole span)."""
     out, n = [], len(tokens)
-    numeric = [t.isdigit() or t.isspace() or t in "+().-/:" for t in tokens]
+    numeric = [is_digits(t) or t.isspace() or t in "+().-/:" for t in tokens]
     for i in range(n):
         if tokens[i].isspace() or not (tokens[i][0].isalnum() or tokens[i] in "+("):
             continue
@@ -126,7 +131,7 @@ def candidates(tokens: list[str], longest: int) -> list[tuple[int, int, list[int
             t = tokens[j - 1]
             all_numeric &= numeric[j - 1]
             span += t
-            if t.isdigit():
+            if is_digits(t):
                 digits += t
                 shape += f"d{min(len(t), 5)}"
             else:
@@ -135,7 +140,7 @@ def candidates(tokens: list[str], longest: int) -> list[tuple[int, int, list[int
                 break
             if not t[-1].isalnum() or not (digits if all_numeric else _AT.search(span)) or not all_numeric and not t.isalnum():
                 continue
-            if all_numeric and j < n and tokens[j].isdigit() or len(digits) > 40:
+            if all_numeric and j < n and is_digits(tokens[j]) or len(digits) > 40:
                 continue
             parts = re.split(r"[^0-9]+", span.strip("+"))
             names = [
@@ -378,7 +383,7 @@ def mask(df: DataFrame, field: Field | None, s: Settings = Settings(), text: str
         f = None if state is None else Field(*state)
         return [pa.array([masked(t, spans(t, f, s)[1]) if _MARK.search(t) else t for t in texts], pa.string())]
 
-    name = "__masked"
+    name = free_name(df, "masked_")
     got = add_columns(df, text, [T.StructField(name, T.StringType())], run)
     got = got.withColumn(text, F.when(F.col(text).isNotNull(), F.col(name))).drop(name)
     if n_chars in columns:

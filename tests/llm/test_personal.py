@@ -120,3 +120,14 @@ def test_rows(spark, field):
     assert [r.text for r in kept.where("doc_id = 4").collect()] == ["call <PHONE> now"] * 2
     assert kept.where("text is null").count() == 1
     assert personal.find(df.limit(0), None).count() == 0 and personal.train(df.limit(0)) is None
+
+
+def test_digits_that_are_not_ascii_are_plain_characters(spark):
+    texts = ["1234567890123²", "4111 1111 1111 111²", "①234567890123", "１２３４ 5678 ９０１２ 3456", "+49 ²²² ³³³ 1234", "call ٠١٢٣٤٥٦٧٨٩٠١٢ now", "10.0.0.²", "4111 1111 1111 1111"]
+    df = spark.createDataFrame([(i, t, f"m{i}") for i, t in enumerate(texts)], "doc_id long, text string, masked_ string")
+    docs = spark.createDataFrame([(i, f"mail a{i}@b.example or call +1 555 010 {i:04d} today") for i in range(40)], "doc_id long, text string")
+    field = personal.train(docs)
+    got = {r.doc_id: r for r in personal.find(df, field).collect()}
+    assert [got[i].n_card for i in range(8)][-1] == 1 and got[0].n_card <= 1 and len(got) == 8
+    kept = {r.doc_id: r for r in personal.mask(df, field).collect()}
+    assert len(kept) == 8 and kept[3].masked_ == "m3" and "4111" not in kept[7].text
