@@ -37,6 +37,14 @@ def latch(rows: DataFrame, rise: Column, fall: Column, out: str = "armed", keys:
     return running_last(rows, keys, {out: event}).withColumn(out, F.coalesce(F.col(out), F.lit(0)) == 1)
 
 
+def raw_pulses(rows: DataFrame, min_gap: int, chunk: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Pulses of any length of rows(keys, chunk, idx, env, high, low, n), with thresholds that are the same for all rows of a recording."""
+    facts = ("high", "low", "n")
+    packed = pulses.packed(rows, keys, "env", *facts)
+    one = packed.select(*keys, "chunk", "first", "env", *[F.col(c)[0].cast("long" if c == "n" else "double").alias(c) for c in facts], F.lit(0.0).alias("floor"))
+    return pulses.find_pulses(one, min_gap, 0, 1 << 62, keys).select(*keys, "start_idx", "end_idx", "peak_idx", "peak_amp")
+
+
 @dataclass(frozen=True)
 class PulseSettings:
     threshold_db: float = 6.0
