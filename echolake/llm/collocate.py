@@ -34,9 +34,11 @@ LONGEST = 4
 MOST = 2_000
 #: Words of a shard, words whose phrases one range holds about, ranges at most, bits of a filter at most.
 SHARD_WORDS = 1_000_000
-RANGE_WORDS = 1_000_000
+RANGE_WORDS = 500_000
 RANGES = 1 << 14
 FILTER_BITS = 1 << 28
+#: Bytes of automata in one Arrow batch that a shard sends.
+BLOB_BYTES = 8_000_000
 
 #: A-Z lower-cased, piece ends to line feeds, tabs to spaces.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -249,9 +251,14 @@ def summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(rows):
         return rows, counts
     order = in_order(rows)
-    rows, counts = rows[order], counts[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    return summed_in_order(rows[order], counts[order])
+
+
+def summed_in_order(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for column in rows.T:
+        new[1:] |= column[1:] != column[:-1]
     return rows[new], np.add.reduceat(counts, np.flatnonzero(new))
 
 
@@ -267,13 +274,17 @@ class Union:
             self.rows.append(np.pad(rows, ((0, 0), (0, self.width - rows.shape[1]))))
             self.counts.append(counts)
             self.held += len(rows)
-            if self.held > 2 * self.base + 200_000:
+            if self.held > 2 * self.base + 50_000:
                 self.sums()
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.rows:
             return np.zeros((0, self.width), np.uint64), np.zeros(0, np.int64)
-        rows, counts = summed(np.concatenate(self.rows), np.concatenate(self.counts))
+        rows, counts = np.concatenate(self.rows), np.concatenate(self.counts)
+        self.rows, self.counts = [], []
+        order = in_order(rows)
+        rows, counts = rows[order], counts[order]  # the unsorted copy is freed here, before the sums are made
+        rows, counts = summed_in_order(rows, counts)
         self.rows, self.counts, self.held, self.base = [rows], [counts], len(rows), len(rows)
         return rows, counts
 
@@ -454,15 +465,23 @@ def _counted(texts: DataFrame, unknown: str, longest: int, words: tuple, pairs:
     def run(batches):
         allowed, two, places_ = Filter(*words), Filter(*pairs) if pairs else None, Ranges(*ranges)
         for shard in _shards(batches, unknown, most):
-            made = []
+            found = []
             for own, rows, counts in shard.ngrams(longest, allowed, two):
                 if len(rows):
-                    keyed = np.column_stack([np.full(len(rows), own, np.uint64), rows])
-                    order = in_order(keyed)
-                    made += _cut(keyed[order], counts[order], places_)
-                if sum(len(m[1]) for m in made) > 8_000_000:
+                    order = in_order(rows)
+                    found.append((own, np.column_stack([np.full(len(rows), own, np.uint64), rows[order]]), counts[order]))
+            if not found:
+                continue
+            found.sort(key=lambda f: f[0])  # one automaton per range holds all languages of the shard
+            rows, counts = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+            del found
+            made, size = [], 0
+            for piece in _cut(rows, counts, places_):
+                made.append(piece)
+                size += len(piece[1])
+                if size > BLOB_BYTES:
                     yield _blobs(made)
-                    made = []
+                    made, size = [], 0
             if made:
                 yield _blobs(made)
 
