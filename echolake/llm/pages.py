@@ -6,7 +6,10 @@ are added, by its generalised path (tags and classes from the root, digits made
 page is extracted again from the elements on its host's winning path, or from its own such element where it has none. Menus, footers, forms, scripts, adverts, notices, comments and the like never count; a class or
 id counts as such a name if it is one or joins one with words of place or shape (`AFFIXES`), and not on an element that holds the
 main element, the article with the page's title or most of the page's text outside links and comments.
-A page header goes; inside the winning container its headings stay.
+A page header goes; inside the winning container its headings stay. An article without a heading of its own begins at the h1 before it, with what
+stands between them outside links.
+
+Rows count each for themselves, also repeated ones; equal votes go to the path that is last in order. Very long pages are read whole.
 
 Null and empty pages give an empty text; markup that does not close, or text without markup, is read as far as it goes.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, free_name, stored
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -43,16 +46,20 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog".sp
 NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments "
-    "reply replies disqus share sharing social related recommended recommendations widget pagination pager copyright skip".split())
-COMMENTS = frozenset("comment comments reply replies disqus".split())
+    "reply replies respond disqus share sharing social related recommended recommendations widget pagination pager copyright skip".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 #: What may stand beside a name in a class or id: "ad-slot" is an advert, "no-sidebar" or "comments-open" says something of the page.
 AFFIXES = frozenset(
     "slot box block container wrapper wrap area list section unit bar item items link links button buttons icons panel inner outer content "
     "text body title head top bottom left right main primary secondary site page post posts global header form group row col column id js "
-    "module media google mobile desktop".split())
+    "module media google mobile desktop user users reader readers visitor visitors thread threads feed author entry count".split())
+#: What drops a figure by name; its other names say where it stands.
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo".split())
 DEPTH = 400
 #: Share of a page's score below the element that counts as its article.
 NEARLY = 0.95
+#: Parts of a host's pages where many winners meet them.
+SALTS = 16
 PARTS = frozenset("p li pre blockquote td dd dt figcaption".split()) | HEADINGS
 
 
@@ -166,6 +173,8 @@ class Page:
         if name in ("html", "body", "main", "article"):
             dropped = name == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert", "promo", "related"})
             words = set()
+        if name == "figure":
+            words &= ADVERTS
         if words:
             self._names[len(self.path)] = words
         up = self.path[here]
@@ -246,7 +255,22 @@ class Page:
             inside[i] = True
         for i in range(1, len(self.path)):
             inside[i] |= inside[self.parent[i]]
-        return "\n\n".join(text for text, _, e in self.blocks if inside[e] and not self.dropped[e] and (not self.header[e] or self.tags[e] in HEADINGS))
+        kept = [i for i, (_, _, e) in enumerate(self.blocks) if inside[e] and not self.dropped[e] and (not self.header[e] or self.tags[e] in HEADINGS)]
+        return "\n\n".join(self.blocks[i][0] for i in self._title(kept) + kept)
+
+    def _title(self, kept: list[int]) -> list[int]:
+        """The blocks from the page's title on to an article that neither holds an h1 nor begins with a heading, links and headers left out."""
+        if not kept or self.tags[self.blocks[kept[0]][2]] in HEADINGS or any(self.tags[self.blocks[i][2]] == "h1" for i in kept):
+            return []
+        out = []
+        for i in range(kept[0] - 1, -1, -1):
+            text, links, e = self.blocks[i]
+            if self.dropped[e] or self.header[e] or links * 3 > len(text):
+                continue
+            out.append(i)
+            if self.tags[e] == "h1":
+                return out[::-1]
+        return []
 
 
 def votes(source: str) -> list[tuple[str, float]]:
@@ -270,25 +294,29 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """Add `text` and `n_chars`."""
     taken = [c for c in pages.columns if c not in ("text", "n_chars")]
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select(*[F.col(f"`{c}`") for c in taken], host.alias("__host"))
+    by, part, best, both = (free_name(pages, c) for c in ("__host", "__part", "__path", "__both"))
     found = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("share", T.DoubleType())]))
     kind = pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64())]))
 
     def vote(texts):
         return [pa.array([[{"path": p, "share": s} for p, s in votes(t)] for t in texts], kind)]
 
-    cast = add_columns(rows.select("__host", F.col(f"`{html}`").alias("__html")), "__html", [T.StructField("votes", found)], vote)
-    sums = cast.select("__host", F.explode("votes").alias("v")).groupBy("__host", "v.path").agg(F.sum("v.share").alias("share"))
-    winners = sums.groupBy("__host").agg(F.max(F.struct(F.round("share", 6), F.col("path"))).getField("path").alias("__path"))
-    joined = rows.join(winners, "__host", "left")
-    both = joined.withColumn("__both", F.concat(F.coalesce("__path", F.lit("")), F.lit("\n"), F.coalesce(F.col(f"`{html}`"), F.lit(""))))
+    cast = add_columns(pages.select(host.alias("host"), F.col(f"`{html}`").alias("html")), "html", [T.StructField("votes", found)], vote)
+    sums = cast.select("host", F.explode("votes").alias("v")).groupBy("host", "v.path").agg(F.sum("v.share").alias("share"))
+    winners = stored(sums.groupBy("host").agg(F.max(F.struct(F.round("share", 6), F.col("path"))).getField("path").alias("path")), "winners")
+    # A stored table tells its size, so few winners go to the pages; many meet them by host, each host in SALTS parts.
+    dealt = winners.select(F.col("host").alias(by), F.col("path").alias(best), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(part))
+    salt = F.pmod(F.xxhash64(F.col(f"`{url}`"), F.col(f"`{html}`")), F.lit(SALTS)).cast("int")
+    rows = pages.select(*[F.col(f"`{c}`") for c in taken], host.alias(by), salt.alias(part))
+    joined = rows.join(dealt, [by, part], "left")
+    source = joined.select(*[F.col(f"`{c}`") for c in taken], F.concat(F.coalesce(best, F.lit("")), F.lit("\n"), F.coalesce(F.col(f"`{html}`"), F.lit(""))).alias(both))
 
     def again(texts):
         made = []
         for t in texts:
-            path, _, source = t.partition("\n")
-            made.append(main_text(source, path or None))
+            path, _, page = t.partition("\n")
+            made.append(main_text(page, path or None))
         return [pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())]
 
-    got = add_columns(both, "__both", [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], again)
+    got = add_columns(source, both, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], again)
     return got.select(*[F.col(f"`{c}`") for c in taken], "text", "n_chars")

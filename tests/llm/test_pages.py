@@ -87,3 +87,37 @@ def test_whole_articles_in_parts(spark):
         body = bodies[r.url.split("/")[2].split(".")[0]]
         want = [t.strip() for t in re.split(r"<[^>]*>", body) if t.strip()]
         assert r.text.split("\n\n") == want, r.url
+
+
+def test_titles_and_leads_outside_the_container():
+    text = "A sentence of the article that goes on for a while. " * 8
+    story = f"<div class='story'><p>{text}</p><p>{text}</p></div>"
+    want = f"{text.strip()}\n\n{text.strip()}"
+    nav = "<header><h1>Site</h1></header><nav><a href=/>Home</a></nav>"
+    for between, lead in (("", ""), ("<div class=lead>Short lead.</div>", "Short lead.\n\n"), ("<p>Short lead.</p><p><a href=/t>All of this</a></p>", "Short lead.\n\n")):
+        assert pages.main_text(f"<html><body>{nav}<h1>The title</h1>{between}{story}<footer>&copy;</footer></body></html>", None) == f"The title\n\n{lead}{want}"
+    assert pages.main_text(f"<body>{nav}<p>Before the story</p>{story}</body>", None) == want
+    headed = f"<div class='story'><h2>Its own title</h2><p>{text}</p></div>"
+    assert pages.main_text(f"<body><div><h1>Site</h1></div>{headed}</body>", None) == f"Its own title\n\n{text.strip()}"
+
+
+def test_comment_blocks_and_figures():
+    text = "A sentence of the article that goes on for a while. " * 8
+    for mark in ("class='user-comments'", "class='comment-thread'", "id='respond'", "class='reader-comments'", "id=comments-list", "class='comment-author'"):
+        assert pages.main_text(f"<body><article><h1>T</h1><p>{text}</p><div {mark}><p>I think so too</p></div></article></body>", None) == f"T\n\n{text.strip()}", mark
+    page = f"<body><article><h1>T</h1><p>{text}</p><figure class='%s'><img src=x><figcaption>What it shows</figcaption></figure></article></body>"
+    assert pages.main_text(page % "widget", None) == f"T\n\n{text.strip()}\n\nWhat it shows"
+    assert pages.main_text(page % "ad", None) == f"T\n\n{text.strip()}"
+
+
+def test_clashing_names_and_many_hosts(spark):
+    rows = [(n, f"http://h{n % 7}.example/{n}", f"<body><article><h1>T{n}</h1><p>Text of page {n}</p></article></body>", "a", 1, "b", "c", "d") for n in range(70)]
+    df = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string, __host string, __part int, __path string, __both string, host string")
+    default = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (default, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = pages.extract(df)
+        found = got.collect()
+        assert got.columns == [*df.columns, "text", "n_chars"] and len(found) == 73
+        assert all(r.text == f"T{r.page_id}\n\nText of page {r.page_id}" and r["__host"] == "a" and r["__part"] == 1 and r.host == "d" for r in found)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", default)
