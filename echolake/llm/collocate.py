@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import give_back, stored
 
 LEAST = 30
 LONGEST = 4
@@ -442,8 +442,11 @@ def _shards(batches, unknown: str, most: int):
             if shard.n >= most:
                 yield shard
                 shard = Shard()
+                give_back()
     if shard.n:
         yield shard
+        del shard
+        give_back()
 
 
 def _blobs(found: list[tuple[int, int, bytes]]):
@@ -473,10 +476,10 @@ def _counted(texts: DataFrame, unknown: str, longest: int, words: tuple, pairs:
             if not found:
                 continue
             found.sort(key=lambda f: f[0])  # one automaton per range holds all languages of the shard
-            rows, counts = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
-            del found
+            found_rows, found_counts = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+            del found, rows, counts
             made, size = [], 0
-            for piece in _cut(rows, counts, places_):
+            for piece in _cut(found_rows, found_counts, places_):
                 made.append(piece)
                 size += len(piece[1])
                 if size > BLOB_BYTES:
@@ -484,6 +487,7 @@ def _counted(texts: DataFrame, unknown: str, longest: int, words: tuple, pairs:
                     made, size = [], 0
             if made:
                 yield _blobs(made)
+            del found_rows, found_counts, made, shard
 
     return texts.mapInArrow(run, BLOBS)
 
@@ -504,9 +508,12 @@ def _united(blobs: DataFrame, width: int, least: int) -> DataFrame:
                     if now is not None and (row := made()) is not None:
                         yield row
                     now, union = number, Union(width)
+                    give_back()
                 union.add(Transducer.from_bytes(blob.as_buffer().to_pybytes()))
         if now is not None and (row := made()) is not None:
             yield row
+        union = None
+        give_back()
 
     return blobs.repartition("range").sortWithinPartitions("range").mapInArrow(run, BLOBS)
 

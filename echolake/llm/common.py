@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -34,6 +35,14 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the system; workers live on between tasks, and an executor's memory counts all of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may have no such function
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `limit` bytes of one column; a longer row stands alone."""
     column = batch.column(text)
