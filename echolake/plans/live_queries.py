@@ -175,6 +175,38 @@ def interval_files(spark, d):
     return zerocross.interval_rows(files).select("path", "idx", "ticks", "clock", "ratio")
 
 
+@query("interval_headers", """SELECT c_custkey AS path, substr(c_name, 1, 8) AS tape, c_mktsegment AS location, n_name AS species, 'caf?' AS note1, CASE WHEN c_custkey % 2 = 0 THEN 129 ELSE 132 END AS file_type,
+ CASE WHEN c_custkey % 7 = 6 THEN NULL ELSE 25000 END AS clock, CAST(c_custkey % 50 AS INTEGER) AS sensitivity, CASE WHEN c_custkey % 2 = 1 THEN (2000 + c_custkey % 20) || '-03-1' || (c_custkey % 9) || ' 21:05:09' END AS recorded,
+ CASE WHEN c_custkey % 2 = 1 THEN 250000 + c_custkey % 100 END AS recorded_micros, CASE WHEN c_custkey % 2 = 1 THEN 'WGS84 ' || c_nationkey END AS position, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS make, NULL::VARCHAR AS error
+ FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 <> 6
+ UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'implausible clock 5' FROM customer WHERE c_custkey % 7 = 6""")
+def interval_headers(spark, d):
+    """Headers of one interval file per customer, of both types; every seventh has a bad clock."""
+    def encode(key: pd.Series, name: pd.Series, place: pd.Series, kind: pd.Series, nation: pd.Series) -> pd.Series:
+        out = []
+        for k, n, p, s, c in zip(key, name, place, kind, nation):
+            block = f"GUANO|Version: 1.0\nMake: {p}\n\nno pair\n".encode() if k % 2 else b""
+            raw = bytearray(0x180 + len(block))
+            for at, text in ((0x006, n[:8].encode()), (0x016, p.encode()), (0x03E, s.encode()), (0x080, b"caf\xe9")):
+                raw[at:at + len(text)] = text
+            raw[0:2], raw[3] = (0x119).to_bytes(2, "little"), 132 if k % 2 else 129
+            raw[0x119:0x11F] = len(raw).to_bytes(2, "little") + (5 if k % 7 == 6 else 25_000).to_bytes(2, "little") + bytes([8, k % 50])
+            if k % 2:
+                raw[0x120:0x12A] = (2000 + k % 20).to_bytes(2, "little") + bytes([3, 10 + k % 9, 21, 5, 9, 25]) + (k % 100).to_bytes(2, "little")
+                where = f"WGS84 {c}".encode()
+                raw[0x130:0x130 + len(where)] = where
+                raw[0x150:0x150 + len(block)] = block
+            out.append(bytes(raw))
+        return pd.Series(out)
+
+    c, n = v.table(spark, d, "customer"), v.table(spark, d, "nation")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey)
+    content = F.pandas_udf(encode, "binary")("c_custkey", "c_name", "c_mktsegment", "n_name", F.col("c_nationkey").cast("long"))
+    h = zerocross.header_rows(rows.select(F.col("c_custkey").cast("string").alias("path"), content.alias("content")))
+    make = F.get(F.filter("metadata", lambda x: x["key"] == "Make"), F.lit(0))["value"]
+    return h.select(F.col("path").cast("long").alias("path"), "tape", "location", "species", "note1", "file_type", "clock", "sensitivity", "recorded", "recorded_micros", "position", make.alias("make"), "error")
+
+
 REPORT_SIZES = report.Sizes(level=256, quiet=512, fft=256, test=512, warmup=64)
 
 

@@ -76,3 +76,28 @@ def test_interval_codes(spark):
     got = zerocross.interval_rows(rows).toPandas()
     assert list(got[got.path == "good"].sort_values("idx").ticks) == ticks
     assert got[got.path == "bad"].error.notna().all()
+
+
+def test_interval_header_fields(spark):
+    block = b"GUANO|Version: 1.0\r\nNote: a: b\nnothing\n : \n\0\0"
+    raw = bytearray(0x150 + len(block))
+    raw[0:2], raw[3] = struct.pack("<H", 0x119), 132
+    raw[0x119:0x11F] = struct.pack("<HHBB", len(raw), 25_000, 8, 17)
+    raw[0x006:0x00E], raw[0x016:0x01C], raw[0x03E:0x042] = b"T1\0ape12", b" Pond\t", b"Myo\xff"
+    raw[0x120:0x12A] = struct.pack("<HBBBBBBH", 2021, 2, 31, 25, 61, 7, 250, 65_535)
+    raw[0x12A:0x130], raw[0x130:0x138], raw[0x150:] = b"ID0001", b"WGS84 12", block
+    odd_date, not_text, old = bytearray(raw), bytearray(raw), bytearray(raw)
+    odd_date[0x122], not_text[0x151], old[3] = 13, 0xFF, 131
+    short = bytearray(raw[:0x13F])
+    short[0x119:0x11B] = struct.pack("<H", 0x13F)
+    rows = [(n, bytes(b)) for n, b in (("full", raw), ("odd_date", odd_date), ("not_text", not_text), ("old", old), ("short", short), ("bad", b"x"))]
+    got = {r.path: r for r in zerocross.header_rows(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    full = got["full"]
+    assert (full.tape, full.location, full.species, full.sensitivity, full.file_type, full.clock, full.ratio) == ("T1", "Pond?", "Myo?", 17, 132, 25_000, 8)
+    assert (full.recorded, full.recorded_micros, full.id_code, full.position) == ("2021-02-31 25:61:07", 2_565_535, "ID0001", "WGS84 12")
+    assert [(m.key, m.value) for m in full.metadata] == [("GUANO|Version", "1.0"), ("Note", "a: b"), ("", "")]
+    assert got["odd_date"].recorded is None and got["odd_date"].recorded_micros is None and got["odd_date"].id_code == "ID0001"
+    assert got["not_text"].metadata == []
+    assert got["old"].metadata is None and got["old"].position is None and got["old"].tape == "T1"
+    assert got["short"].recorded is None and got["short"].error is None
+    assert got["bad"].error and got["bad"].tape is None
