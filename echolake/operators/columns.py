@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -296,6 +296,35 @@ def nearest_columns(left: DataFrame, right: DataFrame, width: float, keys: Seque
     return both_sides.select(*keys, F.col("lcol").alias("col"), F.coalesce(F.when(nearer, F.col("after.col")), F.col("before.col"), F.col("after.col")).alias("nearest"))
 
 
+def geometric_mean(x: Column, y: Column) -> Column:
+    """High only where both are."""
+    return F.sqrt(x * y)
+
+
+def resample_to(left: DataFrame, right: DataFrame, bin_ratio: float, width: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Spectra of one grid on another: for each left column the right column nearest in time, for each of its bins the nearest right bin.
+
+    Rows (keys, t, col, mags); `bin_ratio` is the left grid's width of a bin over the right one's; frequencies above the right grid take its last
+    bin. Adds `other` to left. Only times meet in the scan; each array moves once, in the join that brings it to its left columns.
+    """
+    keys = list(keys)
+    near = nearest_columns(left.select(*keys, "t", "col"), right.select(*keys, "t", "col"), width, keys)
+    held = right.select(*keys, F.col("col").alias("nearest"), F.col("mags").alias("_right"))
+    rows = left.join(near, [*keys, "col"], "left").join(held, [*keys, "nearest"], "left").drop("nearest")
+
+    def taken(_, b):
+        return F.get("_right", F.least(F.round(b * F.lit(float(bin_ratio))), F.size("_right") - 1).cast("int"))
+
+    return rows.withColumn("other", F.when(F.col("_right").isNotNull(), F.transform("mags", taken))).drop("_right")
+
+
+def fuse(left: DataFrame, right: DataFrame, bin_ratio: float, width: float, op: Callable[[Column, Column], Column] = geometric_mean,
+         keys: Sequence[str] = KEYS) -> DataFrame:
+    """Combine two grids element by element on the left one; columns of recordings without right columns are dropped."""
+    rows = resample_to(left, right, bin_ratio, width, keys).where("other IS NOT NULL")
+    return rows.withColumn("mags", F.zip_with("mags", "other", op)).drop("other")
+
+
 def band_gains(floors: DataFrame, bins: int, max_hz: float, low_hz: float, high_hz: float, gains: dict[str, float], band_count: int,
                notches: DataFrame | None, suppression: float, floor_strength: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """dB adjustment per bin: equaliser bands, notch bands with their harmonics, and a learned floor(keys, bin, mean_mag)."""

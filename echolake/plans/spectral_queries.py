@@ -340,6 +340,22 @@ def nearest_columns(spark, d):
     return C.nearest_columns(ev.where(click).drop("event_type"), ev.where(~click).drop("event_type"), 86_400.0)
 
 
+FUSED = ("near AS (SELECT a.recording_id, a.col, b.col AS nearest, row_number() OVER (PARTITION BY a.recording_id, a.col ORDER BY abs(b.col * 2.0 + 1.5 - a.col * 2.0), b.col) AS r "
+         "FROM (SELECT DISTINCT recording_id, col FROM spec) a JOIN (SELECT DISTINCT recording_id, col FROM spec WHERE col % 3 = 0) b USING (recording_id))")
+
+
+@query("fused_spectra", ctes(SPEC, FUSED) + """SELECT a.recording_id, a.col, a.bin, round(sqrt(a.mag * b.mag), 6) AS mag, round(least(a.mag, b.mag), 6) AS least_mag FROM spec a JOIN near n ON n.recording_id = a.recording_id AND n.col = a.col AND r = 1
+ JOIN spec b ON b.recording_id = a.recording_id AND b.col = n.nearest AND b.bin = least(round(a.bin * (62.0 / 126)), 31)""")
+def fused_spectra(spark, d):
+    s = v.spec(spark, d)
+    left = s.withColumn("t", F.col("col") * 2.0)
+    right = s.where("col % 3 = 0").select("recording_id", "col", (F.col("col") * 2.0 + 1.5).alias("t"), F.slice("mags", 1, 32).alias("mags"))
+    both = C.resample_to(left, right, 62 / 126, 512.0).where("other IS NOT NULL")
+    mean, least = F.zip_with("mags", "other", C.geometric_mean), F.zip_with("mags", "other", lambda x, y: F.least(x, y))
+    return both.select("recording_id", "col", F.posexplode(F.arrays_zip(mean.alias("m"), least.alias("l"))).alias("bin", "x")).select(
+        "recording_id", "col", F.col("bin").cast("long").alias("bin"), r6(F.col("x.m")).alias("mag"), r6(F.col("x.l")).alias("least_mag"))
+
+
 @query("band_gains", ctes(SPEC, "mm AS (SELECT recording_id, bin, avg(mag) AS m FROM spec GROUP BY 1, 2)",
  "gr AS (SELECT recording_id, bin, bin * (320.0 / 32) AS f FROM (SELECT DISTINCT recording_id FROM spec), generate_series(0, 32) g(bin))",
  "nt AS (SELECT CAST(s AS INTEGER) AS recording_id, 50.0 + s * 7 AS c, 25.0 AS w, 12.0 + s AS st FROM generate_series(0, 9) g(s))",
