@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolake.functions import text
@@ -75,17 +76,113 @@ def upsert(index: DataFrame, changes: DataFrame, key: str, deleted: DataFrame |
     return out.join(deleted.select(key), key, "left_anti") if deleted is not None else out
 
 
+def _files_of(spark: SparkSession, path: str):
+    """The file system of a folder and a maker of its paths."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def write_index(index: DataFrame, path: str, partition: str) -> None:
-    """Replace the index in a folder: it is written beside it first, so it may be computed from the one it replaces."""
-    spark = index.sparkSession
+    """Replace the index in a folder: it is written beside it first, so it may be computed from the one it replaces.
+
+    The old one is deleted only when the new one is in its place, and put back if that is refused. Readers may find no folder between the two
+    renames; `commit_index` has no such moment.
+    """
     fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     index.write.partitionBy(partition).parquet(fresh)
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(fresh), at(path))
-    fs.delete(at(old), True)
+    fs, at = _files_of(index.sparkSession, path)
+    held = fs.exists(at(path))
+    if held and not fs.rename(at(path), at(old)):
+        fs.delete(at(fresh), True)
+        raise OSError(f"cannot move the index {path}; it stays as it was")
+    if not fs.rename(at(fresh), at(path)):
+        if held and not fs.rename(at(old), at(path)):
+            raise OSError(f"cannot move {fresh} to {path}; the old index is in {old}")
+        fs.delete(at(fresh), True)
+        raise OSError(f"cannot move {fresh} to {path}; the index stays as it was")
+    if held:
+        fs.delete(at(old), True)
+
+
+class IndexConflict(RuntimeError):
+    """Another writer committed the version that this one was to become."""
+
+
+def _commits(spark: SparkSession, path: str) -> dict[int, str | None]:
+    """The folder of each version; None for a commit that was cut off, which counts as taken but is never read."""
+    fs, at = _files_of(spark, path)
+    log = at(path, "_commits")
+    if not fs.exists(log):
+        return {}
+    out = {}
+    for status in fs.listStatus(log):
+        if not (name := status.getPath().getName()).isdigit():
+            continue
+        stream = fs.open(status.getPath())
+        try:
+            line = bytes(stream.readNBytes(int(status.getLen()))).decode()
+        finally:
+            stream.close()
+        out[int(name)] = line[:-1] if line.endswith("\n") else None
+    return out
+
+
+def index_version(spark: SparkSession, path: str) -> int:
+    """The newest version of a versioned index; 0 where there is none."""
+    return max((v for v, folder in _commits(spark, path).items() if folder), default=0)
+
+
+def commit_index(index: DataFrame, path: str, partition: str, base: int | None = None) -> int:
+    """Write an index as a new immutable version and return its number.
+
+    `base` is the version that the rows were computed from (by default the newest one as the write begins). The data go to a folder of their own; a
+    small commit file, created only if its number is free, makes them the newest version. So a killed writer leaves the versions before it as
+    they were, and of two writers with one base the second gets IndexConflict and computes again. Needs a file system that creates
+    files exclusively (HDFS, local ones).
+    """
+    spark = index.sparkSession
+    fs, at = _files_of(spark, path)
+    taken = _commits(spark, path)
+    newest = max((v for v, folder in taken.items() if folder), default=0)
+    base = newest if base is None else base
+    if base != newest:
+        raise IndexConflict(f"{path} is at version {newest}, not {base}")
+    number, folder = max(taken, default=0) + 1, f"data-{uuid.uuid4().hex}"
+    index.write.partitionBy(partition).parquet(f"{path}/{folder}")
+    if any(v >= number for v in _commits(spark, path)) or not _created(fs, at(at(path, "_commits"), f"{number:010d}"), f"{folder}\n"):
+        fs.delete(at(path, folder), True)
+        raise IndexConflict(f"version {number} of {path} was committed by another writer")
+    return number
+
+
+def _created(fs, file, line: str) -> bool:
+    """Create a file unless it exists."""
+    try:
+        stream = fs.create(file, False)
+    except Py4JJavaError:
+        if fs.exists(file):
+            return False
+        raise
+    stream.write(bytearray(line.encode()))
+    stream.close()
+    return True
+
+
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest version of an index, or a given one; it stays readable while later versions are committed."""
+    folders = {v: folder for v, folder in _commits(spark, path).items() if folder}
+    if not folders or version is not None and version not in folders:
+        raise FileNotFoundError(f"no version {'' if version is None else version} of an index in {path}")
+    return spark.read.parquet(f"{path}/{folders[max(folders) if version is None else version]}")
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete the data of all but the newest versions; their commit files go first, so no reader finds a version without data."""
+    fs, at = _files_of(spark, path)
+    folders = {v: folder for v, folder in _commits(spark, path).items() if folder}
+    for v in sorted(folders)[:-max(1, keep)]:
+        fs.delete(at(at(path, "_commits"), f"{v:010d}"), False)
+        fs.delete(at(path, folders[v]), True)
 
 
 def refresh(local: DataFrame, catalogue: DataFrame, key: str, columns: Sequence[str], local_only: Sequence[str]) -> DataFrame:
@@ -186,6 +283,25 @@ def resolve_species(rows: DataFrame, entries: DataFrame, regions: DataFrame) ->
     )
 
 
+def resolve_books(rows: DataFrame, entries: DataFrame, regions: DataFrame, countries: DataFrame, favourite: str | None = None, fallback: str = "Global") -> DataFrame:
+    """Book, highlighted species and label of the source for rows(row_id, species, country).
+
+    The country's book wins, else the one that holds the species, else the favourite, else the fallback; regions(region, region_order, label),
+    countries(country, region, approximate). A label names the book, and the country where that or the species decided; a country that its
+    book covers only roughly is marked.
+    """
+    placed = country_region(rows, countries, "country").withColumnRenamed("region", "_own")
+    found = resolve_species(placed.select("row_id", F.coalesce("species", F.lit("")).alias("species"), F.col("_own").alias("region")), entries, regions)
+    known = F.col("book_region").isNotNull()
+    region = F.coalesce("book_region", F.lit(favourite or fallback))
+    chosen = placed.join(found, "row_id").select("row_id", "species_id", region.alias("region"), "country", "approximate", known.alias("_known"))
+    named = chosen.join(regions.select("region", F.col("label").alias("_label")), "region", "left")
+    suffix = F.when(F.col("approximate"), F.lit(", approx.")).otherwise(F.lit(""))
+    short = F.coalesce("_label", "region")
+    label = F.when(F.col("_known") & (F.col("country") != ""), F.concat(short, F.lit(" ("), "country", suffix, F.lit(")"))).otherwise(short)
+    return named.select("row_id", "region", "species_id", label.alias("source_label"), (~F.col("_known") & F.lit(favourite is not None)).alias("from_favourite"))
+
+
 def match_identities(left: DataFrame, right: DataFrame) -> DataFrame:
     """Best match of each left identity and its confidence: the strongest hash present on both sides decides.
 

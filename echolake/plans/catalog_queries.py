@@ -7,6 +7,7 @@ from echolake.functions.levels import r6
 from echolake.operators import catalog as K
 from echolake.operators import provenance
 from echolake.plans.registry import CAT, IDENT, KV, SIG, SPEC, ctes, query
+from echolake.session import scratch_path
 from echolake.sources import vehicles as v
 
 
@@ -294,6 +295,39 @@ def species_resolution(spark, d):
     return K.resolve_species(rows, entries, regions)
 
 
+@query("species_books", ctes(ENTRIES, "q AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 5 <> 0 THEN lower(p_type || ' ' || p_brand) END AS s, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Nowhere' ELSE n_name END AS country, "
+ "CASE WHEN c_custkey % 4 > 1 AND n_nationkey <> 5 THEN r_name END AS rg, n_nationkey % 2 = 0 AS approx FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON c_custkey = p_partkey)",
+ "h AS (SELECT row_id, en.region, species_id, row_number() OVER (PARTITION BY row_id ORDER BY coalesce(en.region <> rg, true), region_order, species_id) AS r FROM q JOIN part ON lower(p_type || ' ' || p_brand) = s JOIN en ON species_id = p_partkey)") +
+ """SELECT q.row_id, coalesce(rg, h.region, 'ASIA') AS region, species_id, lower(coalesce(rg, h.region, 'ASIA')) || CASE WHEN coalesce(rg, h.region) IS NOT NULL AND country IS NOT NULL THEN ' (' || country || CASE WHEN rg IS NOT NULL AND approx THEN ', approx.' ELSE '' END || ')' ELSE '' END AS source_label,
+ coalesce(rg, h.region) IS NULL AS from_favourite FROM q LEFT JOIN h ON h.row_id = q.row_id AND r = 1""")
+def species_books(spark, d):
+    c, p, n, r = (v.table(spark, d, t) for t in ("customer", "part", "nation", "region"))
+    named = c.join(n, c.c_nationkey == n.n_nationkey).join(p, c.c_custkey == p.p_partkey, "left")
+    key = F.col("c_custkey")
+    rows = named.select(key.alias("row_id"), F.when(key % 5 != 0, F.concat_ws(" ", "p_type", "p_brand")).alias("species"),
+                        F.when(key % 4 == 1, "Nowhere").when(key % 4 > 1, F.col("n_name")).alias("country"))
+    regions = r.select(F.col("r_name").alias("region"), F.col("r_regionkey").alias("region_order"), F.lower("r_name").alias("label"))
+    entries = _entries(spark, d).join(_species(spark, d).select("species_id", "scientific_name"), "species_id")
+    return K.resolve_books(rows, entries, regions, _countries(spark, d), "ASIA")
+
+
+@query("index_versions", """WITH a AS (SELECT c_custkey AS id, c_mktsegment AS gen, c_acctbal AS x FROM customer), b AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'MOVED' ELSE gen END AS gen, CASE WHEN id % 10 = 0 THEN -1 ELSE x END AS x FROM a WHERE id % 7 <> 3)
+ SELECT 1 AS version, gen, count(*) AS n, round(sum(x), 2) AS total FROM a GROUP BY gen UNION ALL SELECT 2, gen, count(*), round(sum(x), 2) FROM b GROUP BY gen""")
+def index_versions(spark, d):
+    """A catalogue index as first committed and after an upsert with deletions, read by version."""
+    path = scratch_path(spark, "index")
+    rows = v.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("gen"), F.col("c_acctbal").alias("x"))
+    first = K.commit_index(rows, path, "gen")
+    held = K.read_index(spark, path)
+    changes = held.where("id % 10 = 0").select("id", F.lit(-1.0).alias("x"), F.lit("MOVED").alias("gen"))
+    K.commit_index(K.upsert(held, changes, "id", held.where("id % 7 = 3")), path, "gen", first)
+
+    def summed(version):
+        return K.read_index(spark, path, version).groupBy("gen").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 2).alias("total")).select(F.lit(version).alias("version"), "gen", "n", "total")
+
+    return summed(1).unionByName(summed(2))
+
+
 @query("selected_frequency_range", """WITH s AS (SELECT l_orderkey AS recording_id, min(p_size * 1000.0::DOUBLE) AS lo, max(p_retailprice * 50) AS hi FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING min(p_size * 1000.0) < max(p_retailprice * 50))
  SELECT recording_id, lo AS lo_hz, least(hi, (20000 + o_custkey * 50) / 2.0::DOUBLE) AS hi_hz, hi > (20000 + o_custkey * 50) / 2.0 AS clamped FROM s JOIN orders ON o_orderkey = recording_id WHERE lo < (20000 + o_custkey * 50) / 2.0""")
 def selected_frequency_range(spark, d):

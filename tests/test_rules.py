@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from echolake import session
 from echolake.functions import text
-from echolake.operators import annotations, catalog, detect, fingerprint
+from echolake.operators import annotations, catalog, columns, detect, fingerprint
 from echolake.sources import wav, zerocross
 
 
@@ -65,6 +65,89 @@ def test_index_may_replace_itself(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(path).collect()] == [2]
 
 
+def test_refused_rename_keeps_the_index(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    catalog.write_index(spark.createDataFrame([(1, "a")], "id long, gen string"), path, "gen")
+    fs, at = catalog._files_of(spark, path)
+    for refused in (1, 2):
+        calls = []
+
+        class Refusing:
+            def __getattr__(self, name):
+                return getattr(fs, name)
+
+            def rename(self, a, b):
+                calls.append(a)
+                return len(calls) != refused and fs.rename(a, b)
+
+        monkeypatch.setattr(catalog, "_files_of", lambda *_: (Refusing(), at))
+        with pytest.raises(OSError):
+            catalog.write_index(spark.createDataFrame([(2, "a")], "id long, gen string"), path, "gen")
+        assert [r.id for r in spark.read.parquet(path).collect()] == [1]
+        assert [p.name for p in tmp_path.iterdir()] == ["index"]
+
+
+def test_index_versions_conflicts_and_cut_commits(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    rows = [spark.createDataFrame([(n, "a")], "id long, gen string") for n in range(4)]
+    with pytest.raises(FileNotFoundError):
+        catalog.read_index(spark, path)
+    assert catalog.index_version(spark, path) == 0
+    assert catalog.commit_index(rows[0], path, "gen") == 1
+    assert catalog.commit_index(rows[1], path, "gen", 1) == 2
+    with pytest.raises(catalog.IndexConflict):
+        catalog.commit_index(rows[2], path, "gen", 1)  # computed from a version that is no longer the newest
+    (tmp_path / "versions" / "_commits" / "0000000003").write_text("data-of-a-killed-wri")
+    assert catalog.index_version(spark, path) == 2 and catalog.read_index(spark, path).first().id == 1
+    assert catalog.commit_index(rows[3], path, "gen", 2) == 4
+    assert [catalog.read_index(spark, path, n).first().id for n in (1, 2, 4)] == [0, 1, 3]
+    catalog.drop_versions(spark, path, 1)
+    assert catalog.read_index(spark, path).first().id == 3
+    with pytest.raises(FileNotFoundError):
+        catalog.read_index(spark, path, 2)
+    assert len([p for p in (tmp_path / "versions").iterdir() if p.name.startswith("data-")]) == 1
+
+
+def test_second_writer_of_a_version_is_refused(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "race")
+    rows = spark.createDataFrame([(1, "a")], "id long, gen string")
+    catalog.commit_index(rows, path, "gen")
+    seen = catalog._commits(spark, path)
+    catalog.commit_index(rows, path, "gen")
+    monkeypatch.setattr(catalog, "_commits", lambda *_: seen)  # looked before the other one committed
+    with pytest.raises(catalog.IndexConflict):
+        catalog.commit_index(rows, path, "gen")
+    monkeypatch.undo()
+    assert catalog.index_version(spark, path) == 2
+    assert len([p for p in (tmp_path / "race").iterdir() if p.name.startswith("data-")]) == 2
+
+
+def test_book_labels(spark):
+    regions = spark.createDataFrame([("Europe", 0, "Europe"), ("NorthAmerica", 1, "N. America"), ("Global", 9, "Global")], "region string, region_order int, label string")
+    countries = spark.createDataFrame([("france", "Europe", False), ("greenland", "NorthAmerica", True)], "country string, region string, approximate boolean")
+    entries = spark.createDataFrame([("Europe", 0, 7, "Myotis myotis"), ("NorthAmerica", 0, 8, "Eptesicus fuscus")], "region string, ordinal int, species_id long, scientific_name string")
+    rows = spark.createDataFrame([
+        (1, "Myotis myotis", "France"), (2, "Myotis myotis oxygnathus", " greenland "), (3, "Eptesicus fuscus", None), (4, "Eptesicus fuscus", "Atlantis"), (5, None, "Greenland"),
+        (6, "Unknown", "Atlantis"), (7, "", ""), (8, "Eptesicus fuscus", "")], "row_id long, species string, country string")
+    got = {r.row_id: tuple(r)[1:] for r in catalog.resolve_books(rows, entries, regions, countries, "Europe").collect()}
+    assert got == {
+        1: ("Europe", 7, "Europe (France)", False), 2: ("NorthAmerica", 7, "N. America ( greenland , approx.)", False), 3: ("NorthAmerica", 8, "N. America", False),
+        4: ("NorthAmerica", 8, "N. America (Atlantis)", False), 5: ("NorthAmerica", None, "N. America (Greenland, approx.)", False), 6: ("Europe", None, "Europe", True),
+        7: ("Europe", None, "Europe", True), 8: ("NorthAmerica", 8, "N. America", False)}
+    plain = {r.row_id: (r.region, r.from_favourite) for r in catalog.resolve_books(rows, entries, regions, countries).collect()}
+    assert plain[6] == ("Global", False)
+
+
+def test_fused_grids(spark):
+    left = spark.createDataFrame([(1, 0.0, 0, [1.0, 4.0, 9.0, 16.0]), (1, 1.0, 1, [1.0, 1.0, 1.0, 1.0]), (2, 0.0, 0, [1.0])], "recording_id long, t double, col long, mags array<double>")
+    right = spark.createDataFrame([(1, 0.4, 0, [4.0, 9.0]), (1, 5.0, 1, [0.0, 0.0]), (1, 0.6, 2, [1.0, 2.0])], "recording_id long, t double, col long, mags array<double>")
+    got = {r.col: r.mags for r in columns.fuse(left, right, 0.5, 1.0).collect()}
+    assert set(got) == {0, 1}
+    np.testing.assert_allclose(got[0], np.sqrt([4.0, 4 * 9, 9 * 9, 16 * 9]))  # bins 0, 0.5, 1, 1.5 of the other grid, halves up, the last one kept
+    added = {r.col: r.mags for r in columns.fuse(left, right, 0.5, 1.0, lambda x, y: x + y).collect()}
+    assert added[1] == [2.0, 3.0, 3.0, 3.0]
+
+
 def test_files_with_spaces_and_bad_files(spark, tmp_path):
     good = wav.wav_bytes(np.zeros(100), 1000)
     (tmp_path / "XC1 - Pond Myotis 100%.wav").write_bytes(good)
