@@ -4,14 +4,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from echolake.functions.levels import r6
-from echolake.operators import profile, report, resonators, stats
+from echolake.operators import report, resonators, stats
 from echolake.plans.chunking import dense_index, lengths, to_chunks
 from echolake.plans.forensic_queries import shaped
 from echolake.plans.registry import INTS, SIG, ctes, query
-from echolake.plans.spectral_queries import DFT, FR, NN
+from echolake.plans.spectral_queries import DFT, FR, NB, NN, RM
 from echolake.sources import vehicles as v
 from echolake.sources import wav, zerocross
-from echolake.streaming import live
+from echolake.streaming import live, windows
 
 FEED = "sig AS (SELECT event_id % 100 AS recording_id, event_id // 100 AS idx, ts, (value - 50) / 511 AS y FROM events)"
 
@@ -23,6 +23,14 @@ def feed(spark, d):
                      ((F.col("value") - 50) / 511).alias("y"), "event_type", "event_id")
 
 
+def replayed(columns):
+    """A stored table of columns as a stream again, in one micro-batch: its files have no order in time."""
+    spark = columns.sparkSession
+    path = live.scratch_path(spark, "replay")
+    columns.write.parquet(path)
+    return spark.readStream.schema(columns.schema).parquet(path)
+
+
 @query("live_envelope", ctes(FEED) + "SELECT recording_id AS stream_id, idx // 16 AS cell, round(min(y), 6) + 0.0 AS lo, round(max(y), 6) + 0.0 AS hi, count(*) AS n FROM sig GROUP BY 1, 2")
 def live_envelope(spark, d):
     t = live.latest(live.run_to_table(live.envelope_cells(feed(spark, d), 16), "cells", "update"), ["stream_id", "cell"])
@@ -75,7 +83,7 @@ def live_stft(spark, d):
  "SELECT recording_id AS stream_id, nw AS newest, greatest(nw - 4, 0) AS oldest, round(m, 6) AS running_max, least(nw + 1, 5) AS kept FROM mx")
 def live_retention(spark, d):
     cols = live.run_to_table(live.live_stft(feed(spark, d), 16, 8, 40), "ring").drop("batch")
-    kept = live.retained(cols, 5)
+    kept = windows.ring(live.run_to_table(windows.ring_changes(replayed(cols), 5, 2), "ring_changes"), 5)
     return kept.groupBy("stream_id").agg(F.first("newest").alias("newest"), F.first("oldest").alias("oldest"), r6(F.first("running_max")).alias("running_max"), F.count(F.lit(1)).alias("kept"))
 
 
@@ -117,13 +125,46 @@ def resonator_chroma(spark, d):
     return notes.groupBy("recording_id", "col", (F.col("n") % 12).cast("long").alias("pitch_class")).agg(r6(F.sum(F.col("m") * F.col("m"))).alias("energy"))
 
 
-@query("live_noise_bands")
+DFT32 = """cols AS (SELECT recording_id, unnest(range(0, (n - 32) // 8 + 1)) AS col FROM nn WHERE n >= 32),
+fr AS (SELECT c.recording_id, c.col, idx - c.col * 8 AS pos, y, 0.5 * (1 - cos(2 * pi() * (idx - c.col * 8) / 31)) AS w
+  FROM cols c JOIN sig s ON s.recording_id = c.recording_id AND idx BETWEEN c.col * 8 AND c.col * 8 + 31),
+dft AS (SELECT recording_id, col, k AS bin, sum(y * w * cos(2 * pi() * k * pos / 32)) AS re, -sum(y * w * sin(2 * pi() * k * pos / 32)) AS im
+  FROM fr, generate_series(0, 16) g(k) GROUP BY 1, 2, 3),
+full_panes AS (SELECT recording_id, pane FROM (SELECT recording_id, col // 2 AS pane, count(*) AS n FROM cols GROUP BY 1, 2) WHERE n = 2),
+spec AS (SELECT recording_id, pane AS col, bin, avg(sqrt(re * re + im * im)) AS mag FROM full_panes JOIN dft USING (recording_id)
+  WHERE dft.col // 2 BETWEEN pane - 2 AND pane GROUP BY 1, 2, 3)"""
+NB17 = NB.replace("64) AS hi", "17) AS hi").replace("BETWEEN 1 AND 62", "BETWEEN 1 AND 15")
+
+
+@query("live_noise_bands", ctes(FEED, NN, DFT32, RM, NB17) +
+ "SELECT recording_id AS stream_id, col AS pane, round(c, 6) AS center_hz, round(w, 6) AS bandwidth_hz, round(q, 6) AS q, round(s, 6) AS strength_db FROM bands")
 def live_noise_bands(spark, d):
     cols = live.run_to_table(live.live_stft(feed(spark, d), 32, 8, 48), "lnb").drop("batch")
-    w = live.window_spectra(cols, 0.08, "400 milliseconds", "200 milliseconds")
-    p = profile.gather(w, "mean_mag", "mean", ("stream_id", "w"))
-    b = profile.noise_bands(p, 100.0 / 32, threshold=1.7, half=4, keys=("stream_id", "w"))
-    return b.select("stream_id", F.col("w.start").alias("window_start"), F.inline("bands")).select("stream_id", "window_start", r6("center_hz").alias("center_hz"), r6("bandwidth_hz").alias("bandwidth_hz"), r6("strength_db").alias("strength_db"))
+    b = live.run_to_table(windows.live_bands(replayed(cols), 10.0, 2, 3, threshold=1.7), "lnb_bands")
+    flat = b.select("stream_id", "pane", F.inline("bands"))
+    return flat.select("stream_id", "pane", *[r6(c).alias(c) for c in ("center_hz", "bandwidth_hz", "q", "strength_db")])
+
+
+SCHEDULE = """ev AS (SELECT event_id % 100 AS stream_id, event_id AS chunk, epoch_us(ts) / 1000000.0::DOUBLE AS own, round(value * 40) AS delay, 1200.0::DOUBLE + event_id % 7 * 1500 AS dur FROM events),
+ar AS (SELECT *, own + delay AS arrived FROM ev),
+mx AS (SELECT *, max(own) OVER (PARTITION BY stream_id ORDER BY arrived, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM ar),
+ok AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY arrived, chunk) AS i FROM mx WHERE newest IS NULL OR own >= newest - 600),
+go AS (SELECT stream_id, chunk, i, arrived AS start, arrived + dur AS nxt, 'underrun' AS kind FROM ok WHERE i = 1
+ UNION ALL SELECT o.stream_id, o.chunk, o.i, CASE WHEN g.nxt >= o.arrived AND g.nxt - o.arrived <= 3000 THEN g.nxt ELSE o.arrived END,
+  CASE WHEN g.nxt >= o.arrived AND g.nxt - o.arrived <= 3000 THEN g.nxt ELSE o.arrived END + o.dur,
+  CASE WHEN g.nxt < o.arrived THEN 'underrun' WHEN g.nxt - o.arrived > 3000 THEN 'backlog' ELSE 'steady' END
+ FROM go g JOIN ok o ON o.stream_id = g.stream_id AND o.i = g.i + 1)"""
+
+
+@query("live_schedule", ctes(SCHEDULE) + "SELECT stream_id, chunk, round(start, 6) AS start, kind FROM go UNION ALL SELECT stream_id, chunk, NULL, 'late' FROM mx WHERE own < newest - 600")
+def live_schedule(spark, d):
+    """Chunks of a hundred feeds with delays, gaps and backlogs; late ones stand aside."""
+    ev = live.table_stream(spark, d, "events")
+    own = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = ev.select((F.col("event_id") % 100).alias("stream_id"), F.col("event_id").alias("chunk"), own.alias("own"),
+                     (own + F.round(F.col("value") * 40)).alias("arrived"), (F.lit(1200.0) + F.col("event_id") % 7 * 1500).alias("dur"))
+    t = live.run_to_table(windows.schedule(rows, 3000.0, 600.0), "schedule")
+    return t.select("stream_id", "chunk", r6("start").alias("start"), "kind")
 
 
 def _files(spark, d):
