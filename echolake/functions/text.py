@@ -200,13 +200,10 @@ def compact_duration(seconds: Column | str) -> Column:
     """45.1s, 5m30s or 9h44m22s."""
     s = F.abs(_c(seconds))
     whole = F.round(s).cast("long")
-    hours, rest = F.floor(s / 3600), whole % 3600
-    long_ = F.format_string("%dh%02dm%02ds", F.floor(whole / 3600).cast("int"), F.floor(rest / 60).cast("int"), (whole % 60).cast("int"))
-    carried = F.format_string("%dh%02dm%02ds", hours.cast("int"), F.lit(60), F.lit(0))
-    mid = F.format_string("%dm%02ds", F.floor(whole / 60).cast("int"), (whole % 60).cast("int"))
-    return F.when(s < 90, F.format_string("%.1fs", _tenths(s))).when(s < 3600, mid).otherwise(
-        F.when(F.floor(whole / 3600) > hours, carried).otherwise(long_)
-    )
+    minutes, secs = F.floor(whole % 3600 / 60).cast("int"), (whole % 60).cast("int")
+    long_ = F.format_string("%dh%02dm%02ds", F.floor(whole / 3600).cast("int"), minutes, secs)
+    mid = F.format_string("%dm%02ds", F.floor(whole / 60).cast("int"), secs)
+    return F.when(s < 90, F.format_string("%.1fs", _tenths(s))).when(s < 3600, mid).otherwise(long_)
 
 
 def khz(hz: Column) -> Column:
