@@ -251,10 +251,17 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + (b"\0" if len(body) & 1 else b"")
 
 
-def wav_bytes(samples: np.ndarray, rate: int, guano: str | None = None, marks: list[tuple[int, int, str]] | None = None) -> bytes:
-    """A mono 16-bit file of samples in [-1, 1), with optional metadata text and (id, position, label) markers."""
-    pcm = np.clip(np.round(np.asarray(samples, dtype=float) * 32768), -32768, 32767).astype("<i2").tobytes()
-    body = b"WAVE" + _chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, rate, rate * 2, 2, 16)) + _chunk(b"data", pcm)
+def wav_bytes(samples: np.ndarray, rate: int, guano: str | None = None, marks: list[tuple[int, int, str]] | None = None, clip: bool = True) -> bytes:
+    """A mono 16-bit file of samples in [-1, 1), with optional metadata text and (id, position, label) markers.
+
+    Samples beyond full scale are clipped; with ``clip`` off, a file that holds any has 32-bit float samples in the same steps.
+    """
+    steps = np.round(np.asarray(samples, dtype=float) * 32768)
+    if not clip and len(steps) and (steps.min() < -32768 or steps.max() > 32767):
+        form, pcm = struct.pack("<HHIIHH", 3, 1, rate, rate * 4, 4, 32), (steps / 32768).astype("<f4").tobytes()
+    else:
+        form, pcm = struct.pack("<HHIIHH", 1, 1, rate, rate * 2, 2, 16), np.clip(steps, -32768, 32767).astype("<i2").tobytes()
+    body = b"WAVE" + _chunk(b"fmt ", form) + _chunk(b"data", pcm)
     if guano:
         body += _chunk(b"guan", guano.encode())
     if marks:
@@ -264,14 +271,14 @@ def wav_bytes(samples: np.ndarray, rate: int, guano: str | None = None, marks: l
     return _chunk(b"RIFF", body)
 
 
-def encode_wav(rows: DataFrame, rate: int, samples: str = "samples", guano: str | None = None, marks: str | None = None) -> DataFrame:
-    """Add a ``content`` column holding each row's samples as a file; ``marks`` names an array of (id, position, label)."""
+def encode_wav(rows: DataFrame, rate: int, samples: str = "samples", guano: str | None = None, marks: str | None = None, clip: bool = True) -> DataFrame:
+    """Add a ``content`` column holding each row's samples as a file (`wav_bytes`); ``marks`` names an array of (id, position, label)."""
 
     def run(x: pd.Series, text: pd.Series, points: pd.Series) -> pd.Series:
         def listed(p):
             return None if p is None else [tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in p]
 
-        return pd.Series([wav_bytes(np.asarray(a), rate, t, listed(p)) for a, t, p in zip(x, text, points)])
+        return pd.Series([wav_bytes(np.asarray(a), rate, t, listed(p), clip) for a, t, p in zip(x, text, points)])
 
     text = F.col(guano) if guano else F.lit(None).cast("string")
     points = F.col(marks) if marks else F.lit(None).cast("array<struct<id:bigint,position:bigint,label:string>>")
