@@ -133,10 +133,46 @@ def box_energy(boxes: DataFrame, columns: DataFrame, hz_per_bin: float, keys: Se
     )
 
 
-def smallest_box(points: DataFrame, boxes: DataFrame, max_hz: float, keys: Sequence[str], width: float = 0.25) -> DataFrame:
-    """The box of least area around each point(keys, point_id, t, freq_hz)."""
-    hits = points_in_intervals(points, boxes, keys, "t", "time_start", "time_end", width)
-    lo, hi = F.coalesce("freq_low", F.lit(0.0)), F.coalesce("freq_high", F.lit(max_hz))
-    inside = hits.where((F.col("freq_hz") >= lo) & (F.col("freq_hz") <= hi))
-    area: Column = (F.col("time_end") - F.col("time_start")) * (hi - lo)
-    return inside.groupBy(*keys, "point_id").agg(F.min_by("box_id", F.struct(area, F.col("box_id"))).alias("box_id"))
+# Smallest extent and largest coordinate that cells of boxes tell apart.
+LEAST_EXTENT, FARTHEST = 2.0**-20, 2.0**50
+
+
+def smallest_box(points: DataFrame, boxes: DataFrame, max_hz: float, keys: Sequence[str]) -> DataFrame:
+    """The box of least area around each point(keys, point_id, t, freq_hz).
+
+    Each box is laid on a grid whose cells are a quarter to half its size, by powers of two. Of the boxes that cover a cell only the first by
+    area and id can be an answer there, and of those that cross its border only the ones before that; points meet what is left in their
+    cell of every grid.
+    """
+    keys = list(keys)
+    cell = [*keys, "_lt", "_lf", "_ct", "_cf"]
+
+    def near(c: Column) -> Column:
+        return F.least(F.greatest(c, F.lit(-FARTHEST)), F.lit(FARTHEST))
+
+    def level(a: str, b: str) -> Column:
+        return F.floor(F.log2(F.greatest(near(F.col(b)) - near(F.col(a)), F.lit(LEAST_EXTENT)) / 2)).cast("int")
+
+    def place(c: str, grid: str) -> Column:
+        return F.floor(near(F.col(c)) / F.pow(F.lit(2.0), grid)).cast("long")
+
+    def covers(a: str, b: str, grid: str, at: str) -> Column:
+        size = F.pow(F.lit(2.0), grid)
+        return (F.col(at) * size >= F.col(a)) & ((F.col(at) + 1) * size <= F.col(b))
+
+    spans = boxes.select(*keys, "box_id", F.col("time_start").alias("_a"), F.col("time_end").alias("_b"),
+                         F.coalesce("freq_low", F.lit(0.0)).alias("_lo"), F.coalesce("freq_high", F.lit(max_hz)).alias("_hi"))
+    single = spans.where("_a <= _b AND _lo <= _hi").groupBy(*keys, "_a", "_b", "_lo", "_hi").agg(F.min("box_id").alias("box_id"))
+    area = (F.col("_b") - F.col("_a")) * (F.col("_hi") - F.col("_lo"))
+    sized = single.withColumn("_first", F.struct(area.alias("area"), F.col("box_id"))).withColumn("_lt", level("_a", "_b")).withColumn("_lf", level("_lo", "_hi"))
+    laid = sized.withColumn("_ct", F.explode(F.sequence(place("_a", "_lt"), place("_b", "_lt")))).withColumn(
+        "_cf", F.explode(F.sequence(place("_lo", "_lf"), place("_hi", "_lf"))))
+    laid = laid.withColumn("_whole", covers("_a", "_b", "_lt", "_ct") & covers("_lo", "_hi", "_lf", "_cf"))
+    best = laid.where("_whole").groupBy(*cell).agg(F.min("_first").alias("_best"))
+    crossing = laid.where("NOT _whole").join(best, cell, "left").where("_best IS NULL OR _first < _best")
+    offers = crossing.select(*cell, "_a", "_b", "_lo", "_hi", "_first").unionByName(best.withColumnRenamed("_best", "_first"), allowMissingColumns=True)
+    grids = sized.select(*keys, "_lt", "_lf").distinct()
+    asked = points.where("t IS NOT NULL AND freq_hz IS NOT NULL").select(*keys, "point_id", "t", "freq_hz").join(grids, keys)
+    asked = asked.withColumn("_ct", place("t", "_lt")).withColumn("_cf", place("freq_hz", "_lf"))
+    hits = asked.join(offers, cell).where("_a IS NULL OR (t >= _a AND t <= _b AND freq_hz >= _lo AND freq_hz <= _hi)")
+    return hits.groupBy(*keys, "point_id").agg(F.min("_first").alias("_f")).select(*keys, "point_id", F.col("_f.box_id").alias("box_id"))

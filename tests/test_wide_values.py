@@ -1,12 +1,16 @@
 """Queries against their SQL on values and table shapes that the smallest tables do not hold."""
 
 import datetime
+import time
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tools.check import rows_of
 import __spark_entry__ as entry
+from echolake.operators import annotations, timeline
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +34,59 @@ def test_large_values(spark, folder, name):
     cur = con.execute(entry.oracle_sql()[name])
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
+def test_earliest_segments_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    segs = [(int(k), i, float(s), float(n)) for i, (k, s, n) in enumerate(zip(rng.integers(0, 3, 900), rng.integers(-200, 900, 900), rng.integers(-1, 90, 900)))]
+    segs += [(0, 5000 + i, float(s), 7.5) for i, s in enumerate(rng.random(200) * 700)] + [(1, 6000, None, 3.0), (1, 6001, 4.0, None)]
+    points = [(int(k), i, float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 1500), rng.integers(-420, 2000, 1500) / 2))]
+    points += [points[0], (1, 9000, None)]
+    got = timeline.segment_at(spark.createDataFrame(points, "timeline_id long, point_id long, t double"),
+                              spark.createDataFrame(segs, "timeline_id long, seg_id long, start double, dur double"), 8.0).collect()
+    want = {}
+    for k, p, t in points:
+        held = [(s, i) for q, i, s, n in segs if q == k and None not in (t, s, n) and s <= t < s + n]
+        if held:
+            want[p] = (k, min(held)[1], t - min(held)[0])
+    assert len(got) == len(want) and {r.point_id: (r.timeline_id, r.seg_id, r.inside) for r in got} == want
+
+
+def test_smallest_boxes_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    boxes = []
+    for i in range(1500):
+        a, lo = float(rng.integers(0, 64)) / 8, float(rng.integers(0, 40) * 16)
+        b, hi = a + float(rng.choice([0.0, 0.125, 0.7, 1.0, 9.0, -0.5])) * float(rng.choice([1.0, rng.random()])), lo + float(rng.choice([0.0, 16.0, 150.0, 500.5]))
+        boxes.append((int(rng.integers(0, 3)), i, a, b, None if i % 5 == 0 else lo, None if i % 7 == 0 else hi))
+    boxes += [(0, 7000, 0.0, 2.0, 0.0, float("inf")), (0, 7001, None, 2.0, 0.0, 5.0), (1, 7002, -3.0, 1e6, -5.0, 1e9)]
+    points = [(int(rng.integers(0, 4)), i, float(rng.integers(0, 80)) / 8, float(rng.integers(0, 82)) * 8) for i in range(1200)]
+    points += [(0, 9000, 1.0, 1e17), (0, 9001, None, 1.0), (1, 9002, -2.0, -4.5)]
+    got = annotations.smallest_box(spark.createDataFrame(points, "recording_id long, point_id long, t double, freq_hz double"),
+                                   spark.createDataFrame(boxes, "recording_id long, box_id long, time_start double, time_end double, freq_low double, freq_high double"),
+                                   640.0, ["recording_id"]).collect()
+    want = {}
+    for r, p, t, f in points:
+        found = []
+        for q, i, a, b, lo, hi in boxes:
+            lo, hi = 0.0 if lo is None else lo, 640.0 if hi is None else hi
+            if q == r and None not in (t, a) and a <= t <= b and lo <= f <= hi:
+                found.append(((b - a) * (hi - lo), i))
+        if found:
+            want[p] = (r, min(found)[1])
+    assert len(got) == len(want) and {r.point_id: (r.recording_id, r.box_id) for r in got} == want
+
+
+def test_lookups_form_no_pairs(spark):
+    """Thousands of nested segments or boxes around thousands of points: all pairs would be 1.6 billion rows."""
+    n = 40_000
+    i = F.col("id")
+    start = time.time()
+    segs = spark.range(n).select(F.lit(0).alias("timeline_id"), i.alias("seg_id"), (i / n).alias("start"), (60 - 2 * i / n).alias("dur"))
+    at = timeline.segment_at(spark.range(n).select(F.lit(0).alias("timeline_id"), i.alias("point_id"), (2 + i / n).alias("t")), segs)
+    assert at.where("seg_id = 0").count() == n
+    boxes = spark.range(n).select(F.lit(0).alias("recording_id"), i.alias("box_id"), (-i / n).alias("time_start"), (9 + i / n).alias("time_end"),
+                                  (-i / n).alias("freq_low"), (9 + i / n).alias("freq_high"))
+    points = spark.range(n).select(F.lit(0).alias("recording_id"), i.alias("point_id"), (4 + i / n).alias("t"), (5 - i / n).alias("freq_hz"))
+    assert annotations.smallest_box(points, boxes, 640.0, ["recording_id"]).where("box_id = 0").count() == n
+    assert time.time() - start < 60
