@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolake.functions import text
-from echolake.operators.intervals import interval_overlaps, points_in_intervals
+from echolake.operators.intervals import interval_overlaps
 from echolake.plans.chunking import div, ranked, running_last, running_max, running_sum
 
 KEYS = ("timeline_id",)
@@ -56,11 +56,20 @@ def sessions(segs: DataFrame, max_gap: float = 60.0, width: float = BUCKET, keys
 
 
 def segment_at(points: DataFrame, segs: DataFrame, width: float = BUCKET, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The earliest segment that holds each point(keys, point_id, t), and the position inside it."""
-    spans = segs.select(*keys, "seg_id", "start", (F.col("start") + F.col("dur")).alias("end"))
-    hits = points_in_intervals(points, spans, keys, "t", "start", "end", width, closed=False)
-    first = hits.groupBy(*keys, "point_id", "t").agg(F.min(F.struct("start", "seg_id")).alias("s"))
-    return first.select(*keys, "point_id", F.col("s.seg_id").alias("seg_id"), (F.col("t") - F.col("s.start")).alias("inside"))
+    """The earliest segment that holds each point(keys, point_id, t), and the position inside it.
+
+    A segment that ends no later than one before it in order is never the answer. The rest have growing starts and ends, so a point's
+    answer is the first of them that ends after it, if that has begun: one scan from the last end back finds it without forming pairs.
+    """
+    keys = list(keys)
+    spans = segs.select(*keys, "seg_id", "start", (F.col("start") + F.col("dur")).alias("end")).where("end > start")
+    single = spans.groupBy(*keys, "start", "end").agg(F.min("seg_id").alias("seg_id"))
+    kept = running_max(_ordered(single, width), keys, F.col("end"), "before", "_o").where("before IS NULL OR end > before")
+    ends = kept.select(*keys, F.col("end").alias("_t"), F.lit(1).alias("_kind"), F.struct("start", "seg_id").alias("_s"))
+    asked = points.where("t IS NOT NULL").select(*keys, F.col("t").alias("_t"), F.lit(0).alias("_kind"), "point_id")
+    rows = asked.unionByName(ends, allowMissingColumns=True).withColumn("chunk", -F.floor(F.col("_t") / width)).withColumn("_o", F.struct(-F.col("_t"), F.col("_kind")))
+    met = running_last(rows, keys, {"_hit": F.col("_s")}, idx="_o").where("_kind = 0 AND _hit.start <= _t").dropDuplicates([*keys, "point_id", "_t"])
+    return met.select(*keys, "point_id", F.col("_hit.seg_id").alias("seg_id"), (F.col("_t") - F.col("_hit.start")).alias("inside"))
 
 
 def in_range(segs: DataFrame, start: float, end: float) -> DataFrame:
