@@ -6,9 +6,11 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echolake.functions.levels import grey_level, wrap_phase
 from echolake.plans.chunking import div, running_last, with_chunk, with_halo
@@ -96,6 +98,10 @@ def phase_angle(columns: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return columns.select(*keys, "col", F.zip_with("re", "im", angle).alias("angle"))
 
 
+# Cells (rows times bins) of a block of `flow_shift`, which bounds a worker's memory whatever the batch size.
+FLOW_CELLS = 1 << 16
+
+
 def flow_shift(columns: DataFrame, method: str, keys: Sequence[str] = KEYS, radius: int = 3, reach: int = 2) -> DataFrame:
     """Vertical movement of energy since the previous column, per bin: centroid, gradient or correlation."""
     paired = with_previous(columns, ["mags"], keys).where("prev_mags IS NOT NULL")
@@ -134,12 +140,25 @@ def flow_shift(columns: DataFrame, method: str, keys: Sequence[str] = KEYS, radi
 
     measure = {"centroid": centroid, "gradient": gradient, "correlation": correlation}[method]
 
-    def run(previous: pd.Series, current: pd.Series) -> pd.Series:
-        if not len(current):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(measure(np.stack(previous), np.stack(current))), index=current.index)
-
-    return paired.select(*keys, "col", F.pandas_udf(run, "array<double>")("prev_mags", "mags").alias("shift"))
+    source = paired.select(*keys, "col", "prev_mags", "mags")
+    schema = T.StructType([*source.schema.fields[:-2], T.StructField("shift", T.ArrayType(T.DoubleType()))])
+
+    def numbers(lists, size):
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), size)
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.stack([pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("prev_mags", "mags")], axis=1)
+            for before, size in np.unique(sizes, axis=0).tolist() if len(sizes) else []:
+                rows = np.flatnonzero((sizes == (before, size)).all(axis=1))
+                step = max(FLOW_CELLS // max(size, 1), 1)
+                for at in range(0, len(rows), step):
+                    part = batch.take(pa.array(rows[at:at + step]))
+                    found = np.ascontiguousarray(measure(numbers(part.column("prev_mags"), before), numbers(part.column("mags"), size)))
+                    cuts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.ListArray.from_arrays(cuts, pa.array(found.ravel()))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 # First octave and octave count of the named chroma ranges.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tools.check import rows_of
 import __spark_entry__ as entry
-from echolake.operators import annotations, timeline
+from echolake.operators import annotations, columns, timeline
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +90,17 @@ def test_lookups_form_no_pairs(spark):
     points = spark.range(n).select(F.lit(0).alias("recording_id"), i.alias("point_id"), (4 + i / n).alias("t"), (5 - i / n).alias("freq_hz"))
     assert annotations.smallest_box(points, boxes, 640.0, ["recording_id"]).where("box_id = 0").count() == n
     assert time.time() - start < 60
+
+
+def test_flow_of_wide_columns_goes_in_blocks(spark):
+    """A batch of many wide columns, of recordings with different numbers of bins, is worked on in blocks of bounded size."""
+    rng = np.random.default_rng(8)
+    mags = {0: rng.random((40, 5000)), 1: rng.random((30, 64)), 2: rng.random((3, 1))}
+    rows = [(k, c, m.tolist()) for k, ms in mags.items() for c, m in enumerate(ms)]
+    df = spark.createDataFrame(rows, "recording_id int, col long, mags array<double>")
+    got = {(r.recording_id, r.col): r["shift"] for r in columns.flow_shift(df, "gradient").collect()}
+    assert len(got) == 70
+    for (k, c), shift in got.items():
+        p, m = mags[k][c - 1], mags[k][c]
+        d = np.pad(m - p, 1)
+        np.testing.assert_allclose(shift, (d[2:] - d[:-2]) / (2 * np.maximum(m, p)))
