@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, stored
+from .common import add_columns, begin_pass, give_back, stored
 from .components import components
 
 DISTANCE = 4
@@ -88,8 +88,10 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             keys.append(F.lit(head << 48).bitwiseOR(F.shiftleft(first, 24)).bitwiseOR(second.bitwiseAND(F.lit(~(1 << bit)))))
     dealt = prints.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
     chains = _chains(distance)
+    owner = __name__
 
     def meet(batches):
+        begin_pass(owner)
         held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             k = np.concatenate([held_k, batch.column("key").to_numpy(zero_copy_only=False)])
@@ -98,6 +100,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             held_k, held_f = k[cut:], f[cut:]
             yield from _forest(k[:cut], f[:cut], chains, distance)
         yield from _forest(held_k, held_f, chains, distance)
+        give_back()
 
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, schema).distinct()
