@@ -131,3 +131,12 @@ def test_digits_that_are_not_ascii_are_plain_characters(spark):
     assert [got[i].n_card for i in range(8)][-1] == 1 and got[0].n_card <= 1 and len(got) == 8
     kept = {r.doc_id: r for r in personal.mask(df, field).collect()}
     assert len(kept) == 8 and kept[3].masked_ == "m3" and "4111" not in kept[7].text
+
+
+def test_query_counts_base_spans_only(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = entry.queries()["op8_personal"](spark, FOLDER).collect()
+    assert any(r.spans != plain(docs[r.doc_id]) for r in got)  # spans are added to some
+    for r in got:
+        kinds = [x.split(":")[0] for x in plain(docs[r.doc_id]).split(",") if x]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in PATTERNS]
