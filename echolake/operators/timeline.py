@@ -86,10 +86,19 @@ def in_box(boxes: DataFrame, t0: float, t1: float, f0: float | None = None, f1:
     return boxes.where(cond)
 
 
-def overlaps_by_region(regions: DataFrame, segs: DataFrame, width: float = BUCKET, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Overlapping (region, segment) pairs with the shared duration."""
+def _mean_length(spans: DataFrame, start: str, end: str) -> float:
+    got = spans.agg(F.avg(F.when(F.col(end) > F.col(start), F.col(end) - F.col(start)))).first()[0]
+    return float(got) if got and got < float("inf") else 0.0
+
+
+def overlaps_by_region(regions: DataFrame, segs: DataFrame, width: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Overlapping (region, segment) pairs with the shared duration.
+
+    Buckets are as wide as regions and segments are long on average: wider ones form pairs that lie far apart, narrower ones copy rows.
+    """
     a = regions.select(*keys, "region_id", "r_start", "r_end")
     b = segs.select(*keys, "seg_id", F.col("start").alias("s_start"), (F.col("start") + F.col("dur")).alias("s_end"))
+    width = width or max(_mean_length(a, "r_start", "r_end"), _mean_length(b, "s_start", "s_end")) or BUCKET
     hits = interval_overlaps(a, b, keys, ("r_start", "r_end"), ("s_start", "s_end"), width)
     return hits.withColumn("shared", F.least("r_end", "s_end") - F.greatest("r_start", "s_start"))
 
