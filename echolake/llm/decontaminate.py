@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed into features, weighted by how few passages of the whole corpus hold them. A randomised singular value
-decomposition gives a latent space: rows are the passages of the benchmark (weighted to count as much as the rest together) and
-those of a bounded sample of documents (`Settings.fit_documents`, by hash of the id); products of the rows with a thin matrix are
-summed by feature in Spark, and only features x rank numbers reach the driver. Overlapping windows of every document are then
-compared with all benchmark passages by cosine, one block of items per pass: both the cosine in the latent space and that with
+decomposition gives the latent space of the benchmark, which is what is searched for: rows are all passages of all items, weighted by the counts
+of the whole corpus; products of the rows with a thin matrix are summed by feature in Spark, and only features x rank numbers reach the driver.
+Overlapping windows of every document are then compared with all benchmark passages by cosine, one block of items per pass: both the cosine in the latent space and that with
 the window's length before projection must reach a bound, so windows with little in that space are left early. The space has a fixed
 rank however many items there are, so what it leaves is looked up in the full space as well: stretches that hold enough of an item's
 rarest words (`Settings.rare` of its weight) for the check below to succeed, which no copy can lack. A candidate is checked in the words around it: the
@@ -40,7 +39,6 @@ class Settings:
     extra: int = 8
     window: int = 32
     step: int = 8
-    fit_documents: int = 500
     cosine: float = 0.6
     share: float = 0.25
     same: float = 0.8
@@ -158,12 +156,10 @@ def passages(ids: np.ndarray, window: int, step: int) -> list[np.ndarray]:
     return [ids[a : a + window] for a in range(0, max(len(ids) - window + step, 1), step)] if len(ids) else []
 
 
-def latent(docs: DataFrame, items: DataFrame, weights: np.ndarray, s: Settings, text: str, item_text: str, doc_id: str) -> np.ndarray:
-    """features x rank: the leading right singular vectors of the weighted passages."""
+def latent(items: DataFrame, weights: np.ndarray, s: Settings, item_text: str) -> np.ndarray:
+    """features x rank: the leading right singular vectors of the weighted passages of the whole benchmark."""
     features, window, k = s.features, s.window, s.rank + s.extra
-    some = docs.select(doc_id).distinct().orderBy(F.xxhash64(F.lit(s.seed), doc_id), doc_id).limit(s.fit_documents)
-    rows = docs.join(F.broadcast(some), doc_id).select(F.col(text).alias("t"), F.lit(0).alias("item"))
-    rows = rows.unionByName(items.select(F.col(item_text).alias("t"), F.lit(1).alias("item")))
+    rows = items.select(F.col(item_text).alias("t"))
 
     def cut(texts):
         lists, sizes = [], []
@@ -174,21 +170,19 @@ def latent(docs: DataFrame, items: DataFrame, weights: np.ndarray, s: Settings,
         return [lists_of(np.concatenate(lists), [len(x) for x in lists]), pa.array(sizes, pa.list_(pa.int32()))]
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))]
-    cut_rows = stored(add_columns(rows, "t", fields, cut).select("item", "ids", "sizes"), "passages")
-    found = {r.item: r.n for r in cut_rows.groupBy("item").agg(F.sum(F.size("sizes")).alias("n")).collect()}
-    lift = float(np.sqrt(max(found.get(0) or 0, 1) / max(found.get(1) or 0, 1)))
+    cut_rows = stored(add_columns(rows, "t", fields, cut).select("ids", "sizes"), "passages")
     idf = weights.astype(np.float32)
     rng = np.random.default_rng(s.seed)
     basis = rng.standard_normal((features, k), np.float32)
     schema = T.StructType([T.StructField("feature", T.IntegerType()), T.StructField("v", T.ArrayType(T.FloatType()))])
     for last in (False, True):
-        shared = docs.sparkSession.sparkContext.broadcast(basis)  # features x k, whatever the data
+        shared = items.sparkSession.sparkContext.broadcast(basis)  # features x k, whatever the data
 
         def product(batches, shared=shared):
             q = shared.value
             out = np.zeros_like(q)
             for batch in batches:
-                for item, ids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                for ids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
                     at = 0
                     for n in sizes:
                         own, times = np.unique(ids[at : at + n], return_counts=True)
@@ -196,7 +190,7 @@ def latent(docs: DataFrame, items: DataFrame, weights: np.ndarray, s: Settings,
                         w = idf[own] * times
                         norm = np.linalg.norm(w)
                         if norm:
-                            w = (w / norm * (lift if item else 1)).astype(np.float32)
+                            w = (w / norm).astype(np.float32)
                             out[own] += w[:, None] * (w @ q[own])
             held = np.flatnonzero(out.any(1)).astype(np.int32)
             for a in range(0, len(held), 4096):
@@ -425,11 +419,11 @@ FOUND = T.ArrayType(T.StructType([
 
 
 def prepare(docs: DataFrame, items: DataFrame, s: Settings = Settings(), text: str = "text", item_text: str = "text",
-            item_id: str = "item_id", doc_id: str = "doc_id") -> list[tuple]:
+            item_id: str = "item_id") -> list[tuple]:
     """Statistics, latent space and the blocks of items for `mark`."""
     counts, total = passage_counts(docs, s, text)
     weights = np.log((total + 1) / (counts + 1)).astype(np.float32)
-    space = latent(docs, items, weights, s, text, item_text, doc_id)
+    space = latent(items, weights, s, item_text)
     blocks = []
     n = items.count()
     parts = -(-n // s.items)
@@ -466,17 +460,17 @@ def leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings(), doc_id: s
     """One row per document row and item found in it: `doc_id`, `item_id`, `cosine`, `share`, `answer_found`, `verdict`."""
     docs = docs.select(doc_id, text)
     out = docs.sparkSession.createDataFrame([], f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, item_id long, cosine double, share double, answer_found boolean, verdict string")
-    for block in prepare(docs, items, s, text, doc_id=doc_id):
+    for block in prepare(docs, items, s, text):
         found = mark(docs, block, text).where(F.size("found") > 0).select(doc_id, F.explode("found").alias("f")).select(doc_id, "f.*")
         out = out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """The rows that hold no item."""
     columns, out = docs.columns, docs
     kept = free_name(docs, "found_") if "found" in columns else None
-    for block in prepare(docs, items, s, text, doc_id=doc_id):
+    for block in prepare(docs, items, s, text):
         out = out.withColumnRenamed("found", kept) if kept else out
         out = mark(out, block, text).where(F.size("found") == 0).drop("found")
         out = out.withColumnRenamed(kept, "found") if kept else out

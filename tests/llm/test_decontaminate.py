@@ -130,3 +130,18 @@ def test_broadcasts_name_no_class_of_the_library(spark, monkeypatch):
 
     language.scores(df, F.col("doc_id") % 2 == 0, piece_model()).collect()
     assert len(sent) >= 2 and not any(b"echolake" in s for s in sent)
+
+
+def test_space_does_not_depend_on_a_draw_of_documents(spark):
+    rng = random.Random(5)
+    vocabulary = ["u" + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    bench = spark.createDataFrame([(i, text(40)) for i in range(150)], "item_id long, text string")
+    items = {r.item_id: r.text for r in bench.collect()}
+    rows = [(i, f"{text(60)} {items[i]} {text(60)}" if i < 20 else text(120)) for i in range(900)]
+    found = []
+    for shift in (0, 10_000):
+        docs = spark.createDataFrame([(i + shift, t) for i, t in rows], "doc_id long, text string")
+        found.append({(r.doc_id - shift, r.item_id): r.cosine for r in d.leaks(docs, bench).collect()})
+    assert found[0].keys() == found[1].keys() == {(i, i) for i in range(20)}
+    assert all(abs(found[0][k] - found[1][k]) < 1e-3 for k in found[0])
