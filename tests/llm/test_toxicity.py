@@ -88,3 +88,19 @@ def test_long_labelled_rows_are_used(spark, monkeypatch):
     assert seen == [60, 60]
     got = {r.doc_id: r.predicted for r in tx.score(docs, net).collect()}
     assert got == {i: int(y) for i, _, y in rows}
+
+
+def test_all_labelled_rows_are_learnt_and_none_is_left_to_a_sample(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(4000):
+        words = [f"w{rng.integers(200)}" for _ in range(20)]
+        if i % 2:
+            words[rng.integers(20)] = f"nasty{i // 2 % 50}"
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    net = tx.train(docs, labels, tx.Settings(train_rows=60))
+    got = {r.doc_id: r.predicted for r in tx.score(docs, net).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows]) > 0.9
+    assert net.held.max() > 60  # counted over all rows that are learnt
