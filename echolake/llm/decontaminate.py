@@ -231,6 +231,27 @@ def common_subsequence(a: list, b: list, weight) -> tuple[float, int]:
     return float(row[-1]), int(count[-1])
 
 
+class Sequence:
+    """Words with their weights and places, for common subsequences with many others."""
+
+    def __init__(self, words_: list[bytes], weight):
+        self.weights = [weight(x) for x in words_]
+        self.whole = sum(self.weights)
+        self.places: dict[bytes, list[int]] = {}
+        for p in range(len(words_) - 1, -1, -1):
+            self.places.setdefault(words_[p], []).append(p)
+
+    def shared(self, b: list[bytes]) -> float:
+        """What `common_subsequence` gives as weight: its row never falls, so a match that is no gain changes nothing."""
+        row = np.zeros(len(self.weights) + 1)
+        for places in filter(None, map(self.places.get, b)):
+            for p in places:  # from the last place on, so that each still meets the row of the word before
+                total = row[p] + self.weights[p]
+                if total > row[p + 1]:
+                    np.maximum(row[p + 1 :], total, out=row[p + 1 :])
+        return float(row[-1])
+
+
 def answer(text: str) -> list[bytes]:
     """Words after the last question mark, else of the last sentence."""
     tail = text.rsplit("?", 1)[1] if "?" in text else ""
@@ -248,6 +269,7 @@ class Items:
         self.ids = [r[0] for r in rows]
         self.words = [words(r[1] or "") for r in rows]
         self.answers = [answer(r[1] or "") for r in rows]
+        self.sequences, self.answer_sequences = ([Sequence(x, self.weight) for x in y] for y in (self.words, self.answers))
         self.table = np.vstack([(space * weights[:, None]).astype(np.float32), np.zeros((1, space.shape[1]), np.float32)])
         self.squares = np.append(weights, 0).astype(np.float32) ** 2
         owner, vectors = [], []
@@ -318,11 +340,12 @@ class Items:
                     best = max(best, float(w[x] @ v[y]) / max(float(np.linalg.norm(w) * np.linalg.norm(v)), 1e-9))
         return best
 
-    def close_share(self, mine: list[bytes], region: list[bytes], whole: float) -> float:
+    def close_share(self, mine: Sequence, region: list[bytes]) -> float:
         """The largest share of an item in a stretch of half again its length: words strewn over more text are no copy."""
-        width = len(mine) + len(mine) // 2 + 2
-        starts = range(0, max(len(region) - width, 0) + len(mine) // 4, max(len(mine) // 4, 1))
-        return max(common_subsequence(mine, region[a : a + width], self.weight)[0] for a in starts) / whole
+        size = len(mine.weights)
+        width = size + size // 2 + 2
+        starts = range(0, max(len(region) - width, 0) + size // 4, max(size // 4, 1))
+        return max(mine.shared(region[a : a + width]) for a in starts) / mine.whole
 
     def weight(self, word: bytes) -> float:
         return float(self.weights[feature_of(word, self.s.features)]) + 1e-3
@@ -378,7 +401,8 @@ class Items:
         tokens, out, s_alike = words(text), [], self.s.alike
         for i, at in near.items():
             mine, wanted = self.words[i], self.answers[i]
-            whole, part = sum(map(self.weight, mine)), sum(map(self.weight, wanted))
+            sequence, wanted_sequence = self.sequences[i], self.answer_sequences[i]
+            whole, part = sequence.whole, wanted_sequence.whole
             best, reach, done = (0.0, False), len(mine) + self.s.step, -1
             for start in sorted(at):
                 a, b = max(0, start - reach), start + self.s.window + reach
@@ -387,18 +411,18 @@ class Items:
                 done = b + len(mine) // 2
                 region = tokens[a : done]
                 present = set(region)
-                if sum(self.weight(x) for x in mine if x in present) < s_alike * whole:  # no subsequence can weigh more
+                if sum(w for x, w in zip(mine, sequence.weights) if x in present) < s_alike * whole:  # no subsequence can weigh more
                     continue
                 if len(mine) < SHORT:
                     share = float(_verbatim(mine, tokens if len(mine) < LEAST else region, len(mine) < LEAST))
                 else:
-                    share = common_subsequence(mine, region, self.weight)[0] / whole
+                    share = sequence.shared(region) / whole
                     if share >= self.s.same:
-                        near_share = self.close_share(mine, region, whole)
+                        near_share = self.close_share(sequence, region)
                         share = near_share if near_share >= self.s.same else min(share, np.nextafter(self.s.same, 0))
                 if share < s_alike:
                     continue
-                found = bool(wanted) and common_subsequence(wanted, region, self.weight)[0] >= self.s.same * part
+                found = bool(wanted) and wanted_sequence.shared(region) >= self.s.same * part
                 best = max(best, (share, found))
             share, found = best
             if share >= self.s.same or share >= self.s.alike and found and len(mine) >= 8:

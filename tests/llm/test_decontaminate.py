@@ -51,6 +51,15 @@ def test_common_subsequence():
         assert d.common_subsequence(a, b, w.get)[0] == table[-1, -1]
 
 
+def test_sequences_share_what_the_table_gives():
+    rng = random.Random(5)
+    w = {c: rng.random() for c in "abcdefgh"}
+    for _ in range(300):
+        x, y = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        own = d.Sequence(x, w.get)
+        assert own.shared(y) == d.common_subsequence(x, y, w.get)[0] and own.whole == sum(map(w.get, x))
+
+
 def test_features_of_words():
     rng = random.Random(2)
     texts = ["", "  ", "***", "a", "A-b, (c) ''d''", "é" * 10, "x" * 50 + " " + "y." * 40]
