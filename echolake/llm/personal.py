@@ -3,10 +3,11 @@
 The patterns give the base spans. Around digits, at signs and spelt-out at signs a text is cut into windows of tokens. In a
 window every run of a few tokens that holds such a mark is a candidate segment; features of the whole span and its neighbours
 score it for each kind, weights between kinds score what follows what, and dynamic programming over segments of at most
-`Settings.longest` tokens chooses boundaries and kinds together. The weights maximise the likelihood of labelled windows: a
-bounded sample (`Settings.windows`, by hash of their text) of windows of the corpus, where base spans are the labels and a share
-of them is rewritten into other spellings (at and dot in words, other separators) or into numbers that fail the checks. Decoded spans that overlap
-no base span are added.
+`Settings.longest` tokens chooses boundaries and kinds together. The weights maximise the likelihood of labelled windows: all distinct
+windows of the corpus of at most eight times the reach and 200 tokens, where base spans are the labels and a share
+of them is rewritten into other spellings (at and dot in words, other separators) or into numbers that fail the checks. They start from `Settings.windows`
+windows, learnt several times in the driver; then every window is learnt from once, in parts of about `PART` windows dealt by hash, whose weights are
+averaged by their number of windows. Decoded spans that overlap no base span are added.
 
 Offsets count code points. Null is read as empty. Without any window in the corpus nothing is added to the base spans.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, free_name
+from .common import add_columns, begin_pass, free_name, give_back, lists_of, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -35,6 +36,7 @@ _MARK = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]| at [\w.-]+ dot ", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 _AT = re.compile(r"@|[\[({] ?at ?[\])}]| at ", re.I)
 FEATURES = 1 << 13
+PART = 2000
 
 
 @dataclass(frozen=True)
@@ -262,9 +264,8 @@ def _respell(kind: int, span: str, rng) -> tuple[str, int]:
     return [(f"({local[:3]}) {local[3:6]}-{local[6:]}", 3), (f"{local[:3]}-{local[3:6]}-{local[6:]}", 3), (f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}", -1)][rng.integers(3)]
 
 
-def fit(samples: list[str], s: Settings) -> Field | None:
-    """A field from windows of text."""
-    rng, cases = np.random.default_rng(s.seed), []
+def cases(samples, s: Settings, rng):
+    """(tokens, segments, kind by segment) of windows as they are and respelt."""
     for text in samples:
         spans = base_spans(text)
         spans = [x for x in spans if not any(y[1] < x[2] and x[1] < y[2] for y in spans if y is not x)]
@@ -286,37 +287,95 @@ def fit(samples: list[str], s: Settings) -> Field | None:
             known = {(i, j) for i, j, _ in segments}
             truth = {(where[a], where[b]): k for a, b, k in gold if a in where and b in where and (where[a], where[b]) in known}
             if tokens and segments and len(tokens) <= 200:
-                cases.append((len(tokens), segments, truth))
-    if not cases:
-        return None
-    field = Field()
-    past, past_moves = np.full(field.weights.shape, 1.0), np.full(field.moves.shape, 1.0)
+                yield len(tokens), segments, truth
+
 
-    def step(features, g):
+class Learner:
+    """A field and how far it has moved."""
+
+    def __init__(self, s: Settings, state: tuple | None = None):
+        self.s, self.field = s, Field()
+        self.past, self.past_moves = np.full(self.field.weights.shape, 1.0), np.full(self.field.moves.shape, 1.0)
+        if state is not None:
+            self.field.weights[:], self.field.moves[:], self.past[:], self.past_moves[:] = state
+
+    def state(self) -> tuple:
+        return self.field.weights, self.field.moves, self.past, self.past_moves
+
+    def _step(self, features, g) -> None:
         if features is None:
-            past_moves[:] += g * g
-            field.moves[:] += s.rate * g / np.sqrt(past_moves)
+            self.past_moves += g * g
+            self.field.moves += self.s.rate * g / np.sqrt(self.past_moves)
         elif np.abs(g).max() > 1e-4:
-            past[:, features] += (g * g)[:, None]
-            field.weights[:, features] += s.rate * g[:, None] / np.sqrt(past[:, features])
+            self.past[:, features] += (g * g)[:, None]
+            self.field.weights[:, features] += self.s.rate * g[:, None] / np.sqrt(self.past[:, features])
+
+    def learn(self, made: list, rng) -> None:
+        for c in rng.permutation(len(made)):
+            self.field.gradient(*made[c], self._step)
 
+
+def start(samples: list[str], s: Settings) -> Learner | None:
+    """What some windows teach, `Settings.epochs` times."""
+    rng = np.random.default_rng(s.seed)
+    made = list(cases(samples, s, rng))
+    if not made:
+        return None
+    learner = Learner(s)
     for _ in range(s.epochs):
-        for c in rng.permutation(len(cases)):
-            field.gradient(*cases[c], step)
-    return field
+        learner.learn(made, rng)
+    return learner
+
+
+def fit(samples: list[str], s: Settings) -> Field | None:
+    """A field from windows of text."""
+    learner = start(samples, s)
+    return learner and learner.field
+
+
+def averaged(found: DataFrame, state: tuple, s: Settings) -> Field:
+    """The field after every window `w` of a table has been learnt from once, from a state on: the mean over parts by their windows."""
+    parts, step = -(-found.count() // PART), 64
+    size = state[0].size
+
+    def learn(batches):
+        begin_pass(__name__)
+        learner, rng, total = Learner(s, state), None, 0
+        for batch in batches:
+            texts = batch.column("w").to_pylist()
+            for a in range(0, len(texts), 100):
+                rng = rng or np.random.default_rng([s.seed, zlib.crc32(texts[0].encode())])
+                learner.learn(list(cases(texts[a : a + 100], s, rng)), rng)
+                total += len(texts[a : a + 100])
+        if total:
+            flat = np.concatenate([learner.field.weights.ravel(), learner.field.moves.ravel()])
+            flat = np.pad(flat, (0, -len(flat) % step)).reshape(-1, step)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.full(len(flat), total, np.int64)),
+                                              lists_of(flat.ravel(), [step] * len(flat))], names=["part", "n", "v"])
+        give_back()
+
+    dealt = found.repartition(max(parts, 1), "w").sortWithinPartitions("w")
+    rows = dealt.mapInArrow(learn, "part int, n long, v array<double>").groupBy("part").agg(
+        F.array(*[F.sum(F.col("n") * F.col("v")[i]) / F.sum("n") for i in range(step)]).alias("v")).toArrow()  # the weights, whatever the data
+    flat = rows.sort_by("part").column("v").combine_chunks().flatten().to_numpy()
+    moves = state[1]
+    return Field(flat[:size].reshape(state[0].shape).copy(), flat[size : size + moves.size].reshape(moves.shape).copy())
 
 
 def train(df: DataFrame, s: Settings = Settings(), text: str = "text") -> Field | None:
-    """A field from at most `s.windows` windows of the whole table, each of at most eight times the reach."""
+    """A field from all distinct windows of the table of at most eight times the reach."""
     reach = s.reach
 
     def cut(texts):
         return [pa.array([[t[a:b] for a, b in windows(t, reach) if b - a <= 8 * reach] for t in texts], pa.list_(pa.string()))]
 
     found = add_columns(df.select(text), text, [T.StructField("found", T.ArrayType(T.StringType()))], cut)
-    rows = (found.where(F.size("found") > 0).select(F.explode("found").alias("w")).distinct()
-            .orderBy(F.xxhash64(F.lit(s.seed), "w"), "w").limit(s.windows).collect())
-    return fit(sorted(r.w for r in rows), s)
+    found = stored(found.where(F.size("found") > 0).select(F.explode("found").alias("w")).distinct(), "personal-windows")
+    rows = found.orderBy(F.xxhash64(F.lit(s.seed), "w"), "w").limit(s.windows).collect()
+    if not rows:
+        return None
+    learner = start(sorted(r.w for r in rows), s) or Learner(s)
+    return averaged(found, learner.state(), s)
 
 
 def spans(text: str, field: Field | None, s: Settings) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -140,3 +140,17 @@ def test_query_counts_base_spans_only(spark):
     for r in got:
         kinds = [x.split(":")[0] for x in plain(docs[r.doc_id]).split(",") if x]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in PATTERNS]
+
+
+def test_learns_from_windows_beyond_the_start(spark, monkeypatch):
+    """A form that no window of the start holds is learnt all the same."""
+    rows = [(i, f"call (555) 010-{i:04d} now") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(personal, "PART", 15)
+    s = personal.Settings(windows=2)
+    first = personal.train(df, s)
+    again = personal.train(df.repartition(3), s)
+    assert np.allclose(first.weights, again.weights) and np.allclose(first.moves, again.moves)
+    found = df.select("text").collect()
+    few = personal.fit(sorted(r.text for r in found)[:2], s)
+    assert np.count_nonzero(first.weights) > 0 and not np.allclose(first.weights, few.weights, atol=1e-3)
