@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from echolake.functions.levels import amplitude_db
 from echolake.operators import bits, fingerprint, profile, provenance, spectral
 from echolake.operators.stats import GAP_RMS
-from echolake.session import materialize
+from echolake.session import stored
 
 KEYS = ("recording_id",)
 
@@ -129,7 +129,7 @@ def windows_of(chunks: DataFrame, chunk_size: int, spans: DataFrame, keys: Seque
 
 def device_report(chunks: DataFrame, recordings: DataFrame, chunk_size: int, sizes: Sizes = Sizes(), keys: Sequence[str] = KEYS) -> DataFrame:
     """The report from chunks(keys, chunk, start_sample, samples in [-1, 1]) and recordings(keys, name, dvc, mic, smp_meta, channels, bits_per_sample,
-    is_float, sample_rate, n).
+    is_float, sample_rate, n). Both are read several times: store what takes long to make.
 
     A test that cannot mean anything for a recording (float samples, another depth, a rate outside its range, too few or too quiet samples, and for the
     integer-multiple test low bits that are all zero) says `not_applicable`.
@@ -138,7 +138,7 @@ def device_report(chunks: DataFrame, recordings: DataFrame, chunk_size: int, siz
     facts = recordings.select(*keys, F.col("bits_per_sample").cast("long").alias("bits"), F.col("n").cast("long").alias("n"), "is_float",
                               F.col("sample_rate").cast("double").alias("rate"))
     known = chunks.join(facts, keys)
-    sums = materialize(chunk_sums(known, chunk_size, sizes, keys))  # a row per chunk, read by four aggregations
+    sums = stored(chunk_sums(known, chunk_size, sizes, keys), "report-sums")  # a row per chunk, read by four aggregations
     total = sums.groupBy(*keys).agg(
         F.bit_or("any").alias("any"), F.bit_or("any_positive").alias("any_positive"), F.bit_and("all_negative").alias("all_negative"), F.sum("positives").alias("positives"),
         F.sum("negatives").alias("negatives"), F.collect_set(F.when(F.col("gcd") > 0, F.col("gcd"))).alias("gcds"), F.min("active_ms").alias("active_ms"), F.min("least_ms").alias("least_ms"),
@@ -157,7 +157,7 @@ def device_report(chunks: DataFrame, recordings: DataFrame, chunk_size: int, siz
     spans = quiet.unionByName(tests.select(*keys, F.col("win").cast("int").alias("win"), F.col("start").cast("long").alias("start"), F.lit(sizes.test).cast("long").alias("length")))
     scale = F.pow(F.lit(2.0), F.col("bits") - 1)
     taken = windows_of(chunks, chunk_size, spans, keys).join(facts, keys)
-    taken = materialize(taken.select(*keys, "win", "rate", F.transform("w", lambda y: F.round(y * scale).cast("long")).alias("w")))  # seven windows at most each
+    taken = stored(taken.select(*keys, "win", "rate", F.transform("w", lambda y: F.round(y * scale).cast("long")).alias("w")), "report-windows")  # seven windows at most each
     low = bits.low_bits_of(taken.where("win < 0").select(*keys, "w"), keys=keys)
     loud = taken.where("win >= 0").withColumn("sd", _spread(F.col("w")))
     used = loud.groupBy(*keys).agg(F.count_if(F.col("sd") >= INVERSE_QUIET).alias("windows_used"), F.count_if(F.col("sd") < INVERSE_QUIET).alias("windows_skipped"))

@@ -85,3 +85,12 @@ def test_report(spark, size):
     assert rows["high_pass"].inverse_verdict == "not_applicable"  # its rate is not the firmware's
     assert rows["white"].nyquist_khz == pytest.approx(192, rel=0.04) and rows["deep"].nyquist_khz == pytest.approx(96, rel=0.04)
     assert rows["white"].metadata_match in ("no_analysis", "mismatch") and rows["deep"].metadata_match == "no_claim"
+
+
+def test_samples_are_placed_once(spark):
+    """Order lines become chunks once, however often the report reads these."""
+    import __spark_entry__ as entry
+
+    read = entry.queries()["corpus_report"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not any("lineitem" in f or "/rdd-" in f for f in read)
+    assert sum("report-recordings" in f for f in read) >= 1
