@@ -1,10 +1,10 @@
-"""Sample statistics: one or two hash aggregations, combined map-side."""
+"""Sample statistics: one or two hash aggregations, combined map-side, but for sums that are taken in order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolake.functions.levels import amplitude_db
@@ -49,11 +49,18 @@ def _finite_db(value: Column) -> Column:
 
 
 def signal_stats(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    base = samples.groupBy(*keys).agg(
+    """Extremes, RMS and mean of each recording, and these in dB.
+
+    Sums of doubles depend on their order, so a mean at a tie of the rounding, or of zero, would change with the tasks that rows lie in. Both sums run
+    through the samples by idx, one recording in one task, which holds a running sum and spills its sort.
+    """
+    order = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = samples.select(*keys, "idx", "y", F.sum("y").over(order).alias("_sum"), F.sum(F.col("y") * F.col("y")).over(order).alias("_squares"))
+    base = summed.groupBy(*keys).agg(
         F.min("y").alias("min_y"),
         F.max("y").alias("max_y"),
-        F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("rms"),
-        F.avg("y").alias("dc_bias"),
+        F.sqrt(F.max_by("_squares", "idx") / F.count("y")).alias("rms"),
+        (F.max_by("_sum", "idx") / F.count("y")).alias("dc_bias"),
         F.count(F.lit(1)).alias("n"),
     )
     return base.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tools.check import rows_of
 import __spark_entry__ as entry
-from echolake.operators import annotations, columns, timeline
+from echolake.operators import annotations, columns, stats, timeline
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,16 @@ def test_flow_of_wide_columns_goes_in_blocks(spark):
         p, m = mags[k][c - 1], mags[k][c]
         d = np.pad(m - p, 1)
         np.testing.assert_allclose(shift, (d[2:] - d[:-2]) / (2 * np.maximum(m, p)))
+
+
+def test_signal_stats_sums_in_order(spark):
+    values = [1e16, 1.0, -1e16, 3.0]  # in order the 1 is lost; by even and odd indices it stays
+    rows = spark.createDataFrame([(r, i, y * (r + 1)) for i, y in enumerate(values) for r in range(2)], "recording_id long, idx long, y double").coalesce(1)
+    got = stats.signal_stats(rows.where("idx % 2 = 0").union(rows.where("idx % 2 = 1"))).orderBy("recording_id").collect()
+    assert [(r.n, r.min_y, r.max_y, r.dc_bias) for r in got] == [(4, -1e16, 1e16, 0.75), (4, -2e16, 2e16, 1.5)]
+
+
+def test_signal_stats_without_values(spark):
+    rows = spark.createDataFrame([(0, 0, None), (0, 1, None), (1, 0, None), (1, 1, 0.5)], "recording_id long, idx long, y double")
+    got = stats.signal_stats(rows).orderBy("recording_id").collect()
+    assert [(r.n, r.rms, r.dc_bias) for r in got] == [(2, None, None), (2, 0.5, 0.5)]
