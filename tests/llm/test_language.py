@@ -200,3 +200,27 @@ def test_top_words_are_whole_counts(spark):
     take = lambda most: lm.top_words(counts, most)
     assert take(6) == {b"a": 9, b"b": 5, b"c": 5, b"d": 2, "é".encode(): 2, b"f": 1}
     assert take(4) == {b"a": 9, b"b": 5, b"c": 5} and take(2) == {b"a": 9} and take(0) == {} == lm.top_words(counts.limit(0))
+
+
+def test_every_piece_has_its_own_input(spark):
+    """What follows each of many rare pieces is learnt, whichever part of the data they lie in."""
+    size = 32_000
+    inputs = lm.Classes(np.arange(size)[::-1], np.ones(size, bool), lm.Settings()).input
+    assert len(set(inputs.tolist())) == size and inputs.min() == 1
+
+    def part(ids):
+        ids = np.asarray(ids, np.int32)
+        return spark.createDataFrame([(lm.packed(ids, np.asarray([len(ids)]), size)[0].as_py(),)], "ids binary").coalesce(1)
+
+    rows = part([20_000, 5] * 400 + [30_000, 6] * 400)
+    for _ in range(3):
+        rows = rows.union(part([7, 8] * 4_000))
+    counts = [(5, 9_000), (6, 8_000), (7, 12_000), (8, 12_000), *[(i, 2) for i in range(9, 5_000)], (20_000, 1), (30_000, 1)]
+    model = lm.learnt(rows, spark.createDataFrame(counts, "id int, n long"), piece_model())
+    net = lm.Attention(model.settings, model.classes.base)
+    net.load(model.weights)
+    first, second = model.classes.of[[5, 6]]
+    for rare, more, less in ((20_000, first, second), (30_000, second, first)):
+        x, ok, _, _ = lm.windows(np.asarray([rare, 5], np.int32), model.settings, model.classes)
+        z = net.forward(x, ok)[0][0, 1]
+        assert z[more] - z[less] > 1
