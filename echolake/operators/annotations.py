@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echolake.operators.columns import total
 from echolake.operators.intervals import points_in_intervals
 from echolake.plans.chunking import ranked
-from echolake.session import materialize
+from echolake.session import materialize, stored
 
 
 def merge_sets(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
@@ -133,46 +136,98 @@ def box_energy(boxes: DataFrame, columns: DataFrame, hz_per_bin: float, keys: Se
     )
 
 
-# Smallest extent and largest coordinate that cells of boxes tell apart.
-LEAST_EXTENT, FARTHEST = 2.0**-20, 2.0**50
+TILE = 2048  # points that a tile is laid out for
+PAIRS = 50_000  # of points and boxes that are compared at once
+MOST_CUTS = 6  # a key's points are cut into at most 2 ** MOST_CUTS strips of time and as many bands of frequency
 
 
-def smallest_box(points: DataFrame, boxes: DataFrame, max_hz: float, keys: Sequence[str]) -> DataFrame:
+def smallest_box(points: DataFrame, boxes: DataFrame, max_hz: float, keys: Sequence[str], tile: int = TILE) -> DataFrame:
     """The box of least area around each point(keys, point_id, t, freq_hz).
 
-    Each box is laid on a grid whose cells are a quarter to half its size, by powers of two. Of the boxes that cover a cell only the first by
-    area and id can be an answer there, and of those that cross its border only the ones before that; points meet what is left in their
-    cell of every grid.
+    The points of a key are cut at quantiles of time and of frequency into tiles of about ``tile`` points. Of the boxes around all points of a tile only the
+    first by area and id can be an answer there, and of those around some of them only the ones before that; what is left meets the tile's points in one
+    task, which halves them and drops boxes likewise (``first_boxes``). A tile of many points, as where these coincide, is dealt to several tasks.
+    Where quantiles lie changes the work and not the result. Tables by tile are stored first, so that small ones are broadcast and boxes need not be shuffled for them.
     """
-    keys = list(keys)
-    cell = [*keys, "_lt", "_lf", "_ct", "_cf"]
-
-    def near(c: Column) -> Column:
-        return F.least(F.greatest(c, F.lit(-FARTHEST)), F.lit(FARTHEST))
-
-    def level(a: str, b: str) -> Column:
-        return F.floor(F.log2(F.greatest(near(F.col(b)) - near(F.col(a)), F.lit(LEAST_EXTENT)) / 2)).cast("int")
-
-    def place(c: str, grid: str) -> Column:
-        return F.floor(near(F.col(c)) / F.pow(F.lit(2.0), grid)).cast("long")
-
-    def covers(a: str, b: str, grid: str, at: str) -> Column:
-        size = F.pow(F.lit(2.0), grid)
-        return (F.col(at) * size >= F.col(a)) & ((F.col(at) + 1) * size <= F.col(b))
-
-    spans = boxes.select(*keys, "box_id", F.col("time_start").alias("_a"), F.col("time_end").alias("_b"),
-                         F.coalesce("freq_low", F.lit(0.0)).alias("_lo"), F.coalesce("freq_high", F.lit(max_hz)).alias("_hi"))
-    single = spans.where("_a <= _b AND _lo <= _hi").groupBy(*keys, "_a", "_b", "_lo", "_hi").agg(F.min("box_id").alias("box_id"))
+    keys, steps = list(keys), 1 << MOST_CUTS
+    cell = [*keys, "_strip", "_band"]
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    asked = points.where("t IS NOT NULL AND freq_hz IS NOT NULL").where(known).select(*keys, "point_id", "t", "freq_hz")
+
+    def every(quantiles: str, level: Column) -> Column:
+        """The 2 ** level - 1 different cuts among the quantiles, fewer where these are equal."""
+        return F.array_distinct(F.filter(quantiles, lambda _, i: (i + 1) % F.pow(F.lit(2.0), MOST_CUTS - level).cast("int") == 0))
+
+    quantiles = [F.percentile_approx(c, [i / steps for i in range(1, steps)], 1000).alias(n) for c, n in (("t", "_qt"), ("freq_hz", "_qf"))]
+    many = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *quantiles).where(F.col("_n") > tile)
+    levels = F.ceil(F.log2(F.col("_n") / tile)).cast("int")
+    many = many.withColumn("_lt", F.least(F.ceil(levels / 2).cast("int"), F.lit(MOST_CUTS))).withColumn("_lf", F.least(F.floor(levels / 2).cast("int"), F.lit(MOST_CUTS)))
+    cuts = stored(many.select(*keys, every("_qt", F.col("_lt")).alias("_qt"), every("_qf", F.col("_lf")).alias("_qf")), "box-cuts")
+
+    def place(value: str, quantiles: str) -> Column:
+        return F.coalesce(F.size(F.filter(F.coalesce(quantiles, F.array().cast("array<double>")), lambda q: q <= F.col(value))), F.lit(0))
+
+    placed = asked.join(cuts, keys, "left").select(*asked.columns, place("t", "_qt").alias("_strip"), place("freq_hz", "_qf").alias("_band"))
+    tiles = stored(placed.groupBy(*cell).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.min("freq_hz").alias("_f0"), F.max("freq_hz").alias("_f1"),
+                                               F.ceil(F.count(F.lit(1)) / (4 * tile)).cast("int").alias("_deals")), "box-tiles")
+    spans = boxes.where(known).select(*keys, "box_id", F.col("time_start").alias("_a"), F.col("time_end").alias("_b"),
+                                      F.coalesce("freq_low", F.lit(0.0)).alias("_lo"), F.coalesce("freq_high", F.lit(max_hz)).alias("_hi")).where("_a <= _b AND _lo <= _hi")
     area = (F.col("_b") - F.col("_a")) * (F.col("_hi") - F.col("_lo"))
-    sized = single.withColumn("_first", F.struct(area.alias("area"), F.col("box_id"))).withColumn("_lt", level("_a", "_b")).withColumn("_lf", level("_lo", "_hi"))
-    laid = sized.withColumn("_ct", F.explode(F.sequence(place("_a", "_lt"), place("_b", "_lt")))).withColumn(
-        "_cf", F.explode(F.sequence(place("_lo", "_lf"), place("_hi", "_lf"))))
-    laid = laid.withColumn("_whole", covers("_a", "_b", "_lt", "_ct") & covers("_lo", "_hi", "_lf", "_cf"))
-    best = laid.where("_whole").groupBy(*cell).agg(F.min("_first").alias("_best"))
-    crossing = laid.where("NOT _whole").join(best, cell, "left").where("_best IS NULL OR _first < _best")
-    offers = crossing.select(*cell, "_a", "_b", "_lo", "_hi", "_first").unionByName(best.withColumnRenamed("_best", "_first"), allowMissingColumns=True)
-    grids = sized.select(*keys, "_lt", "_lf").distinct()
-    asked = points.where("t IS NOT NULL AND freq_hz IS NOT NULL").select(*keys, "point_id", "t", "freq_hz").join(grids, keys)
-    asked = asked.withColumn("_ct", place("t", "_lt")).withColumn("_cf", place("freq_hz", "_lf"))
-    hits = asked.join(offers, cell).where("_a IS NULL OR (t >= _a AND t <= _b AND freq_hz >= _lo AND freq_hz <= _hi)")
-    return hits.groupBy(*keys, "point_id").agg(F.min("_first").alias("_f")).select(*keys, "point_id", F.col("_f.box_id").alias("box_id"))
+    box = ["_a", "_b", "_lo", "_hi", "_first"]
+    sized = spans.withColumn("_first", F.struct(area.alias("area"), F.col("box_id"))).join(cuts, keys, "left").select(
+        *keys, *box, F.sequence(place("_a", "_qt"), place("_b", "_qt")).alias("_strips"), F.sequence(place("_lo", "_qf"), place("_hi", "_qf")).alias("_bands"))
+    laid = sized.select(*keys, *box, "_bands", F.explode("_strips").alias("_strip")).select(*keys, *box, "_strip", F.explode("_bands").alias("_band"))
+    met = laid.join(tiles, cell).where("_a <= _t1 AND _b >= _t0 AND _lo <= _f1 AND _hi >= _f0")
+    whole = F.expr("_a <= _t0 AND _b >= _t1 AND _lo <= _f0 AND _hi >= _f1")
+    best = stored(met.where(whole).groupBy(*cell).agg(F.min("_first").alias("_best")), "box-best")
+    part = met.where(~whole).join(best, cell, "left").where("_best IS NULL OR _first < _best").groupBy(*cell, "_a", "_b", "_lo", "_hi").agg(F.min("_first").alias("_first"))
+    group = [*cell, "_deal"]
+    offers = part.unionByName(best.withColumnRenamed("_best", "_first"), allowMissingColumns=True).join(tiles.select(*cell, "_deals"), cell)
+    offers = offers.select(*cell, F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)).alias("_deal"), "_a", "_b", "_lo", "_hi", F.col("_first.area").alias("area"), F.col("_first.box_id").alias("box_id"))
+    dealt = placed.join(tiles.select(*cell, "_deals"), cell).select(*cell, F.pmod(F.xxhash64("point_id"), "_deals").cast("int").alias("_deal"), "point_id", "t", "freq_hz")
+
+    def meet(own: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by([("area", "ascending"), ("box_id", "ascending")])
+        values = [own.column(c).to_numpy().astype(float) for c in ("t", "freq_hz")]
+        spans = [found.column(c).to_numpy().astype(float) for c in ("_a", "_b", "_lo", "_hi")]
+        spans = [np.where(np.isnan(c), end, c) for c, end in zip(spans, (-np.inf, np.inf, -np.inf, np.inf))]  # the one around all points comes without bounds
+        at = first_boxes(*values, *spans)
+        hit = pa.array(np.flatnonzero(at < found.num_rows))
+        box = found.select(["area", "box_id"]).take(pa.array(at[at < found.num_rows]))
+        return pa.table([*own.select([*keys, "point_id"]).take(hit).columns, *box.columns], names=[*keys, "point_id", "area", "box_id"])
+
+    fields = [*[placed.schema[c] for c in (*keys, "point_id")], T.StructField("area", T.DoubleType()), offers.schema["box_id"]]
+    hits = dealt.groupBy(*group).cogroup(offers.groupBy(*group)).applyInArrow(meet, T.StructType(fields))
+    return hits.groupBy(*keys, "point_id").agg(F.min(F.struct("area", "box_id")).alias("_f")).select(*keys, "point_id", F.col("_f.box_id").alias("box_id"))
+
+
+def first_boxes(t: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The number of the first box [a, b] x [lo, hi] around each point, or the count of boxes.
+
+    Points are halved at medians; a half keeps the boxes that touch it, up to the first one around all of it, until few pairs are left.
+    """
+    out = np.full(len(t), len(a))
+    todo = [(np.arange(len(t)), np.arange(len(a)), len(a), True)]
+    while todo:
+        own, boxes, last, by_time = todo.pop()
+        if not len(own):
+            continue
+        x, y = t[own], f[own]
+        x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
+        boxes = boxes[(a[boxes] <= x1) & (b[boxes] >= x0) & (lo[boxes] <= y1) & (hi[boxes] >= y0)]
+        whole = np.flatnonzero((a[boxes] <= x0) & (b[boxes] >= x1) & (lo[boxes] <= y0) & (hi[boxes] >= y1))
+        if len(whole):
+            last, boxes = boxes[whole[0]], boxes[: whole[0]]
+        if not len(boxes):
+            out[own] = last
+        elif len(own) * len(boxes) <= PAIRS:
+            met = (a[boxes, None] <= x) & (b[boxes, None] >= x) & (lo[boxes, None] <= y) & (hi[boxes, None] >= y)
+            first = met.argmax(0)
+            out[own] = np.where(met[first, np.arange(len(own))], boxes[first], last)
+        else:  # points that coincide have boxes around all of them only, so some differ here
+            by_time = x0 < x1 and (by_time or y0 == y1)
+            v = x if by_time else y
+            middle = np.partition(v, len(v) // 2)[len(v) // 2]
+            left = v < middle if middle > v.min() else v <= middle
+            todo += [(own[left], boxes, last, not by_time), (own[~left], boxes, last, not by_time)]
+    return out

@@ -117,3 +117,36 @@ def test_signal_stats_without_values(spark):
     rows = spark.createDataFrame([(0, 0, None), (0, 1, None), (1, 0, None), (1, 1, 0.5)], "recording_id long, idx long, y double")
     got = stats.signal_stats(rows).orderBy("recording_id").collect()
     assert [(r.n, r.rms, r.dc_bias) for r in got] == [(2, None, None), (2, 0.5, 0.5)]
+
+
+BOXES, POINTS = ("recording_id string, box_id long, time_start double, time_end double, freq_low double, freq_high double",
+                 "recording_id string, point_id long, t double, freq_hz double")
+
+
+@pytest.mark.parametrize("tile", [2, 16, 100])
+def test_smallest_boxes_in_tiles(spark, tile):
+    """Points in many tiles, some far out and many that coincide, which are dealt to several tasks; ties by area; keys that are null or lack boxes."""
+    rng = np.random.default_rng(11)
+    boxes = [(str(rng.integers(0, 2)), i, a, a + float(rng.integers(0, 6)) / 8, lo, None if i % 9 == 0 else lo + float(rng.integers(0, 4)) * 40)
+             for i, (a, lo) in enumerate(zip((rng.integers(0, 60, 500) / 8).tolist(), (rng.integers(0, 14, 500) * 40.0).tolist()))]
+    points = [(str(rng.integers(0, 3)), i, float(rng.integers(0, 64)) / 8, float(rng.integers(0, 16)) * 40) for i in range(600)]
+    points += [("0", 600 + i, 3.5, 120.0) for i in range(300)] + [("1", 900, 1e17, -1e17), ("1", 901, -1e17, 1e17), (None, 902, 3.5, 120.0)]
+    got = annotations.smallest_box(spark.createDataFrame(points, POINTS), spark.createDataFrame([*boxes, (None, 999, 0.0, 9.0, None, None)], BOXES), 640.0, ["recording_id"], tile)
+    want = {}
+    for r, p, t, f in points:
+        found = [((b - a) * ((640.0 if hi is None else hi) - lo), i) for q, i, a, b, lo, hi in boxes if q == r and a <= t <= b and lo <= f <= (640.0 if hi is None else hi)]
+        if found:
+            want[p] = (r, min(found)[1])
+    rows = got.collect()
+    assert len(rows) == len(want) > 500 and {r.point_id: (r.recording_id, r.box_id) for r in rows} == want
+
+
+def test_boxes_that_end_with_the_points_form_no_pairs(spark):
+    """Boxes of the whole range of frequency, around points near its end: all pairs would be 3.6 billion rows."""
+    n = 60_000
+    i, start = F.col("id"), time.time()
+    boxes = spark.range(n).select(F.lit("a").alias("recording_id"), i.alias("box_id"), (i / n / 1000).alias("time_start"), F.lit(0.05).alias("time_end"),
+                                  F.lit(None).cast("double").alias("freq_low"), F.lit(None).cast("double").alias("freq_high"))
+    points = spark.range(n).select(F.lit("a").alias("recording_id"), i.alias("point_id"), (0.02 + i / n / 100).alias("t"), (520 + i / n * 100).alias("freq_hz"))
+    assert annotations.smallest_box(points, boxes, 640.0, ["recording_id"]).where(f"box_id = {n - 1}").count() == n
+    assert time.time() - start < 50
